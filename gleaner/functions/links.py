@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import trimmed
+from gleaner.functions.text import let, trimmed
 
 # Query parameters that only say where a click came from.
 TRACKING_PREFIX = "utm_"
@@ -30,8 +30,7 @@ def scheme(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host without credentials and port; null when the URL has none."""
-    bare = F.regexp_replace(F.regexp_replace(_part(url, 2), r"^.*@", ""), r":\d*$", "")
-    return F.nullif(F.lower(bare), F.lit(""))
+    return _host(_part(url, 2))
 
 
 def site_of(url: Column) -> Column:
@@ -40,10 +39,32 @@ def site_of(url: Column) -> Column:
 
 def link_error(url: Column) -> Column:
     """Why a link cannot be stored, null when it can."""
+    return let(_parts(url), _error)
+
+
+def _parts(url: Column) -> Column:
+    return let(
+        trimmed(url),
+        lambda value: F.struct(
+            F.lower(F.regexp_extract(value, _PARTS, 1)).alias("scheme"),
+            F.regexp_extract(value, _PARTS, 2).alias("authority"),
+            F.regexp_extract(value, _PARTS, 3).alias("path"),
+            F.regexp_extract(value, _PARTS, 4).alias("query"),
+        ),
+    )
+
+
+def _host(authority: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")
+    return F.nullif(F.lower(bare), F.lit(""))
+
+
+def _error(parts: Column) -> Column:
+    unreadable = (F.coalesce(parts["scheme"], F.lit("")) == "") | _host(parts["authority"]).isNull()
     return (
-        F.when(url.isNull() | (scheme(url) == "") | host_of(url).isNull(), F.lit("INVALID_URL"))
-        .when(~scheme(url).isin("http", "https"), F.lit("UNSUPPORTED_SCHEME"))
-        .when(F.contains(_part(url, 2), F.lit("@")), F.lit("EMBEDDED_CREDENTIALS"))
+        F.when(unreadable, F.lit("INVALID_URL"))
+        .when(~parts["scheme"].isin("http", "https"), F.lit("UNSUPPORTED_SCHEME"))
+        .when(F.contains(parts["authority"], F.lit("@")), F.lit("EMBEDDED_CREDENTIALS"))
     )
 
 
@@ -51,9 +72,9 @@ def _form_decode(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
 
-def _clean_query(url: Column) -> Column:
+def _clean_query(query: Column) -> Column:
     """Tracking parameters out, the rest sorted by name, kept in order within one name."""
-    pieces = F.filter(F.split(F.substring(_part(url, 4), 2, 1_000_000), "&"), lambda piece: piece != "")
+    pieces = F.filter(F.split(F.regexp_replace(query, "^[?]", ""), "&"), lambda piece: piece != "")
     pairs = F.transform(
         pieces,
         lambda piece, index: F.struct(
@@ -63,32 +84,46 @@ def _clean_query(url: Column) -> Column:
         ),
     )
 
-    def kept(pair: Column) -> Column:
-        name = F.lower(pair["name"])
-        first = F.filter(pairs, lambda other: other["name"] == pair["name"])[0]["value"]
-        stamped = (name == FEED_STAMP_KEY) & F.startswith(F.lower(first), F.lit(FEED_STAMP_VALUE))
-        return ~(F.startswith(name, F.lit(TRACKING_PREFIX)) | name.isin(TRACKING_KEYS) | stamped)
-
-    ordered = F.array_sort(F.filter(pairs, kept))
+    def kept(pair: Column, listed: Column) -> Column:
+        first = F.filter(listed, lambda other: other["name"] == pair["name"])[0]["value"]
+        return let(
+            F.lower(pair["name"]),
+            lambda name: ~(
+                F.startswith(name, F.lit(TRACKING_PREFIX))
+                | name.isin(TRACKING_KEYS)
+                | ((name == FEED_STAMP_KEY) & F.startswith(F.lower(first), F.lit(FEED_STAMP_VALUE)))
+            ),
+        )
+
+    ordered = let(pairs, lambda listed: F.array_sort(F.filter(listed, lambda pair: kept(pair, listed))))
     return F.array_join(
         F.transform(ordered, lambda pair: F.concat(F.url_encode(pair["name"]), F.lit("="), F.url_encode(pair["value"]))),
         "&",
     )
 
 
+def _prefixed(mark: str, part: Column) -> Column:
+    return F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(mark), part))
+
+
+def _rebuilt(parts: Column) -> Column:
+    port = F.regexp_extract(parts["authority"], r":(\d+)$", 1)
+    default_port = F.when(parts["scheme"] == "https", F.lit("443")).otherwise(F.lit("80"))
+    folded = F.regexp_replace(F.concat(F.lit("/"), parts["path"]), "/{2,}", "/")
+    query = F.when(parts["query"] == "", F.lit("")).otherwise(_clean_query(parts["query"]))
+    return F.concat(
+        parts["scheme"],
+        F.lit("://"),
+        _host(parts["authority"]),
+        let(port, lambda p: _prefixed(":", F.when(p == default_port, F.lit("")).otherwise(p))),
+        let(folded, lambda path: F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))),
+        let(query, lambda q: _prefixed("?", q)),
+    )
+
+
 def canonical_url(url: Column) -> Column:
     """One spelling per article link; null for links that :func:`link_error` names."""
-    port = F.regexp_extract(_part(url, 2), r":(\d+)$", 1)
-    default_port = F.when(scheme(url) == "https", F.lit("443")).otherwise(F.lit("80"))
-    port_part = F.when((port == "") | (port == default_port), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    folded = F.regexp_replace(F.concat(F.lit("/"), _part(url, 3)), "/{2,}", "/")
-    path = F.when(folded == "/", folded).otherwise(F.regexp_replace(folded, "/$", ""))
-    query = F.when(_part(url, 4) == "", F.lit("")).otherwise(_clean_query(url))
-    query_part = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-    return F.when(
-        link_error(url).isNull(),
-        F.concat(scheme(url), F.lit("://"), host_of(url), port_part, path, query_part),
-    )
+    return let(_parts(url), lambda parts: F.when(_error(parts).isNull(), _rebuilt(parts)))
 
 
 def url_hash(canonical: Column) -> Column:
@@ -154,16 +189,22 @@ def is_placeholder_image(url: Column) -> Column:
 
 def safe_image_url(url: Column, base: Column | None = None) -> Column:
     """The image address when it may be shown, else null."""
-    resolved = trimmed(url) if base is None else resolve_link(url, base)
-    ok = (
-        (F.length(trimmed(url)).between(1, IMAGE_URL_CHARS))
-        & (F.length(resolved) <= IMAGE_URL_CHARS)
-        & (scheme(resolved) == "https")
-        & ~F.contains(_part(resolved, 2), F.lit("@"))
-        & is_public_host(host_of(resolved))
-        & ~is_placeholder_image(resolved)
-    )
-    return F.when(ok, resolved)
+
+    def checked(raw: Column) -> Column:
+        resolved = raw if base is None else resolve_link(raw, base)
+        return F.when(F.length(raw).between(1, IMAGE_URL_CHARS), let(resolved, shown))
+
+    def shown(resolved: Column) -> Column:
+        ok = let(
+            _parts(resolved),
+            lambda parts: (F.length(resolved) <= IMAGE_URL_CHARS)
+            & (parts["scheme"] == "https")
+            & ~F.contains(parts["authority"], F.lit("@"))
+            & let(_host(parts["authority"]), is_public_host),
+        )
+        return F.when(ok & ~is_placeholder_image(resolved), resolved)
+
+    return let(trimmed(url), checked)
 
 
 # Hosts whose images the page-engagement reader trusts.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +41,20 @@ SHORT_SUMMARY_CHARS = 400
 BODY_CHARS = 20_000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times.
+
+    A plain expression would be copied into every place that mentions it, and
+    inside a lambda it would even be evaluated once per array element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def any_of(text: Column, phrases: Sequence[str]) -> Column:
+    """Does the text contain one of the phrases?"""
+    return let(text, lambda t: reduce(operator.or_, [F.contains(t, F.lit(phrase)) for phrase in phrases]))
+
+
 def array_of_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -76,22 +92,25 @@ def clean_text(text: Column, limit: int) -> Column:
 
 def shingles(title: Column) -> Column:
     """Distinct word bigrams; the single word itself when there is only one."""
-    tokens = words(title)
-    count = F.size(tokens)
-    pairs = F.zip_with(
-        F.slice(tokens, F.lit(1), count - 1),
-        F.slice(tokens, F.lit(2), count - 1),
-        lambda left, right: F.concat(left, F.lit(" "), right),
-    )
-    return F.array_distinct(F.when(count < 2, tokens).otherwise(pairs))
+
+
+    def paired(tokens: Column) -> Column:
+        count = F.size(tokens)
+        pairs = F.zip_with(
+            F.slice(tokens, F.lit(1), count - 1),
+            F.slice(tokens, F.lit(2), count - 1),
+            lambda left, right: F.concat(left, F.lit(" "), right),
+        )
+        return F.array_distinct(F.when(count < 2, tokens).otherwise(pairs))
+
+    return let(words(title), paired)
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Similarity of two duplicate-free arrays, 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
     return F.when(
         (F.size(left) > 0) & (F.size(right) > 0),
-        shared / (F.size(left) + F.size(right) - shared),
+        let(F.size(F.array_intersect(left, right)), lambda shared: shared / (F.size(left) + F.size(right) - shared)),
     ).otherwise(F.lit(0.0))
 
 
@@ -103,12 +122,11 @@ def _code_point_char(code: Column) -> Column:
 
 
 def _replace_numeric(text: Column, pattern: str, code_of) -> Column:
-    found = F.array_distinct(find_all(text, pattern))
-    return F.aggregate(
-        found,
-        text,
-        lambda acc, entity: F.replace(acc, entity, F.coalesce(_code_point_char(code_of(entity)), entity)),
-    )
+    return let(text, lambda value: F.aggregate(
+        F.array_distinct(find_all(value, pattern)),
+        value,
+        lambda acc, entity: F.replace(acc, entity, F.coalesce(let(code_of(entity), _code_point_char), entity)),
+    ))
 
 
 def decode_entities_once(text: Column) -> Column:
@@ -131,10 +149,15 @@ def decode_entities_once(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode up to three layers of escaping; text without ``&`` skips the work."""
-    return F.when(
-        F.contains(text, F.lit("&")),
-        reduce(lambda acc, _: decode_entities_once(acc), range(DECODE_PASSES), text),
-    ).otherwise(text)
+
+
+    def decoded(value: Column, passes: int) -> Column:
+        if not passes:
+            return value
+        again = let(decode_entities_once(value), lambda once: decoded(once, passes - 1))
+        return F.when(value.rlike("&[A-Za-z#]"), again).otherwise(value)
+
+    return let(text, lambda value: decoded(value, DECODE_PASSES))
 
 
 def plain_text(markup: Column, limit: int = SUMMARY_CHARS) -> Column:
@@ -161,12 +184,15 @@ DATE_FORMATS = [
 
 def any_date(text: Column) -> Column:
     """ISO or RFC-822 date; null when unreadable."""
-    value = blank_to_null(text)
-    bare = F.regexp_replace(value, r"^[A-Za-z]{3,9},?\s+", "")
-    return F.coalesce(
-        value.try_cast("timestamp"),
-        *[F.try_to_timestamp(bare, F.lit(fmt)) for fmt in DATE_FORMATS],
-    )
+
+    def read(value: Column) -> Column:
+        bare = F.regexp_replace(value, r"^[A-Za-z]{3,9},?\s+", "")
+        return F.coalesce(
+            value.try_cast("timestamp"),
+            *[F.try_to_timestamp(bare, F.lit(fmt)) for fmt in DATE_FORMATS],
+        )
+
+    return let(blank_to_null(text), read)
 
 
 # Bylines that name nobody.
@@ -174,5 +200,5 @@ PLACEHOLDER_AUTHORS = ["unknown author", "unknown", "n/a", "na", "anonymous", "
 
 
 def is_real_author(author: Column) -> Column:
-    name = F.lower(trimmed(author))
-    return F.coalesce((name != "") & ~name.isin(PLACEHOLDER_AUTHORS), F.lit(False))
+    named = let(F.lower(trimmed(author)), lambda name: (name != "") & ~name.isin(PLACEHOLDER_AUTHORS))
+    return F.coalesce(named, F.lit(False))

@@ -7,19 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import (
-    DEFAULT_LEXICON,
-    Lexicon,
-    accented_ratio,
-    full_text,
-    is_non_english,
-    non_latin_ratio,
-    stopword_ratio,
-    word_balance,
-)
+from gleaner.functions.language import DEFAULT_LEXICON, Lexicon, is_non_english, language_measures
 from gleaner.functions.links import site_of
 from gleaner.functions.scoring import age_days, clamp01, days_before, iff, recency
-from gleaner.functions.text import SPACE, array_of_strings, jaccard, shingles, trimmed, word_total
+from gleaner.functions.text import SPACE, any_of, array_of_strings, jaccard, let, shingles, trimmed, word_total
 from gleaner.operators.similarity import NEAR_DUPLICATE_THRESHOLD, near_duplicate_titles
 
 # The five weights, the bar, and the engagement redistributed when unreported.
@@ -89,13 +80,6 @@ CODE_PATTERN = (
 )
 
 
-def _any_of(text: Column, phrases: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | F.contains(text, F.lit(phrase))
-    return hit
-
-
 def fresh_candidates(
     candidates: DataFrame, sources: DataFrame, now: Column, per_source: int = CANDIDATES_PER_SOURCE
 ) -> DataFrame:
@@ -179,11 +163,8 @@ def enrich_from_pages(
 
 
 def is_aggregator(url: Column, domains: Sequence[str] = tuple(AGGREGATOR_DOMAINS)) -> Column:
-    site = site_of(url)
-    hit = site.isNull()
-    for domain in domains:
-        hit = hit | (site == domain) | F.endswith(site, F.lit("." + domain))
-    return F.coalesce(hit, F.lit(True))
+    listed = "|".join(domain.replace(".", "[.]") for domain in domains)
+    return F.coalesce(site_of(url).rlike(rf"(^|[.])({listed})$"), F.lit(True))
 
 
 def reject_aggregators(candidates: DataFrame) -> DataFrame:
@@ -192,13 +173,13 @@ def reject_aggregators(candidates: DataFrame) -> DataFrame:
 
 
 def has_spam() -> Column:
-    return _any_of(F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))), SPAM_MARKERS)
+    return any_of(F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))), SPAM_MARKERS)
 
 
 def is_paywalled() -> Column:
     empty = (F.coalesce("summary", F.lit("")) == "") & (F.coalesce("body_text", F.lit("")) == "")
     text = F.lower(F.coalesce("body_text", "summary", F.lit("")))
-    return (iff(F.col("paywalled")) & empty) | (_any_of(text, PAYWALL_MARKERS) & (F.length(text) < PAYWALL_CHARS))
+    return (iff(F.col("paywalled")) & empty) | ((F.length(text) < PAYWALL_CHARS) & any_of(text, PAYWALL_MARKERS))
 
 
 def reject_markers(candidates: DataFrame) -> DataFrame:
@@ -253,36 +234,33 @@ def drop_arrived_since(accepted: DataFrame, snapshot: DataFrame, current: DataFr
 
 def language_gate(docs: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Adds is_non_english and its measures to rows with title, summary and body_text."""
-    text = full_text(F.col("title"), F.col("summary"), F.col("body_text"))
-    balance = word_balance(text, lexicon)
+    parts = (F.col("title"), F.col("summary"), F.col("body_text"))
     return (
-        docs.withColumn("non_latin_ratio", non_latin_ratio(text))
-        .withColumn("accented_ratio", accented_ratio(text))
-        .withColumn("balance", balance)
-        .withColumn("foreign_words", F.col("balance")["foreign"])
-        .withColumn("english_words", F.col("balance")["english"])
-        .withColumn("stopword_ratio", stopword_ratio(text, lexicon))
-        .withColumn("is_non_english", is_non_english(F.col("title"), F.col("summary"), F.col("body_text"), lexicon))
-        .drop("balance")
+        docs.withColumn("measures", language_measures(*parts, lexicon))
+        .withColumn("non_latin_ratio", F.col("measures.non_latin_ratio"))
+        .withColumn("accented_ratio", F.col("measures.accented_ratio"))
+        .withColumn("foreign_words", F.col("measures.balance.foreign"))
+        .withColumn("english_words", F.col("measures.balance.english"))
+        .withColumn("stopword_ratio", F.col("measures.stopword_ratio"))
+        .withColumn("is_non_english", is_non_english(*parts, lexicon))
+        .drop("measures")
     )
 
 
 def relevance(title: Column, summary: Column, body: Column, aliases: Column) -> Column:
     """1 in the title, 0.7 in the lead words, 0.3 further down, 0 nowhere."""
-    heading = F.lower(title)
-    text = trimmed(F.lower(F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(body, F.lit("")))))
-    lead = F.array_join(F.slice(F.split(text, f"{SPACE}+"), 1, LEAD_WORDS), " ")
+    both = F.concat_ws(" ", F.coalesce(summary, F.lit("")), F.coalesce(body, F.lit("")))
 
     def names(where: Column) -> Column:
-        return F.exists(aliases, lambda alias: F.contains(where, alias))
+        return let(where, lambda text: F.exists(aliases, lambda alias: F.contains(text, alias)))
 
-    return (
-        F.when(names(heading), 1.0)
-        .when(text == "", 0.0)
-        .when(names(lead), 0.7)
-        .when(names(text), 0.3)
-        .otherwise(0.0)
-    )
+    def lead(text: Column) -> Column:
+        return F.array_join(F.slice(F.split(text, f"{SPACE}+", LEAD_WORDS + 1), 1, LEAD_WORDS), " ")
+
+    def in_text(text: Column) -> Column:
+        return F.when(~names(text) & ~names(lead(text)), 0.0).when(names(lead(text)), 0.7).otherwise(0.3)
+
+    return F.when(names(F.lower(title)), 1.0).otherwise(let(trimmed(F.lower(both)), in_text))
 
 
 def content_words() -> Column:

@@ -96,10 +96,9 @@ def positions(df: DataFrame, group: str, order: list[Column], name: str = "posit
     group's earlier partitions. The sorted rows are checkpointed, which fixes
     the ranges even if an executor is lost.
     """
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(group).asc(), *order]
     ranged = (
-        df.repartitionByRange(spread, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import SPACE, array_of_strings, find_all, trimmed
+from gleaner.functions.text import SPACE, any_of, array_of_strings, find_all, trimmed
 
 # Weights of a sentence's score and the sizes a sentence may have.
 INFORMATIVE, POSITION, SUBJECT, FIGURE = 0.4, 0.3, 0.2, 0.1
@@ -64,9 +64,7 @@ def sentences(text: Column) -> Column:
 
 def _usable(sentence: Column) -> Column:
     lower = F.lower(sentence)
-    furniture = F.lit(False)
-    for phrase in BOILERPLATE:
-        furniture = furniture | F.contains(lower, F.lit(phrase))
+    furniture = any_of(lower, BOILERPLATE)
     return (
         F.size(find_all(lower, WORD)).between(MIN_SENTENCE_WORDS, MAX_SENTENCE_WORDS)
         & ~furniture

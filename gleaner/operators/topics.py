@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.language import full_text
 from gleaner.functions.scoring import iff
+from gleaner.functions.text import let
 
 # Confidence of a match and how many topics an item keeps.
 BASE_CONFIDENCE, STEP_CONFIDENCE = 0.55, 0.15
@@ -55,25 +56,25 @@ def classified(items: DataFrame, topic_aliases: DataFrame) -> DataFrame:
     """Adds matches: array<struct<topic_id, hits, confidence>>, best three first."""
     haystack = F.lower(full_text(F.col("title"), F.col("summary"), F.col("body_content")))
 
-    def counted(entry: Column) -> Column:
-        hits = F.size(F.filter(entry["aliases"], lambda alias: F.contains(F.col("haystack"), alias)))
-        return F.struct(
-            (-F.least(F.lit(1.0), F.lit(BASE_CONFIDENCE) + hits * F.lit(STEP_CONFIDENCE))).alias("order"),
-            entry["topic_id"].alias("topic_id"),
-            hits.alias("hits"),
+    def counted(entry: Column, text: Column) -> Column:
+        return let(
+            F.size(F.filter(entry["aliases"], lambda alias: F.contains(text, alias))),
+            lambda hits: F.struct(
+                (-F.least(F.lit(1.0), F.lit(BASE_CONFIDENCE) + hits * F.lit(STEP_CONFIDENCE))).alias("order"),
+                entry["topic_id"].alias("topic_id"),
+                hits.alias("hits"),
+            ),
         )
 
-    ranked = F.array_sort(F.filter(F.transform(F.col("dictionary"), counted), lambda entry: entry["hits"] > 0))
+    def ranked(text: Column) -> Column:
+        found = F.transform(F.col("dictionary"), lambda entry: counted(entry, text))
+        return F.array_sort(F.filter(found, lambda entry: entry["hits"] > 0))
+
     matches = F.transform(
-        F.slice(ranked, 1, TOPICS_PER_ITEM),
+        F.slice(let(haystack, ranked), 1, TOPICS_PER_ITEM),
         lambda entry: F.struct(entry["topic_id"].alias("topic_id"), entry["hits"].alias("hits"), (-entry["order"]).alias("confidence")),
     )
-    return (
-        items.withColumn("haystack", haystack)
-        .withColumn("dictionary", dictionary_value(topic_aliases))
-        .withColumn("matches", matches)
-        .drop("haystack", "dictionary")
-    )
+    return items.withColumn("dictionary", dictionary_value(topic_aliases)).withColumn("matches", matches).drop("dictionary")
 
 
 def classify(items: DataFrame, topic_aliases: DataFrame) -> DataFrame:
@@ -99,33 +100,37 @@ def _occurrences(text: Column, needle: Column) -> Column:
 
 def leading_topics(items: DataFrame, topic_aliases: DataFrame, summary_col: str = "summary") -> DataFrame:
     """Adds leading_topics: the topics mentioned most in title and summary, ties included."""
-    prepared = (
-        items.withColumn("_title", F.lower("title"))
-        .withColumn("_summary", F.lower(F.coalesce(summary_col, F.lit(""))))
-        .withColumn("_dictionary", dictionary_value(topic_aliases))
-    )
+    texts = F.struct(F.lower("title").alias("title"), F.lower(F.coalesce(summary_col, F.lit(""))).alias("summary"))
 
-    def weighed(entry: Column) -> Column:
+    def weighed(entry: Column, text: Column) -> Column:
         weight = F.aggregate(
             entry["aliases"],
             F.lit(0),
             lambda acc, alias: acc
-            + _occurrences(F.col("_title"), alias) * TITLE_MENTION
-            + _occurrences(F.col("_summary"), alias),
+            + _occurrences(text["title"], alias) * TITLE_MENTION
+            + _occurrences(text["summary"], alias),
         )
         return F.struct(entry["topic_id"].alias("topic_id"), weight.alias("weight"))
 
-    weights = F.filter(F.transform("_dictionary", weighed), lambda entry: entry["weight"] > 0)
-    best = F.array_max(F.transform("_weights", lambda entry: entry["weight"]))
-    leading = F.transform(
-        F.filter("_weights", lambda entry: entry["weight"] == F.col("_best")), lambda entry: entry["topic_id"]
-    )
+    def leading(weights: Column) -> Column:
+        best = F.coalesce(F.array_max(F.transform(weights, lambda entry: entry["weight"])), F.lit(0))
+        return let(
+            best,
+            lambda most: F.struct(
+                F.transform(
+                    F.filter(weights, lambda entry: (entry["weight"] == most) & (most > 0)), lambda entry: entry["topic_id"]
+                ).alias("topics"),
+                most.alias("weight"),
+            ),
+        )
+
+    weights = let(texts, lambda text: F.transform(F.col("dictionary"), lambda entry: weighed(entry, text)))
     return (
-        prepared.withColumn("_weights", weights)
-        .withColumn("_best", best)
-        .withColumn("leading_topics", leading)
-        .withColumn("leading_weight", F.coalesce("_best", F.lit(0)))
-        .drop("_title", "_summary", "_dictionary", "_weights", "_best")
+        items.withColumn("dictionary", dictionary_value(topic_aliases))
+        .withColumn("lead", let(weights, leading))
+        .withColumn("leading_topics", F.col("lead.topics"))
+        .withColumn("leading_weight", F.col("lead.weight"))
+        .drop("dictionary", "lead")
     )
 
 

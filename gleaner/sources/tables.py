@@ -71,8 +71,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     writer.parquet(path)
 
 
+TEXT_TABLES = ["documents", "pages"]
+
+
 def read_driver_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given parquet tables, with zone-less times read as UTC."""
+    """One of the given parquet tables, with zone-less times read as UTC.
+
+    Text work is heavy per byte, so a text table in fewer splits than there are
+    cores is spread out; a table of many files is read as it is.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     naive = [field.name for field in df.schema if isinstance(field.dataType, T.TimestampNTZType)]
     return df.withColumns({column: df[column].cast("timestamp") for column in naive})
