@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import gate_queries, link_queries  # noqa: F401
+from gleaner.plans import dedupe_queries, feed_queries, gate_queries, link_queries  # noqa: F401
 from gleaner.plans.registry import ORACLES, QUERIES
 
 
