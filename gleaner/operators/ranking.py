@@ -19,6 +19,9 @@ TRUST_MULTIPLIER = {"official": 1.0, "community": 0.85, "probationary": 0.7, "un
 AFFINITY_SHIFT, AFFINITY_SPAN = 5.0, 25.0
 FULL_ENGAGEMENT_DIGITS, FULL_SOURCES, FULL_TOPICS = 5.0, 5.0, 3.0
 
+# Scores are compared at this many decimals, so that the last bit of a sum cannot reorder equals.
+SCORE_DECIMALS = 12
+
 
 def trust_multiplier(trust: Column) -> Column:
     result = F.lit(TRUST_MULTIPLIER["official"])
@@ -60,14 +63,15 @@ def for_you_score() -> Column:
     total = F.lit(0.0)
     for term, weight in FOR_YOU.items():
         total = total + F.col(term) * F.lit(weight)
-    return total * F.col("trust_factor")
+    return F.round(total * F.col("trust_factor"), SCORE_DECIMALS)
 
 
 def trending_score() -> Column:
     total = F.lit(0.0)
     for term, weight in TRENDING.items():
         total = total + F.col(term) * F.lit(weight)
-    return F.when(F.col("published_at").isNotNull(), total * F.col("trust_factor")).otherwise(F.lit(-1.0))
+    score = F.round(total * F.col("trust_factor"), SCORE_DECIMALS)
+    return F.when(F.col("published_at").isNotNull(), score).otherwise(F.lit(-1.0))
 
 
 def feed_scores(pairs: DataFrame) -> DataFrame:

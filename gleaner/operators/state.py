@@ -43,13 +43,13 @@ def verdict_log(verdicts: DataFrame) -> DataFrame:
     return rows.groupBy("url_hash", "day").agg(first).select("url_hash", "day", "first.*")
 
 
-def signals_fold(hits: DataFrame) -> DataFrame:
-    """Running signals per item from hits (item_id, hit_id, seen_at, platform, reported, stored_source_id, source_id).
+def hit_summaries(hits: DataFrame) -> DataFrame:
+    """One summary per item of hits (item_id, hit_id, seen_at, platform, reported, stored_source_id, source_id).
 
-    A second source counts only when another source stored the item and the
-    previous hit came from another platform. The previous hit is looked up
-    inside hour slots and then across slots, so an item with very many hits is
-    worked on in parts.
+    A summary has the most engagement, the first and last hit, and whether a hit
+    came from another source right after another platform's. Looking back stays
+    inside hour slots and then goes across slots, so an item with very many hits
+    is worked on in parts.
     """
     told = (
         hits.filter(F.col("reported").isNotNull())
@@ -66,20 +66,53 @@ def signals_fold(hits: DataFrame) -> DataFrame:
         F.max_by(F.struct("platform", "seen_at"), "order").alias("last"),
     )
     across = Window.partitionBy("item_id").orderBy("hour")
-    before = F.lag("last.platform").over(across)
-    at_edge = F.col("first.other") & ~iff(F.col("before") == F.col("first.platform"))
+    at_edge = F.col("first.other") & F.col("before").isNotNull() & (F.col("before") != F.col("first.platform"))
     return (
-        slots.withColumn("before", before)
+        slots.withColumn("before", F.lag("last.platform").over(across))
         .groupBy("item_id")
         .agg(
             F.max("engagement_count").alias("engagement_count"),
-            F.when(F.bool_or(F.col("independent") | at_edge), 2).otherwise(1).alias("source_count"),
+            F.bool_or(F.col("independent") | at_edge).alias("independent"),
+            F.min_by("first", "hour").alias("first"),
             F.max_by("last", "hour").alias("last"),
         )
-        .select("item_id", "engagement_count", "source_count", "last.platform", F.col("last.seen_at").alias("collected_at"))
     )
 
 
+def merge_hit_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Summaries of two consecutive stretches of hits as one."""
+    e, n = earlier.alias("e"), later.alias("n")
+    at_edge = iff(F.col("n.first.other") & (F.col("e.last.platform") != F.col("n.first.platform")))
+    return e.join(n, F.col("e.item_id") == F.col("n.item_id"), "full_outer").select(
+        F.coalesce("e.item_id", "n.item_id").alias("item_id"),
+        F.greatest("e.engagement_count", "n.engagement_count").alias("engagement_count"),
+        (iff(F.col("e.independent")) | iff(F.col("n.independent")) | at_edge).alias("independent"),
+        F.coalesce("e.first", "n.first").alias("first"),
+        F.coalesce("n.last", "e.last").alias("last"),
+    )
+
+
+def signals_of(summaries: DataFrame) -> DataFrame:
+    """Stored signals: the very first hit has no platform before it, so it counts as another one."""
+    second = F.col("independent") | F.col("first.other")
+    return summaries.select(
+        "item_id",
+        "engagement_count",
+        F.when(second, 2).otherwise(1).alias("source_count"),
+        F.col("last.platform").alias("platform"),
+        F.col("last.seen_at").alias("collected_at"),
+    )
+
+
+def signals_fold(hits: DataFrame) -> DataFrame:
+    """Running signals per item; counts are never lowered, the last platform is kept.
+
+    A second source counts only when another source stored the item and the
+    previous hit came from another platform.
+    """
+    return signals_of(hit_summaries(hits))
+
+
 def reader_state(events: DataFrame) -> DataFrame:
     """Saved items per reader from events (user_id, item_id, at, seq, saved, read).
 

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from gleaner.plans import dedupe_queries, feed_queries, gate_queries, link_queries  # noqa: F401
+from gleaner.plans import (  # noqa: F401
+    dedupe_queries,
+    feed_queries,
+    gate_queries,
+    link_queries,
+    report_queries,
+    source_queries,
+)
 from gleaner.plans.registry import ORACLES, QUERIES
 
 

@@ -49,7 +49,7 @@ def leading_view(source: str, second: str) -> str:
     count = "CAST((length({0}) - length(replace({0}, a.alias, ''))) / length(a.alias) AS BIGINT)"
     title, teaser = count.format("lower(i.title)"), count.format(f"lower(coalesce(i.{second}, ''))")
     return f"""
-        SELECT id, list_sort(list(topic_id) FILTER (weight = best AND best > 0)) AS leading, max(best) AS weight FROM (
+        SELECT id, list_sort(list(topic_id) FILTER (weight = best AND best > 0)) AS led_by, max(best) AS weight FROM (
             SELECT *, max(weight) OVER (PARTITION BY id) AS best FROM (
                 SELECT i.id, CAST(a.topic_id AS BIGINT) AS topic_id, sum(3 * {title} + {teaser}) AS weight
                 FROM {source} i, fx_topic_aliases a GROUP BY 1, 2)) GROUP BY id"""
@@ -58,7 +58,7 @@ def leading_view(source: str, second: str) -> str:
 @query(
     "leading_topics",
     with_views(
-        "SELECT id, coalesce(array_to_string(leading, '|'), '') AS leading_topics, CAST(weight AS BIGINT) AS leading_weight FROM lead",
+        "SELECT id, coalesce(array_to_string(led_by, '|'), '') AS leading_topics, CAST(weight AS BIGINT) AS leading_weight FROM lead",
         "fx_items", "fx_topic_aliases", extra={"lead": leading_view("fx_items", "summary")},
     ),
 )
@@ -170,7 +170,7 @@ def scored_parts(view: str, days: int, search: str = "") -> dict[str, str]:
                 least(len(c.topics) / 3e0, 1e0) AS breadth, ({hash_sql} % 1000) / 1000e0 AS exploration,
                 CASE c.trust WHEN 'official' THEN 1e0 WHEN 'community' THEN 0.85e0 WHEN 'probationary' THEN 0.7e0 ELSE 0.6e0 END AS trust_factor
             FROM eligible e JOIN (SELECT * FROM cards c {found}) c USING (id) JOIN lead l USING (id) JOIN readers r USING (user_id)
-            WHERE e.saved OR list_has_any(CASE WHEN len(coalesce(l.leading, [])) > 0 THEN l.leading ELSE c.topics END, r.followed)""",
+            WHERE e.saved OR list_has_any(CASE WHEN len(coalesce(l.led_by, [])) > 0 THEN l.led_by ELSE c.topics END, r.followed)""",
         "terms": f"""SELECT *, CASE WHEN len(topics) > 0 THEN len(list_intersect(topics, followed)) / len(topics) ELSE 0e0 END AS interest,
             CASE WHEN len(topics) > 0 THEN {clamp} / len(topics) ELSE 0e0 END AS affinity_term FROM pairs""",
         "scored": f"""SELECT *, round({base} * trust_factor, 12) AS for_you_score,

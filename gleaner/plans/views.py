@@ -207,7 +207,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             CASE WHEN user_id % 10 % 6 <> 0 THEN 'src' || (user_id % 10 % 3) END AS stored_source_id
         FROM events"""),
     "fx_state_events": ([], """
-        SELECT l_suppkey AS user_id, CAST(l_partkey % 50 AS VARCHAR) AS item_id, l_shipdate AS at,
+        SELECT l_suppkey AS user_id, CAST(l_partkey % 50 AS VARCHAR) AS item_id, l_shipdate AS "at",
             l_orderkey * 100 + l_linenumber AS seq,
             CASE l_returnflag WHEN 'A' THEN TRUE WHEN 'R' THEN FALSE END AS saved,
             CASE l_returnflag WHEN 'N' THEN l_linestatus = 'O' END AS read FROM lineitem"""),
@@ -215,7 +215,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT event_id, CASE WHEN event_id % 31 <> 0 THEN 'e' || event_id END AS client_event_id,
             CAST(item_n AS VARCHAR) AS content_item_id, {mapped('event_type', fx.EVENT_NAMES)} AS type,
             CASE WHEN event_id % 50 = 0 THEN -1e0 WHEN event_id % 51 = 0 THEN 1.5e0 WHEN event_id % 3 = 0 THEN floor(value) END AS dwell_seconds,
-            CASE WHEN event_id % 4 = 0 THEN value / 100 END AS completion_ratio, date_trunc('second', ts) AS at
+            CASE WHEN event_id % 4 = 0 THEN value / 100 END AS completion_ratio, date_trunc('second', ts) AS "at"
         FROM fx_events"""),
     "fx_quota_requests": ([], """
         SELECT CASE WHEN event_type IN ('click', 'view') THEN 'github' ELSE 'stack_exchange' END AS platform,
