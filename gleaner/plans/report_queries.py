@@ -314,7 +314,8 @@ VALID = f"""client_event_id IS NOT NULL AND content_item_id IS NOT NULL AND type
 
 @query(
     "valid_events",
-    with_views(f"SELECT client_event_id, content_item_id, type, round(coalesce(dwell_seconds, -1), 6) AS dwell_seconds, round(coalesce(completion_ratio, -1), 6) AS completion_ratio, {sql_stamp('"at"')} AS "at" FROM fx_reader_events WHERE {VALID}", "fx_reader_events"),
+    with_views(f"""SELECT client_event_id, content_item_id, type, round(coalesce(dwell_seconds, -1), 6) AS dwell_seconds,
+        round(coalesce(completion_ratio, -1), 6) AS completion_ratio, {sql_stamp('"at"')} AS "at" FROM fx_reader_events WHERE {VALID}""", "fx_reader_events"),
 )
 def valid_events(fx):
     events = state.valid_events(fx.raw_events())
@@ -330,7 +331,8 @@ def dead_letter_events(fx):
 
 
 WINDOWS_SQL = with_views(
-    f"SELECT {sql_stamp('date_trunc(chr(104) || chr(111) || chr(117) || chr(114), "at")')} AS window_start, content_item_id, type, count(*) AS events FROM fx_reader_events WHERE {VALID} GROUP BY ALL".replace("chr(104) || chr(111) || chr(117) || chr(114)", "'hour'"),
+    f"""SELECT strftime(date_trunc('hour', "at"), '%Y-%m-%d %H:%M:%S') AS window_start, content_item_id, type, count(*) AS events
+        FROM fx_reader_events WHERE {VALID} GROUP BY ALL""",
     "fx_reader_events",
 )
 
