@@ -10,6 +10,7 @@ from gleaner.functions.scoring import MICROS_PER_DAY, days_before
 from gleaner.functions.text import find_all, is_real_author
 from gleaner.operators.components import connected_components
 from gleaner.operators.similarity import NEAR_DUPLICATE_THRESHOLD, similar_sets, title_sets, with_title_key
+from gleaner.session import settled
 
 # Dates further apart than this are separate editions.
 MAX_DAY_SPREAD = 7
@@ -102,7 +103,7 @@ def duplicate_pairs(items: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOL
     Copies of one title in one run of dates are a single edition carrying its
     item count, so the output does not grow with the square of the copies.
     """
-    keyed = with_title_key(items.select("title", "published_at"))
+    keyed = settled(with_title_key(items.select("title", "published_at")).drop("title"))
     nodes = _nodes(_editions(_slots(keyed)))
     return _edition_links(nodes, similar_sets(title_sets(keyed), threshold))
 
@@ -116,8 +117,9 @@ def duplicate_groups(items: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHO
     card = items.select(
         "id", "title", "published_at", "fetched_at", richness().alias("richness"), _slot().alias("slot")
     )
-    keyed = with_title_key(card)
-    editions = _editions(_slots(keyed))
+    # Bodies are read once; every later step works on these narrow rows.
+    keyed = settled(with_title_key(card).drop("title"))
+    editions = settled(_editions(_slots(keyed)))
     links = _edition_links(_nodes(editions), similar_sets(title_sets(keyed), threshold))
     components = connected_components(links.select("src", "dst"))
     placed = (

@@ -10,9 +10,10 @@ from gleaner.functions.links import host_of
 from gleaner.functions.scoring import days_before, iff
 from gleaner.functions.text import is_real_author
 from gleaner.operators.keys import word_counts
-from gleaner.operators.ranking import feed_scores, item_terms, top_of_view
+from gleaner.operators.ranking import feed_scores, item_terms, top_of_view, viewed
 from gleaner.operators.skew import salted_join
-from gleaner.operators.topics import followed_first, is_followed, leading_topics
+from gleaner.operators.topics import covers, followed_first, leading_topics, subject
+from gleaner.session import settled
 
 # Days each view reaches back, page size, longest query.
 WINDOW_DAYS = {"for-you": 3, "trending": 365, "latest": 365}
@@ -168,19 +169,20 @@ def scored_feed(
 
     Only narrow columns travel: texts stay behind until a page is known.
     """
-    facts = leading_topics(item_terms(search_feed(cards, query), now), topic_aliases, summary_col="excerpt").select(
-        "id", "published_at", "topics", "leading_topics", "recency", "engagement", "diversity", "exploration", "breadth", "trust_factor"
+    led = leading_topics(item_terms(search_feed(cards, query), now), topic_aliases, summary_col="excerpt")
+    facts = led.select(
+        "id", "published_at", "topics", subject(F.col("leading_topics"), F.col("topics")).alias("subject"),
+        "recency", "engagement", "diversity", "exploration", "breadth", "trust_factor", "trending_score",
     )
     joined = eligible.join(facts, "id").join(reader_table, "user_id")
-    led = is_followed(F.col("leading_topics"), F.col("topics"), F.col("followed"))
-    kept = joined.filter(F.col("saved") | led).withColumn("topics", followed_first(F.col("topics"), F.col("followed")))
-    return feed_scores(kept)
+    kept = joined.filter(F.col("saved") | covers(F.col("subject"), F.col("followed")))
+    return feed_scores(kept).withColumn("shown_topics", followed_first(F.col("topics"), F.col("followed")))
 
 
 def page_feed(scored: DataFrame, view: str, cursor: int = 0, size: int = PAGE_SIZE) -> DataFrame:
     """Rows (cursor, cursor+size] of every reader's list with total and next_cursor."""
-    listed = scored.filter(F.col("published_at").isNotNull()) if view == "trending" else scored
+    listed = settled(viewed(scored, view))
     totals = listed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    page = top_of_view(scored, view, cursor + size).filter(F.col("position") > cursor)
+    page = top_of_view(listed, view, cursor + size).filter(F.col("position") > cursor)
     end = cursor + size
     return page.join(totals, "user_id").withColumn("next_cursor", F.when(F.col("total") > end, F.lit(end)))

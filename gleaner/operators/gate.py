@@ -292,13 +292,14 @@ def score_terms(candidates: DataFrame, now: Column) -> DataFrame:
     engagement = F.when(
         reported, clamp01(F.log10(F.col("engagement_count") + F.lit(1.0)) / F.log10(reference + F.lit(1.0)))
     )
-    scored = (
-        candidates.withColumn("content_words", content_words())
-        .withColumn("relevance", relevance(F.col("title"), F.col("summary"), F.col("body_text"), F.col("aliases")))
-        .withColumn("trust_score", _lookup(F.col("trust"), TRUST_SCORES, TRUST_SCORES["unknown"]))
-        .withColumn("substance", substance())
-        .withColumn("engagement", engagement)
-        .withColumn("freshness", recency(F.col("published_at"), now))
+    scored = candidates.withColumn("content_words", content_words()).withColumns(
+        {
+            "relevance": relevance(F.col("title"), F.col("summary"), F.col("body_text"), F.col("aliases")),
+            "trust_score": _lookup(F.col("trust"), TRUST_SCORES, TRUST_SCORES["unknown"]),
+            "substance": substance(),
+            "engagement": engagement,
+            "freshness": recency(F.col("published_at"), now),
+        }
     )
     weighted = F.lit(0.0)
     total = 0.0
@@ -314,38 +315,45 @@ def is_stale(now: Column) -> Column:
     return aged & ~iff(F.col("kind") == "release")
 
 
+# Long texts and the dictionary stay behind once a candidate is judged.
+JUDGED_TEXTS = ["summary", "body_text", "aliases"]
+
+
 def qualify(
     candidates: DataFrame,
     context: DataFrame,
     now: Column,
     titles: DataFrame | None = None,
     lexicon: Lexicon = DEFAULT_LEXICON,
-    extra_near_duplicate: Column | None = None,
 ) -> DataFrame:
     """Verdict per candidate: accepted, score, reason and the breakdown.
 
     Columns used: id, source_id, title, summary, body_text, canonical_url,
     published_at, kind, engagement_count, platform, paywalled, duplicate.
+    Everything that reads texts happens where they are scanned; what is joined
+    with the near-duplicates and returned is narrow.
     """
-    known = candidates.join(context.select("source_id", "aliases", "trust"), "source_id", "left").withColumn(
-        "trust", F.coalesce("trust", F.lit("unknown"))
-    ).withColumn("aliases", F.coalesce("aliases", array_of_strings()))
-    near = F.lit(False)
-    if titles is not None:
-        doubles = near_duplicate_titles(candidates.select("id", "title"), titles.select("title"))
-        known = known.join(doubles.select("id", F.lit(True).alias("near_stored")), "id", "left")
-        near = iff(F.col("near_stored"))
-    if extra_near_duplicate is not None:
-        near = near | extra_near_duplicate
+    known = (
+        candidates.join(context.select("source_id", "aliases", "trust"), "source_id", "left")
+        .withColumn("trust", F.coalesce("trust", F.lit("unknown")))
+        .withColumn("aliases", F.coalesce("aliases", array_of_strings()))
+    )
     hard = (
         F.when(iff(F.col("duplicate")), "duplicate_url_hash")
         .when(is_aggregator(F.col("canonical_url")), "aggregator_domain")
         .when(has_spam(), "spam_markers")
         .when(is_paywalled(), "paywalled_without_summary")
-        .when(near, "near_duplicate_title")
-        .when(is_non_english(F.col("title"), F.col("summary"), F.col("body_text"), lexicon), "non_english")
     )
-    judged = score_terms(known.withColumn("hard", hard), now)
+    foreign = F.col("hard").isNull() & is_non_english(F.col("title"), F.col("summary"), F.col("body_text"), lexicon)
+    judged = score_terms(known.withColumn("hard", hard).withColumn("foreign", foreign), now).drop(*JUDGED_TEXTS)
+    near = F.lit(False)
+    if titles is not None:
+        doubles = near_duplicate_titles(candidates.select("id", "title"), titles.select("title"))
+        judged = judged.join(doubles.select("id", F.lit(True).alias("near_stored")), "id", "left")
+        near = iff(F.col("near_stored"))
+    rejection = F.coalesce(
+        "hard", F.when(near, "near_duplicate_title"), F.when(F.col("foreign"), "non_english")
+    )
     soft = (
         F.when(F.col("relevance") == 0, "no_topic_relevance")
         .when((F.col("substance") == 0) & (F.col("content_words") > 0), "thin_content")
@@ -354,24 +362,27 @@ def qualify(
         .when(F.col("score") >= QUALIFICATION_THRESHOLD, "qualified")
         .otherwise("below_threshold")
     )
-    rejected = F.col("hard").isNotNull()
+    judged = judged.withColumn("rejection", rejection)
+    rejected = F.col("rejection").isNotNull()
 
     def unless_rejected(name: str) -> Column:
         return F.when(rejected, 0.0).otherwise(F.col(name))
 
+    breakdown = F.struct(
+        unless_rejected("relevance").alias("relevance"),
+        unless_rejected("trust_score").alias("trust"),
+        unless_rejected("substance").alias("substance"),
+        F.when(~rejected, F.col("engagement")).alias("engagement"),
+        unless_rejected("freshness").alias("freshness"),
+    )
     return (
-        judged.withColumn("reason", F.coalesce("hard", soft))
-        .withColumn("accepted", F.col("reason") == "qualified")
-        .withColumn("score", unless_rejected("score"))
-        .withColumn(
-            "breakdown",
-            F.struct(
-                unless_rejected("relevance").alias("relevance"),
-                unless_rejected("trust_score").alias("trust"),
-                unless_rejected("substance").alias("substance"),
-                F.when(~rejected, F.col("engagement")).alias("engagement"),
-                unless_rejected("freshness").alias("freshness"),
-            ),
+        judged.withColumns(
+            {
+                "reason": F.coalesce("rejection", soft),
+                "score": unless_rejected("score"),
+                "breakdown": breakdown,
+            }
         )
-        .drop("hard", "near_stored", "relevance", "trust_score", "substance", "engagement", "freshness")
+        .withColumn("accepted", F.col("reason") == "qualified")
+        .drop("hard", "foreign", "rejection", "near_stored", "relevance", "trust_score", "substance", "engagement", "freshness")
     )

@@ -59,7 +59,7 @@ def ingest_batch(
     matched = settled(keys.match_existing(fresh, items))
     novel = matched.filter(F.col("existing_id").isNull())
     if pages is not None:
-        novel = gate.enrich_from_pages(novel, pages)
+        novel = settled(gate.enrich_from_pages(novel, pages))
     else:
         novel = novel.withColumn("enriched", F.lit(False))
     titles = gate.recent_titles(items, now)
@@ -81,16 +81,16 @@ def ingest_batch(
     # Two sources may carry one new link in the same pass; the smaller source id stores it.
     order = F.struct("source_id", "position")
     stored_columns = ["source_id", "external_id", "title", "author", "summary", "body_text", "image_url", "published_at", "canonical_url"]
+    stored = novel.join(verdicts.filter("accepted").select("id"), "id", "left_semi")
     new_items = (
-        verdicts.filter("accepted")
-        .groupBy("url_hash")
+        stored.groupBy("url_hash")
         .agg(*[F.min_by(name, order).alias(name) for name in stored_columns])
         .withColumn("id", F.col("url_hash"))
         .withColumnRenamed("body_text", "body_content")
         .withColumn("fetched_at", now)
         .withColumn("is_hidden", F.lit(False))
     )
-    accepted = verdicts.filter("accepted").select("source_id", "url_hash", "title", "summary", F.col("body_text").alias("body_content"), F.col("url_hash").alias("id"))
+    accepted = stored.select("source_id", "url_hash", "title", "summary", F.col("body_text").alias("body_content"), F.col("url_hash").alias("id"))
     seen = matched.filter(F.col("existing_id").isNotNull()).select(
         "source_id", "url_hash", "title", "summary", F.col("body_text").alias("body_content"), F.col("existing_id").alias("id")
     )

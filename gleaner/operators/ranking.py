@@ -39,6 +39,7 @@ def item_terms(items: DataFrame, now: Column) -> DataFrame:
         .withColumn("exploration", exploration(F.col("id")))
         .withColumn("breadth", F.least(F.size("topics") / FULL_TOPICS, F.lit(1.0)))
         .withColumn("trust_factor", trust_multiplier(F.col("trust")))
+        .withColumn("trending_score", trending_score())
     )
 
 
@@ -75,15 +76,18 @@ def trending_score() -> Column:
 
 
 def feed_scores(pairs: DataFrame) -> DataFrame:
-    """Adds interest, affinity and both scores to (reader, item) rows with item terms."""
+    """Adds interest, affinity and the For You score to (reader, item) rows with item terms."""
     return (
         pairs.withColumn("interest", interest_share(F.col("topics"), F.col("followed")))
         .withColumn("affinity", affinity_mean(F.col("topics"), F.col("affinity_by_topic")))
         .withColumn("for_you_score", for_you_score())
-        .withColumn("trending_score", trending_score())
     )
 
 
+# What each view sorts by; everything else stays behind while rows are ranked.
+VIEW_COLUMN = {"for-you": "for_you_score", "trending": "trending_score", "latest": "published_at"}
+
+
 def view_order(view: str) -> list[Column]:
     if view == "for-you":
         return [F.col("for_you_score").desc(), F.col("id").asc()]
@@ -97,10 +101,12 @@ def positions(df: DataFrame, group: str, order: list[Column], name: str = "posit
 
     Rows are range-partitioned on (group, order), so a hot group spans many
     tasks; a row's position is its place in its partition plus the sizes of the
-    group's earlier partitions. The sorted rows are checkpointed, which fixes
-    the ranges even if an executor is lost.
+    group's earlier partitions. Rows are checkpointed before the ranges are
+    sampled, so that their plan runs once, and after the sort, which fixes the
+    ranges even if an executor is lost. Pass narrow rows.
     """
     keys = [F.col(group).asc(), *order]
+    df = settled(df)
     ranged = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
@@ -115,13 +121,15 @@ def positions(df: DataFrame, group: str, order: list[Column], name: str = "posit
     return ranged.join(runs, [group, "_part"]).withColumn(name, place).drop("_part", "_row", "_first", "_size", "_before")
 
 
-def _viewed(scored: DataFrame, view: str) -> DataFrame:
-    return scored.filter(F.col("published_at").isNotNull()) if view == "trending" else scored
+def viewed(scored: DataFrame, view: str) -> DataFrame:
+    """The narrow rows a view ranks; Trending lists dated items only."""
+    listed = scored.filter(F.col("published_at").isNotNull()) if view == "trending" else scored
+    return listed.select("user_id", "id", VIEW_COLUMN[view])
 
 
 def rank_view(scored: DataFrame, view: str) -> DataFrame:
     """Full ranking of every reader's list."""
-    return positions(_viewed(scored, view), "user_id", view_order(view))
+    return positions(viewed(scored, view), "user_id", view_order(view))
 
 
 def rank_for_you(scored: DataFrame) -> DataFrame:
@@ -136,7 +144,7 @@ def rank_latest(scored: DataFrame) -> DataFrame:
     return rank_view(scored, "latest")
 
 
-def top_of_view(scored: DataFrame, view: str, depth: int) -> DataFrame:
-    """First ``depth`` rows per reader; each task keeps only that many before the shuffle."""
+def top_of_view(listed: DataFrame, view: str, depth: int) -> DataFrame:
+    """First ``depth`` rows per reader of :func:`viewed` rows; each task keeps only that many before the shuffle."""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(*view_order(view)))
-    return _viewed(scored, view).withColumn("position", place).filter(F.col("position") <= depth)
+    return listed.withColumn("position", place).filter(F.col("position") <= depth)

@@ -182,34 +182,33 @@ def backfill_pass(
     filled = (
         pending.join(page, "canonical_url", "left")
         .withColumn("failed", F.coalesce("fetch_failed", F.lit(True)))
-        .withColumn("stored_image", F.col("image_url"))
-        .withColumn("stored_body", F.col("body_content"))
-        .withColumn("image_url", F.coalesce("image_url", "page_image"))
-        .withColumn("body_text", F.coalesce("body_content", "page_body"))
+        .withColumn("kept_image", F.when(F.col("failed"), F.col("image_url")).otherwise(F.coalesce("image_url", "page_image")))
+        .withColumn("kept_body", F.when(F.col("failed"), F.col("body_content")).otherwise(F.coalesce("body_content", "page_body")))
     )
     nothing = F.lit(None)
-    judged = qualify(
-        filled.withColumn("kind", nothing.cast("string"))
-        .withColumn("platform", nothing.cast("string"))
-        .withColumn("engagement_count", nothing.cast("bigint"))
-        .withColumn("paywalled", F.lit(False))
-        .withColumn("duplicate", F.lit(False)),
-        context,
-        now,
-        lexicon=lexicon,
+    prepared = filled.select(
+        "id", "source_id", "title", "summary", "canonical_url", "published_at", "failed",
+        F.col("kept_body").alias("body_text"),
+        nothing.cast("string").alias("kind"),
+        nothing.cast("string").alias("platform"),
+        nothing.cast("bigint").alias("engagement_count"),
+        F.lit(False).alias("paywalled"),
+        F.lit(False).alias("duplicate"),
+        (F.coalesce("kept_image", F.lit("")) != "").alias("image_found"),
+        F.size(find_all(F.col("kept_body"), r"(\S+)")).alias("body_words"),
+        (F.col("image_url").isNull() & F.col("kept_image").isNotNull()).alias("image_added"),
+        (F.col("body_content").isNull() & F.col("kept_body").isNotNull()).alias("body_added"),
     )
     failed = F.col("failed")
-    body = F.when(failed, F.col("stored_body")).otherwise(F.col("body_text"))
-    image = F.when(failed, F.col("stored_image")).otherwise(F.col("image_url"))
-    return judged.select(
+    return qualify(prepared, context, now, lexicon=lexicon).select(
         "id",
-        (F.coalesce(image, F.lit("")) != "").alias("image_found"),
-        F.size(find_all(body, r"(\S+)")).alias("body_words"),
+        "image_found",
+        "body_words",
         F.when(~failed, F.col("score")).alias("score"),
         F.when(failed, "extraction_failed").otherwise(F.col("reason")).alias("reason"),
         F.when(failed, "extraction_failed").when(F.col("accepted"), "kept").otherwise("hidden").alias("action"),
-        (~failed & F.col("stored_image").isNull() & image.isNotNull()).alias("image_added"),
-        (~failed & F.col("stored_body").isNull() & body.isNotNull()).alias("body_added"),
+        "image_added",
+        "body_added",
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import jaccard, shingles
+from gleaner.session import settled
 
 # Two titles are near-duplicates above this similarity.
 NEAR_DUPLICATE_THRESHOLD = 0.8
@@ -103,7 +104,8 @@ def _block_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFra
 
 def similar_sets(sets: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOLD) -> DataFrame:
     """Pairs of distinct title sets (set_a < set_b) more similar than the threshold."""
-    prefixed = _prefixed(sets, _frequency(sets), threshold)
+    sets = settled(sets)
+    prefixed = settled(_prefixed(sets, _frequency(sets), threshold))
     ordered = F.col("left")["set_id"] < F.col("right")["set_id"]
     return _verified(_block_join(_postings(prefixed, "left"), _postings(prefixed, "right"), ordered), threshold)
 

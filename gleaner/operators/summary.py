@@ -84,7 +84,9 @@ def key_points(
     """
     most = max(1, min(most, MOST_POINTS))
     aliases = F.transform(F.col(aliases_col), F.lower) if aliases_col else array_of_strings()
-    documents = items.select("id", F.col(body_col).alias("body"), aliases.alias("aliases")).repartition("id")
+    # A fixed count, since sentence work is too heavy per byte for partitions merged by size.
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents = items.select("id", F.col(body_col).alias("body"), aliases.alias("aliases")).repartition(spread, "id")
     cut = documents.withColumn("sentences", sentences(F.col("body")))
     lower = F.lower("sentence")
     tokens = F.filter(

@@ -134,10 +134,14 @@ def leading_topics(items: DataFrame, topic_aliases: DataFrame, summary_col: str
     )
 
 
-def is_followed(leading: Column, stored: Column, followed: Column) -> Column:
-    """A leading topic is followed; no evidence falls back to stored links; no selection keeps all."""
-    subject = F.when(F.size(leading) > 0, leading).otherwise(stored)
-    return (F.size(followed) == 0) | iff(F.arrays_overlap(subject, followed))
+def subject(leading: Column, stored: Column) -> Column:
+    """Topics an item is about: the leading ones, or its stored links when the text names none."""
+    return F.when(F.size(leading) > 0, leading).otherwise(stored)
+
+
+def covers(about: Column, followed: Column) -> Column:
+    """A topic the item is about is followed; a reader without a selection sees everything."""
+    return (F.size(followed) == 0) | iff(F.arrays_overlap(about, followed))
 
 
 def followed_first(stored: Column, followed: Column) -> Column:
@@ -149,5 +153,5 @@ def followed_first(stored: Column, followed: Column) -> Column:
 
 def match_followed(pairs: DataFrame) -> DataFrame:
     """Keep (reader, item) rows the reader's topics lead; order topics followed-first."""
-    kept = pairs.filter(is_followed(F.col("leading_topics"), F.col("topics"), F.col("followed")))
+    kept = pairs.filter(covers(subject(F.col("leading_topics"), F.col("topics")), F.col("followed")))
     return kept.withColumn("topics", followed_first(F.col("topics"), F.col("followed")))

@@ -6,6 +6,8 @@ states the same derivations in SQL.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +54,31 @@ def minus_hours(hours: Column) -> Column:
     return minus_minutes(hours * 60)
 
 
+def cached_view(build):
+    """Plan a view once per fixture set; several operators of a query share it."""
+
+    @wraps(build)
+    def view(self):
+        if build.__name__ not in self._views:
+            self._views[build.__name__] = build(self)
+        return self._views[build.__name__]
+
+    return view
+
+
 class Fixtures:
     """Lazy views over one folder of the given tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return read_driver_table(self.spark, self.folder, name)
+        if name not in self._tables:
+            self._tables[name] = read_driver_table(self.spark, self.folder, name)
+        return self._tables[name]
 
     def documents_total(self) -> Column:
         return self.table("documents").agg(F.count(F.lit(1))).scalar()
@@ -68,6 +86,7 @@ class Fixtures:
     def pages_total(self) -> Column:
         return self.table("pages").agg(F.count(F.lit(1))).scalar()
 
+    @cached_view
     def items(self) -> DataFrame:
         n = F.col("doc_id")
         text = F.col("text")
@@ -109,6 +128,7 @@ class Fixtures:
             "image_url", F.when(F.col("n") % 2 == 0, F.col("image_url"))
         ).drop("page_id", "page_url")
 
+    @cached_view
     def sources(self) -> DataFrame:
         k = F.col("k")
         return (
@@ -129,12 +149,15 @@ class Fixtures:
             )
         )
 
+    @cached_view
     def topics(self) -> DataFrame:
         return self.spark.createDataFrame(TOPICS, "topic_id bigint, name string")
 
+    @cached_view
     def topic_aliases(self) -> DataFrame:
         return self.spark.createDataFrame(TOPIC_ALIASES, "topic_id bigint, alias string")
 
+    @cached_view
     def source_topics(self) -> DataFrame:
         k = F.col("k")
         first = F.when(k % 6 < 5, k % 6)
@@ -142,6 +165,7 @@ class Fixtures:
         wanted = F.array_compact(F.array_distinct(F.array(first, second)))
         return self.sources().select("source_id", F.explode(wanted).alias("topic_id"))
 
+    @cached_view
     def item_topics(self) -> DataFrame:
         """Stored links: the source's topics and every topic named in title or summary."""
         text = F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))))
@@ -330,7 +354,8 @@ class Fixtures:
     def _batched(self, entry: Column, wrap) -> DataFrame:
         rows = self.items().select(F.floor(F.col("n") / 50).alias("batch"), "n", entry.alias("entry"))
         listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda row: row["entry"])
-        return rows.groupBy("batch").agg(wrap(listed).alias("payload")).select(
+        built = rows.groupBy("batch").agg(wrap(listed).alias("payload")).repartition(self.spark.sparkContext.defaultParallelism, "batch")
+        return built.select(
             F.concat(F.lit("p"), F.col("batch").cast("string")).alias("payload_id"),
             F.concat(F.lit("src"), (F.col("batch") % 20).cast("string")).alias("source_id"),
             F.concat(F.lit("acme/tool"), (F.col("batch") % 3).cast("string")).alias("repo"),

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from gleaner.functions.text import SPACE
 from gleaner.plans import fixtures as fx
 
 NOW = f"TIMESTAMP '{fx.NOW_TEXT}'"
-WS = SPACE.replace(r"\u", r"\x").replace(r"\x00A0", r"\x{00A0}").replace(r"\x1680", r"\x{1680}").replace(
-    r"\x2000-\x200A", r"\x{2000}-\x{200A}").replace(r"\x2028", r"\x{2028}").replace(r"\x2029", r"\x{2029}").replace(
-    r"\x202F", r"\x{202F}").replace(r"\x205F", r"\x{205F}").replace(r"\x3000", r"\x{3000}").replace(r"\xFEFF", r"\x{FEFF}")
+WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def quoted(values) -> str:

@@ -10,7 +10,12 @@ SHARED_DIR_KEY = "spark.checkpoint.dir"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every operator relies on: UTC clock and adaptive execution."""
+    """Settings every operator relies on: UTC clock and adaptive execution.
+
+    Build the session with ``spark.python.sql.dataFrameDebugging.enabled`` set
+    to false: recording the Python line of every column expression costs
+    several driver round trips each, and cannot be switched off later.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
