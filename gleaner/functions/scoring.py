@@ -17,11 +17,13 @@ def clamp01(value: Column) -> Column:
 
 
 def age_hours(when: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(when)) / F.lit(float(MICROS_PER_HOUR)))
+    """Null for an unknown date (``greatest`` alone would read it as new)."""
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(when)) / F.lit(float(MICROS_PER_HOUR)))
+    return F.when(when.isNotNull(), age)
 
 
 def age_days(when: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(when)) / F.lit(float(MICROS_PER_DAY)))
+    return age_hours(when, now) / F.lit(24.0)
 
 
 def days_before(now: Column, days: Column) -> Column:

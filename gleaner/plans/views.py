@@ -76,7 +76,7 @@ def shingles(title: str) -> str:
 
 def recency(column: str) -> str:
     hours = f"greatest(0e0, (epoch_us({NOW}) - epoch_us({column})) / 3600000000e0)"
-    return f"coalesce(pow(2e0, -({hours}) / 48e0), 0e0)"
+    return f"CASE WHEN {column} IS NULL THEN 0e0 ELSE pow(2e0, -({hours}) / 48e0) END"
 
 
 def days_old(column: str) -> str:
