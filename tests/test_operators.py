@@ -158,7 +158,8 @@ SCHEMA = (
         ({"body_text": ""}, "no_extractable_content"),
         ({"published_at": NOW - timedelta(days=61)}, "stale"),
         ({"published_at": NOW - timedelta(days=61), "kind": "release"}, "qualified"),
-        ({"title": "Other", "body_text": "word " * 150 + "widgets", "engagement_count": 0, "platform": "dev_to"}, "below_threshold"),
+        ({"title": "Other", "body_text": "word " * 150 + "widgets", "engagement_count": 0, "platform": "dev_to"}, "qualified"),
+        ({"title": "Other", "body_text": "word " * 150 + "widgets", "engagement_count": 0, "platform": "dev_to", "published_at": NOW - timedelta(days=30)}, "below_threshold"),
     ],
 )
 def test_gate_reasons(spark, over, reason):
