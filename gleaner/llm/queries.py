@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm import ngram_jaccard
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -27,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.classes(table(spark, folder, "documents"))
+
+
 @query("op5_substring_dedup")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digests(table(spark, folder, "documents"))

@@ -106,6 +106,11 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int, kind: int = 0)
     return _range_hashes(hashes, at, at + size, _RUNS[kind])
 
 
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """As ``window_hashes``, for runs of any length."""
+    return _range_hashes(hashes, starts, ends, _RUNS[kind])
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row edges of a string column; a null row is empty."""
     column = column.cast(pa.large_binary())
