@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import ngram_jaccard
+from gleaner.llm import ngram_jaccard, quality_rules
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -36,3 +36,8 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_substring_dedup")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digests(table(spark, folder, "documents"))
+
+
+@query("op6_quality_rules")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, folder, "documents")).drop("text_key")

@@ -22,6 +22,10 @@ _DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LETTERS = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
 
+_FOLDED = [letters.copy() for letters in _LETTERS]
+for _letters in _FOLDED:
+    _letters[ord("A") : ord("Z") + 1] = _letters[ord("a") : ord("z") + 1]
+
 
 def powers(base: int, count: int) -> np.ndarray:
     """base**0 ... base**(count-1) modulo 2**64."""
@@ -88,8 +92,10 @@ class Block:
     def row_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts())
 
-    def word_hashes(self, kind: int = 0) -> np.ndarray:
-        return _range_hashes(_LETTERS[kind][self.data], self.starts, self.ends, _POWERS[kind])
+    def word_hashes(self, kind: int = 0, folded: bool = False) -> np.ndarray:
+        """folded: A-Z count as a-z."""
+        letters = (_FOLDED if folded else _LETTERS)[kind]
+        return _range_hashes(letters[self.data], self.starts, self.ends, _POWERS[kind])
 
     def window_starts(self, size: int) -> np.ndarray:
         """Index of the first word of every window of ``size`` words; windows stay within a row."""
@@ -106,6 +112,11 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int, kind: int = 0)
     return _range_hashes(hashes, at, at + size, _RUNS[kind])
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Hash of data[start:end] for each range of bytes."""
+    return _range_hashes(_LETTERS[kind][data], starts, ends, _POWERS[kind])
+
+
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
     """As ``window_hashes``, for runs of any length."""
     return _range_hashes(hashes, starts, ends, _RUNS[kind])
