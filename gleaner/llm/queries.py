@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import ngram_jaccard, quality_rules
+from gleaner.llm import decontamination, ngram_jaccard, quality_rules
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -41,3 +41,8 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality_rules")
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, folder, "documents")).drop("text_key")
+
+
+@query("op9_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
