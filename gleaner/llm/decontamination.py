@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let
 from gleaner.llm.storage import Shelf
 
 WINDOW = 10
@@ -67,15 +68,15 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, at, size, shingle, n_words): places of documents that hold a benchmark shingle of this size."""
-    hashed = docs.select(
-        "key", F.size("words").alias("n_words"), F.transform("words", lambda _, i: _shingle(F.col("words"), i, size)).alias("hashes")
-    )
-    placed = hashed.select("key", "n_words", F.posexplode("hashes").alias("at", "shingle"))
+    """(key, at, size, shingle): places of documents that hold a benchmark shingle of this size."""
+
+    def hashes(words: Column) -> Column:
+        whole = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+        return F.transform(whole, lambda _, i: _shingle(words, i, size))
+
+    placed = docs.select("key", F.posexplode(let(words_of(F.col("text")), hashes)).alias("at", "shingle"))
     own = wanted.filter(F.col("size") == size).select("shingle").distinct()
-    return placed.filter(F.col("at") <= F.col("n_words") - size).join(own, "shingle").select(
-        "key", "at", F.lit(size).alias("size"), "shingle", "n_words"
-    )
+    return placed.join(own, "shingle").select("key", "at", F.lit(size).alias("size"), "shingle")
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -88,16 +89,14 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tup
     shingles = shelf.put("shingles", _window_shingles(windows))
 
     texts = docs.select("doc_id", "text", F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("key"))
-    split = texts.select("key", words_of(F.col("text")).alias("words"))
     sizes = [row["size"] for row in shingles.select("size").distinct().collect()]  # 1, 2, 3 at most
     found = None
     for size in sorted(sizes):
-        part = _hits(split, shingles, size)
+        part = _hits(texts, shingles, size)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = split.select(
-            "key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("shingle"), F.lit(0).alias("n_words")
-        ).filter("false")
+        found = texts.select("key", F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("shingle"))
+        found = found.filter("false")
     hits = shelf.put("hits", found)
 
     rarity = hits.groupBy("size", "shingle").agg(F.count(F.lit(1)).alias("places"))
@@ -114,28 +113,30 @@ def findings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tup
     start = F.col("at") - F.col("offset")
     candidates = (
         hits.join(prefixes, ["size", "shingle"])
-        .select("key", start.alias("start"), "n", "window_id", "n_words")
-        .filter("start >= 0 AND start + n <= n_words")
+        .select("key", start.alias("start"), "n", "window_id")
+        .filter("start >= 0")
         .join(windows.select("window_id", "words"), "window_id")
     )
     by_doc = candidates.groupBy("key").agg(
         F.collect_set(F.struct("start", "n", "window_id", "words")).alias("candidates")
     )
 
-    with_candidates = texts.join(by_doc, "key", "left").select(
-        "doc_id", "key", words_of(F.col("text")).alias("words"), "candidates"
-    )
-    same = F.filter(
-        F.coalesce("candidates", F.array()),
-        lambda c: F.slice(F.col("words"), c["start"] + 1, c["n"]) == c["words"],
-    )
-    spans = F.transform("hit", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))
-    judged = with_candidates.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), same.alias("hit")).select(
-        "doc_id",
-        "key",
-        "n_words",
-        F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"),
-        F.array_distinct(F.transform("hit", lambda c: c["window_id"])).alias("windows"),
+    def found_in(words: Column) -> Column:
+        fits = F.filter(F.coalesce("candidates", F.array()), lambda c: c["start"] + c["n"] <= F.size(words))
+        same = F.filter(fits, lambda c: F.slice(words, c["start"] + 1, c["n"]) == c["words"])
+        return F.struct(F.size(words).cast("long").alias("n_words"), same.alias("hit"))
+
+    spans = F.transform("found.hit", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))
+    judged = (
+        texts.join(by_doc, "key", "left")
+        .select("doc_id", "key", let(words_of(F.col("text")), found_in).alias("found"))
+        .select(
+            "doc_id",
+            "key",
+            "found.n_words",
+            F.size(F.array_distinct(F.flatten(spans))).cast("long").alias("n_hit"),
+            F.array_distinct(F.transform("found.hit", lambda c: c["window_id"])).alias("windows"),
+        )
     )
     return shelf.put("judged", judged), owners
 
