@@ -8,7 +8,7 @@ period then brings both to residues of the cover. So hashing shorter runs of wor
 share an anchor at that offset. Shared anchors are then extended: every window
 around one is compared over its whole length, by 128 bits.
 
-Steps: anchors of all texts; those found in two documents or more; the windows around
+Steps: whole texts that are copies; anchors of all other texts; those found in two documents or more; the windows around
 them; the first document of each window; the cut texts. Counts and firsts are
 map-side combined aggregates, and the joins back are plain equi-joins that adaptive
 execution splits, so one passage in a third of all documents is spread over tasks.
@@ -20,6 +20,7 @@ smaller than itself. Extra columns are kept by ``cut_repeats`` whatever their na
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,19 +104,40 @@ def _window_rows(window: int):
     return scan
 
 
+def copies_of_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the rows whose whole text a smaller id has too."""
+    keyed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("second_key")
+    )
+    firsts = (
+        keyed.groupBy("text_key", "second_key")
+        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .filter("first < last")
+        .select("text_key", "second_key", "first")
+    )
+    return keyed.join(firsts, ["text_key", "second_key"]).filter("doc_id > first").select("doc_id", "text_key").distinct()
+
+
 def repeats(docs: DataFrame, shelf: Shelf, window: int = WINDOW) -> DataFrame:
-    """(doc_id, repeats): for each document the windows to remove, as ``at << 32 | low bits of the hash``."""
-    texts = docs.select("doc_id", "text")
-    found = texts.filter("doc_id IS NOT NULL").mapInArrow(_anchor_rows(window), "anchor long, doc_id long, at int")
-    anchors = shelf.put("anchors", found)
-    shared = (
+    """What to remove, by doc_id.
+
+    copy_keys: hashes of the texts that are copies as a whole, of which the steps below
+    need not see a word. repeats: windows as ``at << 32 | low bits of the hash``.
+    """
+    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    copies = shelf.put("copies", copies_of_texts(texts))
+    own_key = F.xxhash64("text").alias("text_key")
+    own = texts.withColumn("text_key", own_key).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
+    anchors = shelf.put("anchors", own.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, at int"))
+    shared = shelf.put(
+        "shared",
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .filter("low < high")
-        .select("anchor")
+        .select("anchor"),
     )
     places = shelf.put("places", anchors.join(shared, "anchor", "left_semi").select("doc_id", "at"))
-    shelf.drop("anchors")
+    shelf.drop("anchors", "shared")
 
     by_doc = places.groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
     candidates = (
@@ -126,27 +148,29 @@ def repeats(docs: DataFrame, shelf: Shelf, window: int = WINDOW) -> DataFrame:
     windows = shelf.put("windows", candidates)
     shelf.drop("places")
 
-    firsts = (
+    firsts = shelf.put(
+        "firsts",
         windows.groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
-        .drop("last")
+        .drop("last"),
     )
     low_bits = F.col("k1").bitwiseAND(F.lit(0xFFFFFFFF))
-    removed = (
-        windows.join(firsts, ["k1", "k2"])
-        .filter("doc_id > first")
-        .select("doc_id", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(low_bits).alias("packed"))
-        .groupBy("doc_id")
-        .agg(F.collect_list("packed").alias("repeats"))
+    packed = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(low_bits)
+    removed = windows.join(firsts, ["k1", "k2"]).filter("doc_id > first").select("doc_id", packed.alias("packed"))
+    both = removed.withColumn("text_key", F.lit(None).cast("long")).unionByName(
+        copies.withColumn("packed", F.lit(None).cast("long"))
     )
-    out = shelf.put("removed", removed)
-    shelf.drop("windows")
+    grouped = both.groupBy("doc_id").agg(
+        F.collect_list("packed").alias("repeats"), F.collect_set("text_key").alias("copy_keys")
+    )
+    out = shelf.put("removed", grouped)
+    shelf.drop("windows", "firsts")
     return out
 
 
-def removed_words(block: words.Block, lists: pa.Array, window: int) -> np.ndarray:
-    """A flag for each word of a block: covered by a window to remove."""
+def removed_words(block: words.Block, lists: pa.Array, copies: pa.Array, window: int) -> np.ndarray:
+    """A flag for each word of a block: covered by a window to remove, or in a text that is a copy."""
     marks = np.zeros(len(block.starts) + 1, dtype=np.int64)
     packed = lists.flatten().to_numpy(zero_copy_only=False)
     if len(packed):
@@ -160,24 +184,27 @@ def removed_words(block: words.Block, lists: pa.Array, window: int) -> np.ndarra
         starts = starts[own == low]
         np.add.at(marks, starts, 1)
         np.add.at(marks, starts + window, -1)
-    return np.cumsum(marks)[:-1] > 0
+    whole = copies.fill_null(False).to_numpy(zero_copy_only=False) & (block.counts() >= window)
+    return (np.cumsum(marks)[:-1] > 0) | np.repeat(whole, block.counts())
 
 
 def _with_repeats(docs: DataFrame, shelf: Shelf, window: int) -> DataFrame:
-    found = repeats(docs, shelf, window).select(F.col("doc_id").alias("_of_doc"), F.col("repeats").alias("_repeats"))
-    return docs.join(found, docs["doc_id"] == found["_of_doc"], "left")
+    found = repeats(docs, shelf, window).select(
+        F.col("doc_id").alias("_of_doc"), F.col("repeats").alias("_repeats"), F.col("copy_keys").alias("_copy_keys")
+    )
+    is_copy = F.array_contains("_copy_keys", F.xxhash64(docs["text"]))
+    return docs.join(found, docs["doc_id"] == found["_of_doc"], "left").withColumn("_is_copy", is_copy)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs`` (doc_id, text)."""
-    import hashlib
-
     shelf = Shelf(docs.sparkSession, "substring-dedup")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in words.blocks(batch["text"]):
-                gone = removed_words(block, batch["_repeats"].slice(block.row, block.rows), window)
+                own = batch.slice(block.row, block.rows)
+                gone = removed_words(block, own["_repeats"], own["_is_copy"], window)
                 total = np.concatenate(([0], np.cumsum(gone)))[block.first]
                 shas = [
                     hashlib.sha256(words.kept_text(block, row, ~gone[block.first[row] : block.first[row + 1]])).hexdigest()
@@ -188,7 +215,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    joined = _with_repeats(docs.select("doc_id", "text"), shelf, window).select("doc_id", "text", "_repeats")
+    joined = _with_repeats(docs.select("doc_id", "text"), shelf, window).select("doc_id", "text", "_repeats", "_is_copy")
     return joined.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -201,10 +228,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shelf = Shelf(docs.sparkSession, "substring-dedup")
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, lists: pa.Array, copies: pa.Array) -> pa.Array:
         out: list[str | None] = []
         for block in words.blocks(texts):
-            gone = removed_words(block, lists.slice(block.row, block.rows), window)
+            gone = removed_words(
+                block, lists.slice(block.row, block.rows), copies.slice(block.row, block.rows), window
+            )
             for row in range(block.rows):
                 lo, hi = block.first[row], block.first[row + 1]
                 if lo == hi or gone[lo:hi].all():
@@ -218,5 +247,5 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     out.append(b"\n".join([block.data[a:b].tobytes() for a, b in runs]).decode())
         return pa.array(out, pa.string())
 
-    joined = _with_repeats(docs, shelf, window).withColumn("text", cut(docs["text"], F.col("_repeats")))
+    joined = _with_repeats(docs, shelf, window).withColumn("text", cut(docs["text"], F.col("_repeats"), F.col("_is_copy")))
     return joined.filter(F.col("text").isNotNull()).select(*docs.columns)
