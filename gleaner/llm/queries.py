@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontamination, ngram_jaccard, quality_rules
+from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -46,3 +46,14 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_encoding_and_decoding")
+def bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), tokenizer_path())
