@@ -2,25 +2,66 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as
 Parquet and gives it, reread, to the next one. All but the last return the columns
-of ``documents``.
+of ``documents``, whatever further columns those have; the last adds a document's ids.
+
+Two stages change texts or drop rows for what other documents hold, so order matters:
+rejected documents do not count in the joins, of near copies one stays before passages
+are cut, and what is left is checked against the benchmark.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, substring_dedup
+from gleaner.llm.storage import Shelf, prepared
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the others stay as they are."""
+    prepared(spark)
+    return quality_rules.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies (five-word shingles, 0.8) the document with the least id stays."""
+    prepared(spark)
+    return ngram_jaccard.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has are cut out; n_chars follows."""
+    prepared(spark)
+    return substring_dedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
 
-from gleaner.llm.storage import Shelf
-from gleaner.llm.substring_dedup import cut_repeats
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    prepared(spark)
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cut_repeats(docs)
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every document."""
+    return bpe.encoded(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [
-    ("substring_dedup", substring_dedup),
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", decontaminated),
+    ("bpe_encoding_and_decoding", token_ids),
 ]
 
+# Neither the joins by hashes nor the encoder can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules
+import corpus_pipeline
+from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, url_filters
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -48,12 +49,21 @@ def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
+@query("op3_bpe_encoding_and_decoding")
+def bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), corpus_pipeline.tokenizer_path())
 
-    return public_tokenizers.path(name)
 
+@query("op4_url_filters", url_filters.ORACLE)
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judged(table(spark, folder, "pages"))
 
-@query("op3_bpe_encoding_and_decoding")
-def bpe_encoding_and_decoding(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encoded(table(spark, folder, "documents"), tokenizer_path())
+
+@query("op10_sharding")
+def document_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(prepared(spark), folder)
