@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, url_filters
+from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -67,3 +67,8 @@ def document_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(prepared(spark), folder)
+
+
+@query("op7_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
