@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters
+from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -29,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_warc_normaliser")
+def warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 @query("op2_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.classes(table(spark, folder, "documents"))
