@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import bpe, decontamination, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
+from gleaner.llm import bpe, decontamination, html_text, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -77,3 +77,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
+@query("op8_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
