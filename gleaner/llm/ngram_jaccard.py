@@ -20,6 +20,8 @@ partner fetch their text again for the exact test.
 Documents with equal sets are one node, so copies cost nothing. Classes are the
 connected components.
 
+Inside, a set goes by 64 bits of its fingerprint, and equal sets are told by 128.
+
 Defined results: a text of one to four words is one shingle of all its words; a text
 without words (or null) is alone in its class. A null id has a null class and no
 links. Rows that repeat an id are one document, so their classes are one.
@@ -87,6 +89,16 @@ def shingle_sets(block: words.Block, size: int) -> tuple[np.ndarray, np.ndarray]
     return hashes, np.searchsorted(rows, np.arange(block.rows + 1))
 
 
+def fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """128 bits of each row's set, whatever its order; 0 for an empty one."""
+    out = np.zeros((2, len(first) - 1), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        for kind, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
+            out[kind, some] = np.add.reduceat(words.mixed(hashes ^ np.uint64(salt)), first[some])
+    return out
+
+
 def _sketches(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +106,10 @@ def _sketches(size: int):
                 hashes, first = shingle_sets(block, size)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
-                prints = np.zeros((2, block.rows), dtype=np.uint64)
+                prints = fingerprints(hashes, first)
                 sketch = np.zeros((block.rows, SKETCH), dtype=np.uint64)
                 if len(some):
                     at = first[some]
-                    for kind, salt in enumerate((0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)):
-                        prints[kind, some] = np.add.reduceat(words.mixed(hashes ^ np.uint64(salt)), at)
                     for k in range(SKETCH):
                         value = hashes * _SKETCH_KEYS[0, k]
                         value ^= value >> np.uint64(32)
@@ -134,9 +144,9 @@ def _child(level: int, turn: int, runs: int) -> Column:
 
 
 def chosen_paths(sets: DataFrame, shelf: Shelf, runs: int) -> DataFrame:
-    """(bucket, size, set_id) of the leaves of all runs."""
+    """(bucket, size, f1) of the leaves of all runs."""
     tokens = F.posexplode(F.slice("sketch", 1, runs)).alias("run", "token")
-    roots = sets.select("set_id", tokens).select(F.xxhash64("run", "token").alias("bucket"), "set_id")
+    roots = sets.select("f1", tokens).select(F.xxhash64("run", "token").alias("bucket"), "f1")
     level = shelf.put("paths0", _with_sizes(roots))
     leaves = level.filter(F.col("size") <= BUCKET_ROWS)
     large = level.filter(F.col("size") > BUCKET_ROWS)
@@ -144,8 +154,8 @@ def chosen_paths(sets: DataFrame, shelf: Shelf, runs: int) -> DataFrame:
         if large.isEmpty():
             return leaves
         children = F.explode(F.array(*[_child(depth, turn, runs) for turn in range(CHILDREN)])).alias("child")
-        split = large.join(sets.select("set_id", "sketch"), "set_id").select(
-            F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), children, "set_id"
+        split = large.join(sets.select("f1", "sketch"), "f1").select(
+            F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), children, "f1"
         )
         split = shelf.put(f"split{depth}", split.withColumnRenamed("child", "bucket"))
         sizes = split.groupBy("parent", "parent_size", "bucket").agg(F.count(F.lit(1)).alias("size"))
@@ -154,20 +164,20 @@ def chosen_paths(sets: DataFrame, shelf: Shelf, runs: int) -> DataFrame:
         pays = shelf.put(f"pays{depth}", pays)
         leaves = leaves.unionByName(large.join(pays, "bucket", "left_anti"))
         kept = sizes.join(pays.select(F.col("bucket").alias("parent")), "parent", "left_semi").filter("size > 1")
-        level = split.select("bucket", "set_id").join(kept.select("bucket", "size"), "bucket")
-        level = shelf.put(f"paths{depth}", level.select("bucket", "size", "set_id"))
+        level = split.select("bucket", "f1").join(kept.select("bucket", "size"), "bucket")
+        level = shelf.put(f"paths{depth}", level.select("bucket", "size", "f1"))
         leaves = leaves.unionByName(level.filter(F.col("size") <= BUCKET_ROWS).select(*leaves.columns))
         large = level.filter(F.col("size") > BUCKET_ROWS).select(*leaves.columns)
     return leaves.unionByName(large)
 
 
 def in_cells(leaves: DataFrame) -> DataFrame:
-    """One row for each cell that a set takes part in: (bucket, left, right, set_id). Small buckets are one cell."""
+    """One row for each cell that a set takes part in: (bucket, left, right, f1). Small buckets are one cell."""
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    cut = leaves.select("bucket", "set_id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    own = F.pmod(F.xxhash64("f1"), blocks).cast("int")
+    cut = leaves.select("bucket", "f1", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     return cut.select(
-        "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "set_id", "own"
+        "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "f1", "own"
     )
 
 
@@ -244,7 +254,7 @@ def _with_tokens(size: int):
             for block in words.blocks(batch["text"]):
                 hashes, first = shingle_sets(block, size)
                 own = batch.slice(block.row, block.rows)
-                right = np.diff(first) == own["n"].to_numpy()
+                right = fingerprints(hashes, first)[0].view(np.int64) == own["f1"].to_numpy()
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 columns = [lists if name == "text" else own[name] for name in cells]
                 names = ["tokens" if name == "text" else name for name in cells]
@@ -258,7 +268,10 @@ def _verified(threshold: float, agreement: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
-            n, ids = cell["n"].to_numpy(), cell["set_id"].to_numpy()
+            _, once = np.unique(cell["f1"].to_numpy(), return_index=True)  # rows that repeat an id bring a text twice
+            if len(once) < cell.num_rows:
+                cell = cell.take(pa.array(np.sort(once)))
+            n, ids, keys = cell["n"].to_numpy(), cell["set_id"].to_numpy(), cell["f1"].to_numpy()
             tokens = cell["tokens"].combine_chunks()
             lengths = tokens.value_lengths().to_numpy()
             first = np.concatenate(([0], np.cumsum(lengths)))
@@ -290,8 +303,8 @@ def _verified(threshold: float, agreement: int):
             if len(linked):
                 roots = np.array([find(x) for x in linked.tolist()])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[linked]), pa.array(links[linked]), pa.array(ids[roots])],
-                    names=["set_id", "links", "root"],
+                    [pa.array(keys[linked]), pa.array(ids[linked]), pa.array(links[linked]), pa.array(ids[roots])],
+                    names=["f1", "set_id", "links", "root"],
                 )
 
     return scan
@@ -311,19 +324,17 @@ def classes(
     sketched = texts.mapInArrow(_sketches(size), "doc_id long, n long, f1 long, f2 long, sketch array<long>")
     sketches = shelf.put("sketches", sketched)
 
-    owners = sketches.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("set_id"))
-    owners = shelf.put("owners", owners)
-    sets = shelf.put(
-        "sets",
-        sketches.alias("s")
-        .join(owners.alias("o"), (F.col("s.doc_id") == F.col("o.set_id")) & F.expr("s.f1 = o.f1 AND s.f2 = o.f2"))
-        .select("set_id", "n", "sketch"),
+    # One row for each distinct set; of its documents the least id stands for it.
+    known = sketches.filter("n > 0 AND doc_id IS NOT NULL")
+    grouped = known.groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("set_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
+    sets = shelf.put("sets", grouped)
 
     leaves = shelf.put("leaves", chosen_paths(sets, shelf, runs))
-    paths = leaves.groupBy("set_id").agg(F.array_sort(F.collect_set("bucket")).alias("leaves"))
-    known = sets.join(paths, "set_id")
-    placed = in_cells(leaves).join(known, "set_id").select(*_CELL, "set_id", "own", "n", "sketch", "leaves")
+    paths = leaves.groupBy("f1").agg(F.array_sort(F.collect_set("bucket")).alias("leaves"))
+    placed = in_cells(leaves).join(sets.join(paths, "f1"), "f1")
+    placed = placed.select(*_CELL, "f1", "set_id", "own", "n", "sketch", "leaves")
     dealt = placed.repartition(*_CELL).sortWithinPartitions(*_CELL)
     needed = shelf.put("needed", dealt.mapInArrow(_needed(threshold, agreement), dealt.schema))
 
@@ -334,14 +345,14 @@ def classes(
     tokens = fetched.mapInArrow(_with_tokens(size), schema)
     dealt = tokens.repartition(*_CELL).sortWithinPartitions(*_CELL)
     linked = shelf.put(
-        "linked", dealt.mapInArrow(_verified(threshold, agreement), "set_id long, links long, root long")
+        "linked", dealt.mapInArrow(_verified(threshold, agreement), "f1 long, set_id long, links long, root long")
     )
 
     components = connected_components(linked.select(F.col("set_id").alias("src"), F.col("root").alias("dst")))
-    degree = linked.groupBy("set_id").agg(F.sum("links").alias("links"))
+    degree = linked.groupBy("f1").agg(F.sum("links").alias("links"))
     named = (
-        owners.join(components.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
-        .join(degree, "set_id", "left")
+        sets.join(components.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
+        .join(degree, "f1", "left")
         .select("f1", "f2", F.coalesce("component", "set_id").alias("class"), "links")
     )
     with_words = sketches.filter("n > 0").join(named, ["f1", "f2"], "left")
