@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import DEFAULT_LEXICON, Lexicon, is_non_english
+from gleaner.functions.language import Lexicon, is_non_english
 from gleaner.functions.scoring import MICROS_PER_DAY, days_before
 from gleaner.functions.text import find_all, is_real_author
 from gleaner.operators.components import connected_components
@@ -244,7 +244,8 @@ def language_purge_plan(
     now: Column,
     window_days: int = 90,
     limit: int | None = None,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    *,
+    lexicon: Lexicon,
 ) -> DataFrame:
     """(id, action) of unreadable rows: reader_submission, saved_by_reader or remove."""
     recent = items.filter(F.col("fetched_at") >= days_before(now, F.lit(window_days)))

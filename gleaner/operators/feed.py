@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import DEFAULT_LEXICON, Lexicon, is_non_english
+from gleaner.functions.language import Lexicon, is_non_english
 from gleaner.functions.links import host_of
 from gleaner.functions.scoring import days_before, iff
 from gleaner.functions.text import is_real_author
@@ -57,7 +57,8 @@ def feed_eligible(
     view: str,
     now: Column,
     query: str = "",
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    *,
+    lexicon: Lexicon,
 ) -> DataFrame:
     """(user_id, id, saved, read, submitted) a reader may see in a view.
 

@@ -7,11 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import DEFAULT_LEXICON, Lexicon, is_non_english, language_measures
+from gleaner.functions.language import Lexicon, is_non_english, language_measures
 from gleaner.functions.links import site_of
 from gleaner.functions.scoring import age_days, clamp01, days_before, iff, recency
-from gleaner.functions.text import SPACE, any_of, array_of_strings, jaccard, let, shingles, trimmed, word_total
-from gleaner.operators.similarity import NEAR_DUPLICATE_THRESHOLD, near_duplicate_titles
+from gleaner.functions.text import SPACE, any_of, array_of_strings, let, trimmed, word_total
+from gleaner.operators.similarity import (
+    NEAR_DUPLICATE_THRESHOLD,
+    near_duplicate_titles,
+    similar_sets,
+    title_sets,
+    with_title_key,
+)
+from gleaner.session import settled
 
 # The five weights, the bar, and the engagement redistributed when unreported.
 WEIGHTS = {"relevance": 0.35, "trust": 0.2, "substance": 0.2, "engagement": 0.15, "freshness": 0.1}
@@ -81,21 +88,21 @@ CODE_PATTERN = (
 
 
 def fresh_candidates(
-    candidates: DataFrame, sources: DataFrame, now: Column, per_source: int = CANDIDATES_PER_SOURCE
+    candidates: DataFrame, sources: DataFrame, now: Column, per_source: int | None = None
 ) -> DataFrame:
-    """Dated inside the source's age limit, first ``per_source`` in payload order."""
+    """Dated inside the source's age limit, with their place in payload order.
+
+    ``per_source`` keeps the first ones of each source only; a request with a time
+    budget passes CANDIDATES_PER_SOURCE.
+    """
     limits = sources.select(
         "source_id", F.coalesce("max_article_age_days", F.lit(DEFAULT_ARTICLE_AGE_DAYS)).alias("age_limit")
     )
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("position", "id"))
-    return (
-        candidates.filter(F.col("published_at").isNotNull())
-        .join(limits, "source_id")
-        .filter(F.col("published_at") >= days_before(now, F.col("age_limit")))
-        .withColumn("place", place)
-        .filter(F.col("place") <= per_source)
-        .drop("age_limit")
-    )
+    dated = candidates.filter(F.col("published_at").isNotNull()).join(limits, "source_id")
+    fresh = dated.filter(F.col("published_at") >= days_before(now, F.col("age_limit"))).drop("age_limit")
+    placed = fresh.withColumn("place", place)
+    return placed if per_source is None else placed.filter(F.col("place") <= per_source)
 
 
 def source_context(
@@ -131,12 +138,12 @@ def needs_enrichment() -> Column:
 
 
 def enrich_from_pages(
-    candidates: DataFrame, pages: DataFrame, per_source: int | None = ENRICHMENTS_PER_RUN
+    candidates: DataFrame, pages: DataFrame, per_source: int | None = None
 ) -> DataFrame:
     """Fill gaps of under-described candidates from page metadata; the wordier body wins.
 
-    ``pages`` is keyed by canonical_url. ``per_source`` keeps the run's budget of
-    page look-ups; ``None`` looks every page up.
+    ``pages`` is keyed by canonical_url. ``per_source`` keeps a request's budget of
+    page look-ups (ENRICHMENTS_PER_RUN); by default every page is looked up.
     """
     asked = candidates.withColumn("wanted", needs_enrichment())
     if per_source is not None:
@@ -189,40 +196,65 @@ def reject_markers(candidates: DataFrame) -> DataFrame:
 
 
 def recent_titles(
-    items: DataFrame, now: Column, days: int = RECENT_TITLE_DAYS, limit: int = RECENT_TITLE_LIMIT
+    items: DataFrame, now: Column, days: int = RECENT_TITLE_DAYS, limit: int | None = None
 ) -> DataFrame:
-    """The newest stored titles inside the window."""
-    return (
-        items.filter(F.col("fetched_at") >= days_before(now, F.lit(days)))
-        .select("id", "title", "fetched_at")
-        .orderBy(F.col("fetched_at").desc(), "id")
-        .limit(limit)
-    )
+    """Stored titles inside the window; the newest ``limit`` only, if asked (a request loads RECENT_TITLE_LIMIT)."""
+    recent = items.filter(F.col("fetched_at") >= days_before(now, F.lit(days))).select("id", "title", "fetched_at")
+    return recent if limit is None else recent.orderBy(F.col("fetched_at").desc(), "id").limit(limit)
 
 
-def near_duplicate_in_batch(candidates: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOLD) -> DataFrame:
+def near_duplicate_in_batch(
+    candidates: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOLD, within: str | None = "source_id"
+) -> DataFrame:
     """Adds in_batch: near-duplicate of an earlier accepted candidate of the same run.
 
-    Order is (place, id) within a source. A run holds the few candidates that
-    :func:`fresh_candidates` lets through, so one row per run carries them.
+    A run is the candidates of one ``within`` value, or all of them for ``None``; its
+    order is (place, id), after ``within`` if the run spans all. Only an eligible
+    candidate that is no near-duplicate itself blocks others.
+
+    Candidates of one run with equal titles collapse to the first eligible one, which
+    blocks the later ones whatever becomes of it: what blocks it blocks them too. The
+    others meet through the similarity join, and are decided in rounds: whoever has
+    no undecided similar predecessor is accepted and blocks its successors.
     """
-    entry = F.struct("place", "id", shingles(F.col("title")).alias("shingles"), "eligible")
-    runs = candidates.groupBy("source_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    empty = F.array().cast("array<array<string>>")
-    start = F.struct(empty.alias("accepted"), array_of_strings().alias("blocked"))
-
-    def step(state: Column, current: Column) -> Column:
-        blocked = F.exists(state["accepted"], lambda held: jaccard(current["shingles"], held) > threshold)
-        accepted = F.when(
-            current["eligible"] & ~blocked, F.concat(state["accepted"], F.array(current["shingles"]))
-        ).otherwise(state["accepted"])
-        hit = F.when(blocked, F.array(current["id"])).otherwise(array_of_strings())
-        return F.struct(accepted.alias("accepted"), F.concat(state["blocked"], hit).alias("blocked"))
-
-    blocked = runs.select(F.explode(F.aggregate("entries", start, step)["blocked"]).alias("id"))
-    return candidates.join(blocked.withColumn("in_batch", F.lit(True)), "id", "left").withColumn(
-        "in_batch", iff(F.col("in_batch"))
+    whole = F.lit("") if within is None else F.col(within)
+    order = F.struct(*([] if within else ["source_id"]), "place", "id")
+    keyed = with_title_key(candidates.select("id", "title", "eligible", whole.alias("run"), order.alias("turn")))
+    keyed = settled(keyed.filter(F.col("set_id").isNotNull()).select("id", "run", "turn", "eligible", "set_id", "shingles"))
+    pairs = settled(similar_sets(title_sets(keyed), threshold).select("set_a", "set_b"))
+    both = pairs.select(F.col("set_a").alias("set_id"), F.col("set_b").alias("other")).unionByName(
+        pairs.select(F.col("set_b").alias("set_id"), F.col("set_a").alias("other"))
+    )
+    firsts = settled(keyed.filter("eligible").groupBy("run", "set_id").agg(F.min("turn").alias("first")))
+    earlier = firsts.select("run", F.col("set_id").alias("other"), F.col("first").alias("other_first"))
+    # later set <- earlier set, of one run
+    edges = firsts.join(both, "set_id").join(earlier, ["run", "other"]).filter("other_first < first")
+    edges = settled(edges.select("run", F.col("set_id").alias("later"), F.col("other").alias("earlier")))
+    node = firsts.select("run", "set_id")
+    waiting = edges.select("run", F.col("later").alias("set_id")).distinct()
+    accepted = settled(node.join(waiting, ["run", "set_id"], "left_anti"))
+    fresh = accepted
+    while not edges.isEmpty():
+        blocked = settled(
+            edges.join(fresh.withColumnRenamed("set_id", "earlier"), ["run", "earlier"], "left_semi").select("run", "later").distinct()
+        )
+        gone = blocked.withColumnRenamed("later", "earlier")
+        left = settled(edges.join(blocked, ["run", "later"], "left_anti").join(gone, ["run", "earlier"], "left_anti"))
+        freed = edges.select("run", "later").distinct().join(blocked, ["run", "later"], "left_anti")
+        freed = freed.join(left.select("run", "later").distinct(), ["run", "later"], "left_anti")
+        fresh = settled(freed.withColumnRenamed("later", "set_id"))
+        accepted = accepted.unionByName(fresh)
+        edges = left
+    blockers = firsts.join(settled(accepted), ["run", "set_id"]).withColumnRenamed("set_id", "other")
+    similar = blockers.join(both, "other").groupBy("run", "set_id").agg(F.min("first").alias("similar_first"))
+    judged = (
+        keyed.select("id", "run", "turn", "set_id")
+        .join(firsts, ["run", "set_id"], "left")
+        .join(similar, ["run", "set_id"], "left")
+        .filter(iff(F.col("first") < F.col("turn")) | iff(F.col("similar_first") < F.col("turn")))
     )
+    blocked = settled(judged.select("id", F.lit(True).alias("in_batch")).distinct())
+    return candidates.join(blocked, "id", "left").withColumn("in_batch", iff(F.col("in_batch")))
 
 
 def drop_arrived_since(accepted: DataFrame, snapshot: DataFrame, current: DataFrame) -> DataFrame:
@@ -232,7 +264,7 @@ def drop_arrived_since(accepted: DataFrame, snapshot: DataFrame, current: DataFr
     return accepted.join(doubles.select("id"), "id", "left_anti")
 
 
-def language_gate(docs: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def language_gate(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds is_non_english and its measures to rows with title, summary and body_text."""
     parts = (F.col("title"), F.col("summary"), F.col("body_text"))
     return (
@@ -324,7 +356,8 @@ def qualify(
     context: DataFrame,
     now: Column,
     titles: DataFrame | None = None,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    *,
+    lexicon: Lexicon,
 ) -> DataFrame:
     """Verdict per candidate: accepted, score, reason and the breakdown.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import DEFAULT_LEXICON, Lexicon
+from gleaner.functions.language import Lexicon
 from gleaner.functions.links import url_hash
 from gleaner.functions.scoring import iff
 from gleaner.operators import gate, keys, topics
@@ -34,7 +34,8 @@ def ingest_batch(
     now: Column,
     pages: DataFrame | None = None,
     discovery: bool = False,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    *,
+    lexicon: Lexicon,
 ) -> IngestResult:
     """Freshness, matching, enrichment, gate and in-run duplicates for all sources at once.
 
@@ -52,9 +53,9 @@ def ingest_batch(
     )
     # One row per source and link; a source may repeat an entry across payloads.
     first = F.struct("payload_id", "position")
-    known = known.groupBy("source_id", "url_hash").agg(
-        *[F.min_by(name, first).alias(name) for name in known.columns if name not in ("source_id", "url_hash")]
-    ).withColumn("id", F.concat_ws(":", "source_id", "url_hash"))
+    rest = [name for name in known.columns if name not in ("source_id", "url_hash")]
+    known = known.groupBy("source_id", "url_hash").agg(F.min_by(F.struct(*rest), first).alias("kept"))
+    known = known.select("source_id", "url_hash", "kept.*").withColumn("id", F.concat_ws(":", "source_id", "url_hash"))
     fresh = gate.fresh_candidates(known, sources, now)
     matched = settled(keys.match_existing(fresh, items))
     novel = matched.filter(F.col("existing_id").isNull())
@@ -65,10 +66,10 @@ def ingest_batch(
     titles = gate.recent_titles(items, now)
     judged = settled(
         gate.qualify(
-            novel.withColumn("paywalled", F.lit(False)).withColumn("duplicate", F.lit(False)), context, now, titles, lexicon
+            novel.withColumn("paywalled", F.lit(False)).withColumn("duplicate", F.lit(False)), context, now, titles, lexicon=lexicon
         )
     )
-    walked = gate.near_duplicate_in_batch(judged.withColumn("eligible", F.col("accepted")))
+    walked = gate.near_duplicate_in_batch(judged.withColumn("eligible", F.col("accepted")), within=None)
     # A hard reject that comes before near_duplicate_title in the gate keeps its reason.
     outranked = F.col("reason").isin("duplicate_url_hash", "aggregator_domain", "spam_markers", "paywalled_without_summary")
     doubled = F.col("in_batch") & ~outranked

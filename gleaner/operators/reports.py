@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.links import site_of
-from gleaner.functions.language import DEFAULT_LEXICON, Lexicon
+from gleaner.functions.language import Lexicon
 from gleaner.functions.scoring import MICROS_PER_DAY, days_before, iff
 from gleaner.functions.text import find_all
 from gleaner.operators.gate import DEFAULT_ARTICLE_AGE_DAYS, qualify
@@ -68,14 +68,17 @@ def score_histogram(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("verdicts"))
 
 
-def latest_rejections(log: DataFrame, sources: DataFrame, shown: int = REJECTIONS_SHOWN) -> DataFrame:
-    newest = log.filter(F.col("decision") == "rejected").orderBy(F.col("created_at").desc(), "url_hash").limit(shown)
+def latest_rejections(log: DataFrame, sources: DataFrame, shown: int | None = None) -> DataFrame:
+    """Rejections with the name of their source; the newest ``shown`` only, if asked (a page shows REJECTIONS_SHOWN)."""
+    newest = log.filter(F.col("decision") == "rejected")
+    if shown is not None:
+        newest = newest.orderBy(F.col("created_at").desc(), "url_hash").limit(shown)
     named = sources.select("source_id", F.col("name").alias("source_name"))
     return newest.join(named, "source_id", "left").withColumn("source_name", F.coalesce("source_name", F.lit("Unknown source")))
 
 
-def rejection_reasons(log: DataFrame, sources: DataFrame, shown: int = REJECTIONS_SHOWN) -> DataFrame:
-    """Counts per reason among the newest rejections."""
+def rejection_reasons(log: DataFrame, sources: DataFrame, shown: int | None = None) -> DataFrame:
+    """Counts per reason; among the newest ``shown`` rejections only, if asked."""
     return latest_rejections(log, sources, shown).groupBy("reason").agg(F.count(F.lit(1)).alias("rejections"))
 
 
@@ -162,8 +165,9 @@ def backfill_pass(
     pages: DataFrame,
     context: DataFrame,
     now: Column,
-    batch: int | None = BACKFILL_BATCH,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    batch: int | None = None,
+    *,
+    lexicon: Lexicon,
 ) -> DataFrame:
     """Re-judge stored rows that were never backfilled, oldest first.
 

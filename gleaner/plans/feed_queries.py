@@ -137,7 +137,7 @@ def eligible_parts(view: str, days: int) -> dict[str, str]:
 
 def _eligible(fx, view, query_text=""):
     return feed.feed_eligible(
-        fx.items(), fx.item_topics(), fx.user_topics(), fx.saved(), fx.submissions(), view, fixtures.now(), query_text
+        fx.items(), fx.item_topics(), fx.user_topics(), fx.saved(), fx.submissions(), view, fixtures.now(), query_text, lexicon=fixtures.LEXICON
     )
 
 

@@ -11,6 +11,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.language import Lexicon
 from gleaner.session import prepare
 from gleaner.sources.tables import read_driver_table
 
@@ -28,6 +29,13 @@ SOURCE_TYPES = [
 PLATFORMS = ["hacker_news", "reddit", "dev_to", "stack_exchange", "github", "youtube"]
 EVENT_PLATFORMS = {"click": "hacker_news", "view": "dev_to", "error": "reddit", "signup": "github", "purchase": "youtube"}
 EVENT_NAMES = {"click": "open", "view": "impression", "error": "crash", "signup": "complete", "purchase": "save"}
+# The commonest words of the French, German and Spanish documents that the English ones hardly have.
+FOREIGN_WORDS = [
+    "au", "auf", "con", "das", "de", "del", "dem", "den", "der", "des", "die", "du", "ein", "el", "est", "et", "für", "im", "ist",
+    "la", "las", "le", "les", "los", "nicht", "par", "para", "por", "pour", "que", "qui", "se", "sich", "su", "sur", "un", "una",
+    "und", "une", "von", "y", "zu",
+]
+LEXICON = Lexicon(FOREIGN_WORDS)
 TIERS = ["official", "community", "probationary", "unknown"]
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.language import (
     ACCENTED,
-    DEFAULT_LEXICON,
     ENGLISH_FUNCTION_WORDS,
     ENGLISH_STOPWORDS,
     LATIN,
@@ -32,7 +31,7 @@ FRESH = f"""
     SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY position, id) AS place
     FROM fx_candidates c JOIN fx_sources s USING (source_id)
     WHERE c.published_at >= {NOW} - to_days(CAST(coalesce(s.max_article_age_days, 30) AS INTEGER))
-    QUALIFY place <= 20"""
+"""
 
 
 @query("fresh_candidates", with_views("SELECT id, source_id, place FROM fresh", "fx_candidates", "fx_sources", extra={"fresh": FRESH}))
@@ -66,10 +65,8 @@ ENRICHED = f"""
         CASE WHEN u AND coalesce(len({words('p.body_text')}), 0) > coalesce(len({words('c.body_text')}), 0) THEN p.body_text ELSE c.body_text END AS body_text,
         CASE WHEN u THEN coalesce(c.image_url, p.image_url) ELSE c.image_url END AS image_url
     FROM (SELECT *, coalesce(image_url, '') = '' OR coalesce(len({words('body_text')}), 0) < 400 AS wanted FROM fx_candidates) c
-    LEFT JOIN (SELECT id, row_number() OVER (PARTITION BY source_id ORDER BY position, id) AS turn FROM fx_candidates
-        WHERE coalesce(image_url, '') = '' OR coalesce(len({words('body_text')}), 0) < 400) t ON t.id = c.id
     LEFT JOIN fx_page_metadata p USING (canonical_url),
-    LATERAL (SELECT c.wanted AND coalesce(t.turn <= 12, FALSE) AND p.canonical_url IS NOT NULL AS u)"""
+    LATERAL (SELECT c.wanted AND p.canonical_url IS NOT NULL AS u)"""
 
 
 @query(
@@ -109,7 +106,7 @@ def reject_markers(fx):
     return gate.reject_markers(fx.candidates()).select("id", "reason")
 
 
-RECENT = f"SELECT id, title, fetched_at FROM {{0}} WHERE fetched_at >= {NOW} - INTERVAL 30 DAY ORDER BY fetched_at DESC, id LIMIT 500"
+RECENT = f"SELECT id, title, fetched_at FROM {{0}} WHERE fetched_at >= {NOW} - INTERVAL 30 DAY"
 
 
 @query("recent_titles", with_views(f"SELECT id, title, {sql_stamp('fetched_at')} AS fetched_at FROM ({RECENT.format('fx_items')})", "fx_items"))
@@ -165,7 +162,7 @@ def near_duplicate_in_batch(fx):
         "SELECT id FROM fx_candidates WHERE id NOT IN (SELECT id FROM near)",
         "fx_candidates", "fx_stored_titles",
         extra={
-            "before": f"SELECT id, title FROM fx_stored_titles WHERE fetched_at >= {NOW} - INTERVAL 30 DAY AND fetched_at < {NOW} - INTERVAL 3 DAY ORDER BY fetched_at DESC, id LIMIT 500",
+            "before": f"SELECT id, title FROM fx_stored_titles WHERE fetched_at >= {NOW} - INTERVAL 30 DAY AND fetched_at < {NOW} - INTERVAL 3 DAY",
             "recent": RECENT.format("fx_stored_titles"),
             "arrived": "SELECT DISTINCT title FROM recent WHERE title NOT IN (SELECT title FROM before)",
             "near": near_sql("fx_candidates", "arrived"),
@@ -184,7 +181,7 @@ def ratio(text_sql: str, pattern: str, least: int = 1) -> str:
     return f"CASE WHEN {hits} >= {least} THEN {hits} / ({hits} + {plain}) ELSE 0e0 END"
 
 
-FOREIGN_LIST = f"[{quoted(DEFAULT_LEXICON.foreign_only())}]"
+FOREIGN_LIST = f"[{quoted(fixtures.FOREIGN_WORDS)}]"
 ENGLISH_LIST = f"[{quoted(ENGLISH_FUNCTION_WORDS)}]"
 STOPWORD_LIST = f"[{quoted(ENGLISH_STOPWORDS)}]"
 
@@ -225,7 +222,7 @@ def language_view(source: str, body: str) -> str:
     ),
 )
 def language_gate(fx):
-    judged = gate.language_gate(fx.candidates())
+    judged = gate.language_gate(fx.candidates(), fixtures.LEXICON)
     return judged.select(
         "id", "is_non_english", rounded("non_latin_ratio").alias("non_latin_ratio"), rounded("accented_ratio").alias("accented_ratio"),
         F.col("foreign_words").cast("bigint").alias("foreign_words"), F.col("english_words").cast("bigint").alias("english_words"),
@@ -316,7 +313,7 @@ QUALIFIED = {**NEAR, **SCORED, "language": language_view("fx_candidates", "body_
 def qualified(fx):
     context = gate.source_context(fx.sources(), fx.source_topics(), fx.topic_aliases())
     titles = gate.recent_titles(fx.stored_titles(), fixtures.now())
-    return gate.qualify(fx.candidates(), context, fixtures.now(), titles)
+    return gate.qualify(fx.candidates(), context, fixtures.now(), titles, lexicon=fixtures.LEXICON)
 
 
 @query(

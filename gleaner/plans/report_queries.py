@@ -81,7 +81,7 @@ def score_histogram_gate(fx):
     return reports.score_histogram(qualified(fx))
 
 
-LOG = """SELECT url_hash, source_id, reason, created_at FROM fx_verdict_log WHERE decision = 'rejected' ORDER BY created_at DESC, url_hash LIMIT 50"""
+LOG = """SELECT url_hash, source_id, reason, created_at FROM fx_verdict_log WHERE decision = 'rejected'"""
 
 
 @query("rejection_reasons", with_views(f"SELECT reason, count(*) AS rejections FROM ({LOG}) GROUP BY reason", "fx_verdict_log"))
@@ -184,7 +184,7 @@ BACKFILL_VIEWS = ("fx_items", "fx_page_metadata", *CONTEXT_VIEWS)
 
 def _passed(fx):
     context = gate.source_context(fx.sources(), fx.source_topics(), fx.topic_aliases())
-    return reports.backfill_pass(fx.items(), fx.page_metadata(), context, fixtures.now(), batch=None)
+    return reports.backfill_pass(fx.items(), fx.page_metadata(), context, fixtures.now(), lexicon=fixtures.LEXICON)
 
 
 @query("backfill_pass", with_views("SELECT * FROM passed", *BACKFILL_VIEWS, extra=BACKFILL))
@@ -429,5 +429,7 @@ def ingest_pass(fx):
         "id", "title", "fetched_at", F.lit(None).cast("string").alias("source_id"), F.sha2("id", 256).alias("url_hash"),
         F.concat(F.lit("https://stored.example.com/"), "id").alias("canonical_url"),
     )
-    result = ingest_batch(candidates, stored, fx.sources(), fx.source_topics(), fx.topic_aliases(), fixtures.now())
+    result = ingest_batch(
+        candidates, stored, fx.sources(), fx.source_topics(), fx.topic_aliases(), fixtures.now(), lexicon=fixtures.LEXICON
+    )
     return result.runs.select("source_id", "fetched", "inserted", "duplicates", "rejected", "status", "error_message")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gleaner.functions.language import Lexicon
 from gleaner.functions.scoring import iff
 from gleaner.operators import quota, state
 from gleaner.operators.ingest import ingest_batch
@@ -115,6 +116,8 @@ def ingest_stream(
     checkpoint: str,
     now: Column,
     discovery: bool = False,
+    *,
+    lexicon: Lexicon,
 ) -> StreamingQuery:
     """Run the ingest pass on every micro-batch of raw payloads.
 
@@ -127,7 +130,7 @@ def ingest_stream(
         known = tables(batch.sparkSession)
         result = ingest_batch(
             normalize(batch), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now,
-            known.get("pages"), discovery,
+            known.get("pages"), discovery, lexicon=lexicon,
         )
         outputs = {
             "verdicts": state.verdict_rows(result.verdicts),

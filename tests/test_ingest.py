@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gleaner.functions.language import Lexicon
 from gleaner.operators.ingest import ingest_batch
 from gleaner.sources import feeds
 from gleaner.streaming import jobs
@@ -59,7 +60,7 @@ def check_runs(rows):
 
 def test_ingest_batch(spark):
     known = tables(spark)
-    result = ingest_batch(feeds.normalize_rss(raw(spark)), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now())
+    result = ingest_batch(feeds.normalize_rss(raw(spark)), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now(), lexicon=Lexicon([]))
     check_runs(result.runs.collect())
     assert [r["canonical_url"] for r in result.new_items.collect()] == ["https://good.com/1"]
     reasons = {r["canonical_url"]: r["reason"] for r in result.verdicts.collect()}
@@ -70,7 +71,7 @@ def test_ingest_batch(spark):
 def test_ingest_stream(spark, tmp_path):
     raw(spark).write.parquet(str(tmp_path / "payloads"))
     stream = spark.readStream.schema(raw(spark).schema).parquet(str(tmp_path / "payloads"))
-    job = jobs.ingest_stream(stream, feeds.normalize_rss, tables, str(tmp_path / "out"), str(tmp_path / "checkpoint"), now())
+    job = jobs.ingest_stream(stream, feeds.normalize_rss, tables, str(tmp_path / "out"), str(tmp_path / "checkpoint"), now(), lexicon=Lexicon([]))
     job.awaitTermination(120)
     check_runs(spark.read.parquet(str(tmp_path / "out" / "runs")).collect())
     assert spark.read.parquet(str(tmp_path / "out" / "items")).count() == 1

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions.language import Lexicon
 from gleaner.operators import dedupe, gate, quota, ranking, similarity, skew, state, topics
 from gleaner.operators.components import connected_components
 
@@ -119,6 +120,35 @@ def test_near_duplicate_titles(spark):
     assert found == {n for n, t in enumerate(asked) if any(alike(t, s) for s in stored)}
 
 
+def in_batch(rows, across):
+    """ids blocked, by walking the rows in order."""
+    held, out = {}, set()
+    for source, place, id_, title, eligible in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        kept = held.setdefault("" if across else source, [])
+        if any(alike(title, other) for other in kept):
+            out.add(id_)
+        elif eligible:
+            kept.append(title)
+    return out
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_in_batch_decides_as_a_walk_does(spark, across):
+    titles = titles_of(11, 60) + titles_of(11, 20) + ["", "word"]
+    rows = [(f"s{n * 7 % 4}", n * 13 % 83, str(n), t, n % 5 > 0) for n, t in enumerate(titles)]
+    table = spark.createDataFrame(rows, "source_id string, place int, id string, title string, eligible boolean")
+    found = gate.near_duplicate_in_batch(table, within=None if across else "source_id").filter("in_batch").collect()
+    assert {r["id"] for r in found} == in_batch(rows, across)
+
+
+def test_one_source_may_offer_many(spark):
+    table = spark.range(100_000).selectExpr(
+        "'s' AS source_id", "CAST(id AS INT) AS place", "CAST(id AS STRING) AS id", "true AS eligible",
+        "CASE WHEN id % 3 = 0 THEN 'the same long headline about one thing' ELSE concat('story ', id, ' of ', id * 7, ' words ', id * 11) END AS title",
+    )
+    assert gate.near_duplicate_in_batch(table).filter("in_batch").count() == 33_333
+
+
 def test_in_batch_only_accepted_titles_block(spark):
     long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [("s", 1, "1", long, False), ("s", 2, "2", long, True), ("s", 3, "3", long, True), ("t", 1, "4", long, True)]
@@ -167,7 +197,7 @@ def test_gate_reasons(spark, over, reason):
     row = candidate(**over)
     table = spark.createDataFrame([tuple(row[f] for f in fields)], SCHEMA)
     context = spark.createDataFrame([("s", ["widgets"], "official")], "source_id string, aliases array<string>, trust string")
-    verdict = gate.qualify(table, context, sql_now()).first()
+    verdict = gate.qualify(table, context, sql_now(), lexicon=Lexicon([])).first()
     assert verdict["reason"] == reason
     assert verdict["accepted"] is (reason == "qualified")
 
@@ -178,7 +208,7 @@ def test_weights_and_redistribution(spark):
     rows = [candidate(id="none"), candidate(id="zero", engagement_count=0, platform="hacker_news"), candidate(id="full", engagement_count=50, platform="hacker_news")]
     table = spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], SCHEMA)
     context = spark.createDataFrame([("s", ["widgets"], "official")], "source_id string, aliases array<string>, trust string")
-    scores = {r["id"]: r["score"] for r in gate.qualify(table, context, sql_now()).collect()}
+    scores = {r["id"]: r["score"] for r in gate.qualify(table, context, sql_now(), lexicon=Lexicon([])).collect()}
     assert scores["none"] == pytest.approx(1) and scores["full"] == pytest.approx(1) and scores["zero"] == pytest.approx(0.85)
 
 
