@@ -51,6 +51,7 @@ BUCKET_ROWS = 100
 MAX_DEPTH = 3
 CHILDREN = 2
 BLOCK_ROWS = 1_500
+TOKEN_ROWS = 2_000
 SKETCH = 32
 SKETCH_LOSS = 1e-7
 
@@ -222,8 +223,8 @@ def _pairs_of_cell(cell: pa.Table, threshold: float, agreement: int) -> Iterator
 _CELL = ["bucket", "left", "right"]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    for table in whole_groups(batches, _CELL):
+def _cells(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    for table in whole_groups(batches, _CELL, rows):
         edges = edges_of(*[table[name].to_numpy() for name in _CELL])
         for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if stop - start > 1:
@@ -267,7 +268,7 @@ def _verified(threshold: float, agreement: int):
     """For each set of a cell: its links there, and the least set that its links reach."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches):
+        for cell in _cells(batches, TOKEN_ROWS):
             _, once = np.unique(cell["f1"].to_numpy(), return_index=True)  # rows that repeat an id bring a text twice
             if len(once) < cell.num_rows:
                 cell = cell.take(pa.array(np.sort(once)))

@@ -20,8 +20,8 @@ SETTINGS = {
     # Shuffle files of a finished action are never read again: all reuse goes through written tables.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # Long texts make batches of a fixed number of rows unbounded.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
 }
 
 
