@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,12 +36,27 @@ NAMED_ENTITIES = {
 }
 DECODE_PASSES = 3
 
-# Lengths a stored candidate is cut to.
-TITLE_CHARS = 500
-AUTHOR_CHARS = 250
-SUMMARY_CHARS = 1_200
-SHORT_SUMMARY_CHARS = 400
-BODY_CHARS = 20_000
+@dataclass(frozen=True)
+class TextLimits:
+    """Most characters of each part of a candidate, and most entries of a payload; by default everything is kept."""
+
+    title: int | None = None
+    author: int | None = None
+    summary: int | None = None
+    short_summary: int | None = None
+    body: int | None = None
+    meta: int | None = None
+    entries: int | None = None
+
+
+NO_LIMITS = TextLimits()
+
+# The limits of a request that has a time budget.
+REQUEST_LIMITS = TextLimits(title=500, author=250, summary=1_200, short_summary=400, body=20_000, meta=2_000, entries=50)
+
+
+def cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -88,8 +104,8 @@ def collapse(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), F.lit(""))
 
 
-def clean_text(text: Column, limit: int) -> Column:
-    return F.substring(collapse(text), 1, limit)
+def clean_text(text: Column, limit: int | None = None) -> Column:
+    return cut(collapse(text), limit)
 
 
 def shingles(title: Column) -> Column:
@@ -162,12 +178,12 @@ def decode_entities(text: Column) -> Column:
     return let(text, lambda value: decoded(value, DECODE_PASSES))
 
 
-def plain_text(markup: Column, limit: int = SUMMARY_CHARS) -> Column:
+def plain_text(markup: Column, limit: int | None = None) -> Column:
     """Feed markup as text: tags go first so that a decoded ``<`` stays a character."""
-    return F.substring(collapse(decode_entities(F.regexp_replace(markup, "<[^>]*>", " "))), 1, limit)
+    return cut(collapse(decode_entities(F.regexp_replace(markup, "<[^>]*>", " "))), limit)
 
 
-def strip_markup(markup: Column, limit: int = BODY_CHARS) -> Column:
+def strip_markup(markup: Column, limit: int | None = None) -> Column:
     """Like :func:`plain_text`, dropping fenced code and Markdown images before the tags."""
     fenced = F.regexp_replace(markup, "(?s)```.*?```", " ")
     images = F.regexp_replace(fenced, r"!\[[^\]]*\]\([^)]*\)", " ")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.scoring import iff
-from gleaner.functions.text import TITLE_CHARS
 
 # Source kinds, default fetch interval, age of a dead run.
 FEED_TYPES = ["rss", "atom", "medium_rss", "api", "web", "platform"]
@@ -25,7 +24,7 @@ def verdict_rows(verdicts: DataFrame) -> DataFrame:
     return verdicts.select(
         "url_hash",
         "canonical_url",
-        F.substring("title", 1, TITLE_CHARS).alias("title"),
+        "title",
         "source_id",
         F.round("score", 3).cast("decimal(4,3)").alias("score"),
         F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("decision"),

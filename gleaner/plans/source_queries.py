@@ -17,9 +17,9 @@ def decoded(sql: str) -> str:
     return sql
 
 
-def plain(sql: str, limit: int, entities: bool = True) -> str:
+def plain(sql: str, entities: bool = True) -> str:
     bare = f"regexp_replace({sql}, '<[^>]*>', ' ', 'g')"
-    return f"left({collapsed(decoded(bare) if entities else bare)}, {limit})"
+    return collapsed(decoded(bare) if entities else bare)
 
 
 def count(sql: str) -> str:
@@ -30,7 +30,7 @@ def count(sql: str) -> str:
     "normalize_hacker_news",
     with_views(
         f"""SELECT 'hn:' || n AS external_id, CASE WHEN n % 15 <> 0 THEN canonical_url ELSE 'https://news.ycombinator.com/item?id=' || n END AS canonical_url,
-            left(title, 500) AS title, {sql_stamp('published_at')} AS published_at, {count('CASE WHEN n % 8 <> 0 THEN n * 7 % 120 - 10 END')} AS engagement_count,
+            title AS title, {sql_stamp('published_at')} AS published_at, {count('CASE WHEN n % 8 <> 0 THEN n * 7 % 120 - 10 END')} AS engagement_count,
             {count('CASE WHEN n % 8 <> 0 THEN n * 7 % 120 - 10 END')} + n % 30 AS signal_count FROM fx_items WHERE n % 53 <> 0 AND title <> ''""",
         "fx_items",
     ),
@@ -44,7 +44,7 @@ def normalize_hacker_news(fx):
     "normalize_dev_to",
     with_views(
         f"""SELECT 'devto:' || n AS external_id, CASE WHEN n % 3 = 1 THEN canonical_url ELSE 'https://dev.example.com/p/' || id END AS canonical_url,
-            left(title, 500) AS title, nullif(trim(author), '') AS author, trim(title) AS summary,
+            title AS title, nullif(trim(author), '') AS author, trim(title) AS summary,
             coalesce(CASE WHEN n % 4 <> 0 THEN image_url END, CASE WHEN n % 5 <> 0 THEN 'https://social.example.com/' || id END) AS image_url,
             {count('n * 7 % 60 - 5')} + n % 9 AS engagement_count FROM fx_items WHERE title <> '' AND {count('n * 7 % 60 - 5')} + n % 9 >= 25""",
         "fx_items",
@@ -57,8 +57,8 @@ def normalize_dev_to(fx):
 @query(
     "normalize_stack_exchange",
     with_views(
-        f"""SELECT 'se:' || n AS external_id, canonical_url, left({collapsed("title || ' what''s \"next\"'")}, 500) AS title,
-            left({collapsed('body_content')}, 400) AS summary, sha256(left({collapsed('body_content')}, 20000)) AS body_hash,
+        f"""SELECT 'se:' || n AS external_id, canonical_url, {collapsed("title || ' what''s \"next\"'")} AS title,
+            {collapsed('body_content')} AS summary, sha256({collapsed('body_content')}) AS body_hash,
             {sql_stamp('published_at')} AS published_at, {count('n % 40 - 5')} + n % 6 AS engagement_count
         FROM fx_items WHERE n % 6 > 0 AND (n // 50) % 10 <> 9""",
         "fx_items",
@@ -76,8 +76,8 @@ RELEASE_LABEL = "CASE WHEN n % 8 = 0 THEN 'v' || id WHEN n % 8 = 1 THEN 'Tool' |
     "normalize_github_releases",
     with_views(
         f"""SELECT 'ghrel:' || n AS external_id, canonical_url,
-            left(CASE WHEN contains(lower({RELEASE_LABEL}), 'tool' || ((n // 50) % 3)) THEN {RELEASE_LABEL} ELSE 'acme/tool' || ((n // 50) % 3) || ' ' || {RELEASE_LABEL} END, 500) AS title,
-            left({collapsed('body_content')}, 400) AS summary, sha256(left({collapsed('body_content')}, 20000)) AS body_hash, {sql_stamp('published_at')} AS published_at,
+            CASE WHEN contains(lower({RELEASE_LABEL}), 'tool' || ((n // 50) % 3)) THEN {RELEASE_LABEL} ELSE 'acme/tool' || ((n // 50) % 3) || ' ' || {RELEASE_LABEL} END AS title,
+            {collapsed('body_content')} AS summary, sha256({collapsed('body_content')}) AS body_hash, {sql_stamp('published_at')} AS published_at,
             {count('n % 200 - 20')} AS engagement_count FROM fx_items WHERE n % 12 <> 0 AND n % 14 <> 0 AND published_at IS NOT NULL""",
         "fx_items",
     ),
@@ -90,8 +90,8 @@ def normalize_github_releases(fx):
 @query(
     "normalize_rss",
     with_views(
-        f"""SELECT 'g' || id AS external_id, canonical_url || '?a=1&b=2' AS canonical_url, left({collapsed('title')}, 500) AS title, {collapsed('author')} AS author,
-            left({collapsed("coalesce(summary, '')")}, 1200) AS summary, sha256(left({collapsed('body_content')}, 20000)) AS body_hash, {sql_stamp('published_at')} AS published_at, image_url
+        f"""SELECT 'g' || id AS external_id, canonical_url || '?a=1&b=2' AS canonical_url, {collapsed('title')} AS title, {collapsed('author')} AS author,
+            {collapsed("coalesce(summary, '')")} AS summary, sha256({collapsed('body_content')}) AS body_hash, {sql_stamp('published_at')} AS published_at, image_url
         FROM fx_items WHERE n % 33 <> 0 AND {collapsed('title')} IS NOT NULL""",
         "fx_items",
     ),
@@ -104,8 +104,8 @@ def normalize_rss(fx):
 @query(
     "normalize_atom",
     with_views(
-        f"""SELECT 'tag:' || id AS external_id, canonical_url, left({collapsed('title')}, 500) AS title, {collapsed('author')} AS author,
-            left({collapsed('body_content')}, 1200) AS summary, sha256(left({collapsed('body_content')}, 20000)) AS body_hash, {sql_stamp('published_at')} AS published_at
+        f"""SELECT 'tag:' || id AS external_id, canonical_url, {collapsed('title')} AS title, {collapsed('author')} AS author,
+            {collapsed('body_content')} AS summary, sha256({collapsed('body_content')}) AS body_hash, {sql_stamp('published_at')} AS published_at
         FROM fx_items WHERE n % 21 <> 0 AND {collapsed('title')} IS NOT NULL""",
         "fx_items",
     ),
@@ -131,8 +131,8 @@ def normalize_feeds(fx):
 @query(
     "normalize_youtube",
     with_views(
-        f"""SELECT 'yt:vid' || id AS external_id, 'https://www.youtube.com/watch?v=vid' || id AS canonical_url, left(trim(title), 500) AS title, 'Channel' AS author,
-            left({collapsed('body_content')}, 400) AS summary, 'https://i.ytimg.com/vi/' || id || '.jpg' AS image_url, {sql_stamp('published_at')} AS published_at,
+        f"""SELECT 'yt:vid' || id AS external_id, 'https://www.youtube.com/watch?v=vid' || id AS canonical_url, trim(title) AS title, 'Channel' AS author,
+            {collapsed('body_content')} AS summary, 'https://i.ytimg.com/vi/' || id || '.jpg' AS image_url, {sql_stamp('published_at')} AS published_at,
             n * 37 % 9000 + n % 500 AS engagement_count FROM fx_items WHERE title <> '' AND n * 37 % 9000 + n % 500 >= 2000""",
         "fx_items",
     ),
@@ -181,18 +181,18 @@ def clean_image_urls(fx):
 
 @query(
     "markup_to_text",
-    f"SELECT page_id, length(t) AS chars, sha256(t) AS text_hash FROM (SELECT page_id, {plain('html', 10_000_000)} AS t FROM pages)",
+    f"SELECT page_id, length(t) AS chars, sha256(t) AS text_hash FROM (SELECT page_id, {plain('html')} AS t FROM pages)",
 )
 def markup_to_text(fx):
-    text = fx.table("pages").select("page_id", strip_markup(F.col("html"), 10_000_000).alias("t"))
+    text = fx.table("pages").select("page_id", strip_markup(F.col("html")).alias("t"))
     return text.select("page_id", F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("text_hash"))
 
 
 @query(
     "extract_page_metadata",
-    f"""SELECT page_id, {canonical('url')} AS canonical_url, title, left(body, 1200) AS summary, length(body) AS body_chars, sha256(body) AS body_hash
-    FROM (SELECT page_id, url, {plain("regexp_extract(html, '<title>([^<]*)</title>', 1)", 500)} AS title,
-        {plain("regexp_extract(html, '<article>(.*)</article>', 1, 's')", 20000)} AS body FROM pages)""",
+    f"""SELECT page_id, {canonical('url')} AS canonical_url, title, body AS summary, length(body) AS body_chars, sha256(body) AS body_hash
+    FROM (SELECT page_id, url, {plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+        {plain("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} AS body FROM pages)""",
 )
 def extract_page_metadata(fx):
     meta = pages.extract_page_metadata(fx.table("pages"))

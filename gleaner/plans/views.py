@@ -192,7 +192,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                 ELSE {pick('event_id % 4', ['stale', 'thin_content', 'non_english', 'below_threshold'])} END AS reason,
             ts AS created_at FROM events"""),
     "fx_verdict_log": (["fx_verdicts"], """
-        SELECT url_hash, CAST(created_at AS DATE) AS day, canonical_url, left(title, 500) AS title, source_id,
+        SELECT url_hash, CAST(created_at AS DATE) AS day, canonical_url, title AS title, source_id,
             round(score, 3) AS score, CASE WHEN accepted THEN 'accepted' ELSE 'rejected' END AS decision, reason, created_at
         FROM fx_verdicts
         QUALIFY row_number() OVER (PARTITION BY url_hash, CAST(created_at AS DATE) ORDER BY created_at, canonical_url, title, reason) = 1"""),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.links import canonical_url
-from gleaner.functions.text import SHORT_SUMMARY_CHARS, TITLE_CHARS, any_date, blank_to_null, strip_markup
+from gleaner.functions.text import NO_LIMITS, TextLimits, any_date, blank_to_null, cut, strip_markup
 
 # Reactions a cross-posted article needs, and the discussion address.
 MIN_REACTIONS = 25
@@ -53,7 +53,7 @@ def _prefixed_id(prefix: str, name: str) -> Column:
     return F.concat(F.lit(prefix), F.col(name).cast("string"))
 
 
-def normalize_hacker_news(raw: DataFrame) -> DataFrame:
+def normalize_hacker_news(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Stories by points; a story without a link is its own discussion."""
     nothing = F.lit(None).cast("string")
     given = (F.col("item.title") != "") & (F.col("item.objectID") != "")
@@ -64,7 +64,7 @@ def normalize_hacker_news(raw: DataFrame) -> DataFrame:
         "position",
         _prefixed_id("hn:", "item.objectID").alias("external_id"),
         canonical_url(F.coalesce("item.url", F.concat(F.lit(DISCUSSION_URL), "item.objectID"))).alias("canonical_url"),
-        F.substring("item.title", 1, TITLE_CHARS).alias("title"),
+        cut(F.col("item.title"), limits.title).alias("title"),
         nothing.alias("author"),
         nothing.alias("summary"),
         nothing.alias("body_text"),
@@ -76,7 +76,7 @@ def normalize_hacker_news(raw: DataFrame) -> DataFrame:
     return _stored(rows)
 
 
-def normalize_dev_to(raw: DataFrame, floor: int = MIN_REACTIONS) -> DataFrame:
+def normalize_dev_to(raw: DataFrame, floor: int = MIN_REACTIONS, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Articles with at least ``floor`` reactions and comments, under their original address."""
     engagement = _count(F.col("item.positive_reactions_count")) + _count(F.col("item.comments_count"))
     given = (F.col("item.title") != "") & (F.col("item.url") != "")
@@ -86,7 +86,7 @@ def normalize_dev_to(raw: DataFrame, floor: int = MIN_REACTIONS) -> DataFrame:
         "position",
         _prefixed_id("devto:", "item.id").alias("external_id"),
         canonical_url(F.coalesce(_text("item.canonical_url"), "item.url")).alias("canonical_url"),
-        F.substring("item.title", 1, TITLE_CHARS).alias("title"),
+        cut(F.col("item.title"), limits.title).alias("title"),
         _text("item.user.name").alias("author"),
         _text("item.description").alias("summary"),
         F.lit(None).cast("string").alias("body_text"),
@@ -103,7 +103,7 @@ def stack_exchange_backoff(raw: DataFrame) -> DataFrame:
     return raw.filter(F.coalesce(seconds, F.lit(0)) > 0).select("payload_id", "source_id", F.lit("BACKOFF_REQUESTED").alias("error"))
 
 
-def normalize_stack_exchange(raw: DataFrame) -> DataFrame:
+def normalize_stack_exchange(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Answered questions; a payload that asks to back off yields nothing."""
     body = F.from_json("payload", STACK_EXCHANGE_SCHEMA)
     calm = raw.select("payload_id", "source_id", body.alias("body")).filter(F.coalesce("body.backoff", F.lit(0)) == 0)
@@ -115,10 +115,10 @@ def normalize_stack_exchange(raw: DataFrame) -> DataFrame:
         "position",
         _prefixed_id("se:", "item.question_id").alias("external_id"),
         canonical_url(F.col("item.link")).alias("canonical_url"),
-        F.coalesce(strip_markup(F.col("item.title"), TITLE_CHARS), F.substring("item.title", 1, TITLE_CHARS)).alias("title"),
+        F.coalesce(strip_markup(F.col("item.title"), limits.title), cut(F.col("item.title"), limits.title)).alias("title"),
         F.lit(None).cast("string").alias("author"),
-        strip_markup(F.col("item.body"), SHORT_SUMMARY_CHARS).alias("summary"),
-        strip_markup(F.col("item.body")).alias("body_text"),
+        strip_markup(F.col("item.body"), limits.short_summary).alias("summary"),
+        strip_markup(F.col("item.body"), limits.body).alias("body_text"),
         F.when(F.col("item.creation_date") > 0, F.timestamp_seconds("item.creation_date")).alias("published_at"),
         F.lit(None).cast("string").alias("image_url"),
         (_count(F.col("item.score")) + _count(F.col("item.answer_count"))).alias("engagement_count"),
@@ -126,7 +126,7 @@ def normalize_stack_exchange(raw: DataFrame) -> DataFrame:
     return _stored(rows)
 
 
-def normalize_github_releases(raw: DataFrame) -> DataFrame:
+def normalize_github_releases(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Published releases; ``raw`` also names the repository as owner/name in ``repo``."""
     label = F.coalesce(_text("item.name"), _text("item.tag_name"))
     repo = F.trim("repo")
@@ -139,11 +139,11 @@ def normalize_github_releases(raw: DataFrame) -> DataFrame:
         "position",
         _prefixed_id("ghrel:", "item.id").alias("external_id"),
         canonical_url(F.col("item.html_url")).alias("canonical_url"),
-        F.substring(F.when(names_repo, label).otherwise(F.concat_ws(" ", repo, label)), 1, TITLE_CHARS).alias("title"),
+        cut(F.when(names_repo, label).otherwise(F.concat_ws(" ", repo, label)), limits.title).alias("title"),
         label.alias("label"),
         F.lit(None).cast("string").alias("author"),
-        strip_markup(F.col("item.body"), SHORT_SUMMARY_CHARS).alias("summary"),
-        strip_markup(F.col("item.body")).alias("body_text"),
+        strip_markup(F.col("item.body"), limits.short_summary).alias("summary"),
+        strip_markup(F.col("item.body"), limits.body).alias("body_text"),
         any_date(F.col("item.published_at")).alias("published_at"),
         F.lit(None).cast("string").alias("image_url"),
         _count(F.col("item.reactions.total_count")).alias("engagement_count"),

@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.links import canonical_url, safe_image_url
 from gleaner.functions.text import (
-    AUTHOR_CHARS,
-    BODY_CHARS,
-    SHORT_SUMMARY_CHARS,
-    TITLE_CHARS,
+    NO_LIMITS,
+    TextLimits,
     any_date,
     blank_to_null,
+    cut,
     plain_text,
     strip_markup,
 )
 
-# Entries read from one payload, and the engagement a video needs.
-ENTRIES_PER_FEED = 50
+# Fixed value: the engagement a video needs.
 MIN_VIDEO_ENGAGEMENT = 2_000
 
 _IMAGE_NODES = "array<struct<_url:string,_href:string,_type:string,_VALUE:string>>"
@@ -75,29 +73,29 @@ def _parsed(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select("payload_id", "source_id", F.from_xml("payload", schema, XML_OPTIONS).alias("feed"))
 
 
-def _with_link(entries: DataFrame, link: Column, title: Column) -> DataFrame:
+def _with_link(entries: DataFrame, link: Column, title: Column, limits: TextLimits) -> DataFrame:
     """Entries that have a readable title and a link that can be stored."""
     return (
         entries.withColumn("canonical_url", canonical_url(link))
-        .withColumn("title", F.substring(plain_text(title), 1, TITLE_CHARS))
+        .withColumn("title", cut(plain_text(title), limits.title))
         .filter(F.col("canonical_url").isNotNull() & F.col("title").isNotNull())
     )
 
 
-def _rss(feeds: DataFrame) -> DataFrame:
+def _rss(feeds: DataFrame, limits: TextLimits) -> DataFrame:
     entries = feeds.select("payload_id", "source_id", F.posexplode("feed.channel.item").alias("position", "item"))
     markup = F.coalesce("item.description", "item.content", "item.encoded")
     written = F.coalesce("item.pubDate", "item.published", "item.updated")
-    return _with_link(entries, F.col("item.link"), F.col("item.title")).select(
+    return _with_link(entries, F.col("item.link"), F.col("item.title"), limits).select(
         "payload_id",
         "source_id",
         "position",
         blank_to_null(F.col("item.guid")).alias("external_id"),
         "canonical_url",
         "title",
-        F.substring(plain_text(F.coalesce("item.creator", "item.author")), 1, AUTHOR_CHARS).alias("author"),
-        plain_text(markup).alias("summary"),
-        plain_text(F.coalesce("item.encoded", "item.content"), BODY_CHARS).alias("body_text"),
+        cut(plain_text(F.coalesce("item.creator", "item.author")), limits.author).alias("author"),
+        plain_text(markup, limits.summary).alias("summary"),
+        plain_text(F.coalesce("item.encoded", "item.content"), limits.body).alias("body_text"),
         any_date(written).alias("published_at"),
         written.alias("published_text"),
         pick_feed_image(
@@ -106,7 +104,7 @@ def _rss(feeds: DataFrame) -> DataFrame:
     )
 
 
-def _atom(feeds: DataFrame) -> DataFrame:
+def _atom(feeds: DataFrame, limits: TextLimits) -> DataFrame:
     entries = feeds.select("payload_id", "source_id", F.posexplode("feed.entry").alias("position", "item"))
     alternates = F.filter(
         F.transform(
@@ -136,16 +134,16 @@ def _atom(feeds: DataFrame) -> DataFrame:
     )
     markup = F.coalesce("item.summary", "item.content")
     written = F.coalesce("item.published", "item.updated")
-    return _with_link(entries, F.get(alternates, F.lit(0)), F.col("item.title")).select(
+    return _with_link(entries, F.get(alternates, F.lit(0)), F.col("item.title"), limits).select(
         "payload_id",
         "source_id",
         "position",
         blank_to_null(F.col("item.id")).alias("external_id"),
         "canonical_url",
         "title",
-        F.substring(plain_text(F.coalesce("item.author.name", "item.author._VALUE")), 1, AUTHOR_CHARS).alias("author"),
-        plain_text(markup).alias("summary"),
-        plain_text(F.col("item.content"), BODY_CHARS).alias("body_text"),
+        cut(plain_text(F.coalesce("item.author.name", "item.author._VALUE")), limits.author).alias("author"),
+        plain_text(markup, limits.summary).alias("summary"),
+        plain_text(F.col("item.content"), limits.body).alias("body_text"),
         any_date(written).alias("published_at"),
         written.alias("published_text"),
         pick_feed_image(
@@ -154,32 +152,34 @@ def _atom(feeds: DataFrame) -> DataFrame:
     )
 
 
-def _first_entries(candidates: DataFrame) -> DataFrame:
+def _first_entries(candidates: DataFrame, entries: int | None) -> DataFrame:
+    if entries is None:
+        return candidates
     place = F.row_number().over(Window.partitionBy("payload_id").orderBy("position"))
-    return candidates.withColumn("_place", place).filter(F.col("_place") <= ENTRIES_PER_FEED).drop("_place")
+    return candidates.withColumn("_place", place).filter(F.col("_place") <= entries).drop("_place")
 
 
-def normalize_rss(raw: DataFrame) -> DataFrame:
-    """RSS payloads (payload_id, source_id, payload) to candidates, at most fifty each."""
-    return _first_entries(_rss(_parsed(raw, FEED_SCHEMA)))
+def normalize_rss(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
+    """RSS payloads (payload_id, source_id, payload) to candidates; whole texts and all entries unless limited."""
+    return _first_entries(_rss(_parsed(raw, FEED_SCHEMA), limits), limits.entries)
 
 
-def normalize_atom(raw: DataFrame) -> DataFrame:
-    """Atom payloads to candidates, at most fifty each."""
-    return _first_entries(_atom(_parsed(raw, FEED_SCHEMA)))
+def normalize_atom(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
+    """Atom payloads to candidates; whole texts and all entries unless limited."""
+    return _first_entries(_atom(_parsed(raw, FEED_SCHEMA), limits), limits.entries)
 
 
-def normalize_feeds(raw: DataFrame) -> DataFrame:
+def normalize_feeds(raw: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Payloads of either dialect; a payload is one or the other."""
     feeds = _parsed(raw, FEED_SCHEMA)
-    return _first_entries(_rss(feeds).unionByName(_atom(feeds)))
+    return _first_entries(_rss(feeds, limits).unionByName(_atom(feeds, limits)), limits.entries)
 
 
 def _count(text: Column) -> Column:
     return F.greatest(F.lit(0), F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0)))
 
 
-def normalize_youtube(raw: DataFrame, floor: int = MIN_VIDEO_ENGAGEMENT) -> DataFrame:
+def normalize_youtube(raw: DataFrame, floor: int = MIN_VIDEO_ENGAGEMENT, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Channel feeds to videos that drew at least ``floor`` views and likes."""
     entries = _parsed(raw, VIDEO_SCHEMA).select(
         "payload_id", "source_id", F.posexplode("feed.entry").alias("position", "item")
@@ -196,10 +196,10 @@ def normalize_youtube(raw: DataFrame, floor: int = MIN_VIDEO_ENGAGEMENT) -> Data
         "position",
         F.concat(F.lit("yt:"), video).alias("external_id"),
         canonical_url(target).alias("canonical_url"),
-        F.substring(blank_to_null(F.col("item.title")), 1, TITLE_CHARS).alias("title"),
+        cut(blank_to_null(F.col("item.title")), limits.title).alias("title"),
         blank_to_null(F.col("item.author.name")).alias("author"),
-        strip_markup(F.col("item.group.description"), SHORT_SUMMARY_CHARS).alias("summary"),
-        strip_markup(F.col("item.group.description")).alias("body_text"),
+        strip_markup(F.col("item.group.description"), limits.short_summary).alias("summary"),
+        strip_markup(F.col("item.group.description"), limits.body).alias("body_text"),
         any_date(F.col("item.published")).alias("published_at"),
         F.col("item.published").alias("published_text"),
         safe_image_url(thumbnail).alias("image_url"),

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.links import canonical_url, resolve_link, safe_image_url, site_of, trusted_image_url
 from gleaner.functions.text import (
-    AUTHOR_CHARS,
-    BODY_CHARS,
-    SUMMARY_CHARS,
-    TITLE_CHARS,
+    NO_LIMITS,
+    TextLimits,
     any_date,
     clean_text,
     decode_entities,
@@ -25,7 +23,6 @@ from gleaner.functions.text import (
 # JSON-LD types that are articles, and blocks that are never prose.
 ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "TechArticle", "Report"]
 NOT_PROSE = ["script", "style", "noscript", "nav", "footer", "aside", "form", "header"]
-META_CHARS = 2_000
 
 _LD_FIELDS = (
     "`@type`:string,image:string,author:string,datePublished:string,dateCreated:string"
@@ -40,13 +37,13 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*parts)
 
 
-def _metas(html: Column) -> Column:
+def _metas(html: Column, limits: TextLimits = NO_LIMITS) -> Column:
     """array<struct<key, content>> of the page's meta tags."""
     return F.transform(
         find_all(html, r"(?i)(<meta\b[^>]*>)"),
         lambda tag: F.struct(
             F.coalesce(attribute(tag, "property"), attribute(tag, "name")).alias("key"),
-            clean_text(decode_entities(attribute(tag, "content")), META_CHARS).alias("content"),
+            clean_text(decode_entities(attribute(tag, "content")), limits.meta).alias("content"),
         ),
     )
 
@@ -106,20 +103,20 @@ def _prose(html: Column) -> Column:
     return F.coalesce(*inside, bare)
 
 
-def extract_page_metadata(pages: DataFrame) -> DataFrame:
+def extract_page_metadata(pages: DataFrame, limits: TextLimits = NO_LIMITS) -> DataFrame:
     """Metadata per page (page_id, url, html), one narrow pass over the markup."""
     html, url = F.col("html"), F.col("url")
     found = (
-        pages.withColumn("metas", _metas(html))
+        pages.withColumn("metas", _metas(html, limits))
         .withColumn("article", _ld_article(html))
-        .withColumn("body_text", plain_text(_prose(html), BODY_CHARS))
+        .withColumn("body_text", plain_text(_prose(html), limits.body))
         .withColumn("canonical_link", _link(html, "canonical"))
         .withColumn("image_link", _link(html, "image_src"))
-        .withColumn("document_title", plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), TITLE_CHARS))
+        .withColumn("document_title", plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), limits.title))
     )
     requested = F.coalesce(resolve_link(F.col("canonical_link"), url), url)
     title = F.coalesce(_meta("og:title", "twitter:title"), "document_title")
-    author = F.coalesce(clean_text(_ld_value(F.col("article.author"), "name"), AUTHOR_CHARS), _meta("author", "article:author", "byl"))
+    author = F.coalesce(clean_text(_ld_value(F.col("article.author"), "name"), limits.author), _meta("author", "article:author", "byl"))
     summary = F.coalesce(_meta("description", "og:description", "twitter:description"), "body_text")
     image = F.coalesce(
         safe_image_url(_meta("og:image", "og:image:url"), url),
@@ -135,9 +132,9 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
         "page_id",
         "url",
         canonical_url(requested).alias("canonical_url"),
-        F.coalesce(clean_text(title, TITLE_CHARS), site_of(url)).alias("title"),
-        clean_text(author, AUTHOR_CHARS).alias("author"),
-        clean_text(summary, SUMMARY_CHARS).alias("summary"),
+        F.coalesce(clean_text(title, limits.title), site_of(url)).alias("title"),
+        clean_text(author, limits.author).alias("author"),
+        clean_text(summary, limits.summary).alias("summary"),
         "body_text",
         image.alias("image_url"),
         published.alias("published_at"),
