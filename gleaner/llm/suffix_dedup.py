@@ -42,7 +42,8 @@ from gleaner.llm.substring_dedup import copies_of_texts
 WINDOW = 100
 ANCHOR = 32
 DIGIT = 25
-GROUP_ROWS = 4_000
+GROUP_ROWS = 20_000  # of about 150 bytes: what one task holds at once
+TABLE_ROWS = 6_000
 
 CONTEXTS = "anchor long, doc_id long, at int, low int, context binary, hot boolean"
 SPANS = "doc_id long, packed long, length int"
@@ -185,7 +186,7 @@ def _radix(window: int, digit: int):
     skips += [window - digit] if skips[-1] + digit < window else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["anchor"]):
+        for table in whole_groups(batches, ["anchor"], TABLE_ROWS):
             suffixes = _Suffixes(table, window, digit)
             (anchor,) = numbers(table, "anchor")
             offset = (suffixes.at[suffixes.row] - suffixes.start).astype(np.uint64)
