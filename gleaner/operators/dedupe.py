@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.language import Lexicon, is_non_english
 from gleaner.functions.scoring import MICROS_PER_DAY, days_before
-from gleaner.functions.text import find_all, is_real_author
+from gleaner.functions.text import is_real_author
 from gleaner.operators.components import connected_components
 from gleaner.operators.similarity import NEAR_DUPLICATE_THRESHOLD, similar_sets, title_sets, with_title_key
 from gleaner.session import settled
@@ -20,7 +20,7 @@ FULL_BODY, SOME_BODY, IMAGE, BYLINE = 4, 2, 2, 1
 
 
 def richness() -> Column:
-    body_words = F.size(find_all(F.col("body_content"), r"(\S+)"))
+    body_words = F.coalesce(F.regexp_count("body_content", F.lit(r"\S+")), F.lit(0))
     body = F.when(body_words >= SUBSTANTIAL_BODY_WORDS, FULL_BODY).when(body_words > 0, SOME_BODY).otherwise(0)
     image = F.when(F.col("image_url") != "", IMAGE).otherwise(0)
     return body + image + F.when(is_real_author(F.col("author")), BYLINE).otherwise(0)

@@ -18,6 +18,7 @@ from gleaner.operators.similarity import (
     title_sets,
     with_title_key,
 )
+from gleaner.operators.skew import checked_join
 from gleaner.session import settled
 
 # The five weights, the bar, and the engagement redistributed when unreported.
@@ -367,7 +368,7 @@ def qualify(
     with the near-duplicates and returned is narrow.
     """
     known = (
-        candidates.join(context.select("source_id", "aliases", "trust"), "source_id", "left")
+        checked_join(candidates, context.select("source_id", "aliases", "trust"), "source_id", spread_by="id")
         .withColumn("trust", F.coalesce("trust", F.lit("unknown")))
         .withColumn("aliases", F.coalesce("aliases", array_of_strings()))
     )

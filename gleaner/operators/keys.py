@@ -71,11 +71,17 @@ def recanonicalize_plan(items: DataFrame) -> DataFrame:
 
 
 def match_existing(candidates: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds existing_id and existing_source_id: match by hash first, then by key."""
+    """Adds existing_id and existing_source_id: match by hash first, then by key.
+
+    The stored corpus is only filtered by what the candidates ask for; the few hits
+    are grouped.
+    """
     stored = with_dedupe_key(items).select("id", "source_id", "url_hash", "dedupe_key")
     first = F.min(F.struct("id", "source_id"))
-    by_hash = stored.groupBy("url_hash").agg(first.alias("by_hash"))
-    by_key = stored.groupBy("dedupe_key").agg(first.alias("by_key"))
+    hashes = candidates.select("url_hash").distinct()
+    links = candidates.select(F.col("canonical_url").alias("dedupe_key")).distinct()
+    by_hash = stored.join(hashes, "url_hash", "left_semi").groupBy("url_hash").agg(first.alias("by_hash"))
+    by_key = stored.join(links, "dedupe_key", "left_semi").groupBy("dedupe_key").agg(first.alias("by_key"))
     found = F.coalesce("by_hash", "by_key")
     return (
         candidates.join(by_hash, "url_hash", "left")
@@ -89,7 +95,7 @@ def match_existing(candidates: DataFrame, items: DataFrame) -> DataFrame:
 def word_counts(items: DataFrame, body_col: str = "body_content") -> DataFrame:
     """Adds word_count (null for a blank body) and reading_minutes."""
     body = F.trim(F.col(body_col))
-    counted = items.withColumn("word_count", F.when(body != "", F.size(F.split(body, r"\s+"))))
+    counted = items.withColumn("word_count", F.when(body != "", F.regexp_count(body, F.lit(r"\S+"))))
     minutes = F.greatest(F.lit(1), F.floor(F.col("word_count") / 200 + F.lit(0.5)).cast("int"))
     return counted.withColumn("reading_minutes", F.when(F.col("word_count") > 0, minutes))
 

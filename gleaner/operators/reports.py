@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gleaner.functions.links import site_of
 from gleaner.functions.language import Lexicon
 from gleaner.functions.scoring import MICROS_PER_DAY, days_before, iff
-from gleaner.functions.text import find_all
 from gleaner.operators.gate import DEFAULT_ARTICLE_AGE_DAYS, qualify
 
 # Sizes of the top-k reports and the age of a stale source.
@@ -199,7 +198,7 @@ def backfill_pass(
         F.lit(False).alias("paywalled"),
         F.lit(False).alias("duplicate"),
         (F.coalesce("kept_image", F.lit("")) != "").alias("image_found"),
-        F.size(find_all(F.col("kept_body"), r"(\S+)")).alias("body_words"),
+        F.coalesce(F.regexp_count("kept_body", F.lit(r"\S+")), F.lit(0)).alias("body_words"),
         (F.col("image_url").isNull() & F.col("kept_image").isNotNull()).alias("image_added"),
         (F.col("body_content").isNull() & F.col("kept_body").isNotNull()).alias("body_added"),
     )

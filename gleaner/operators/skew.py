@@ -1,20 +1,44 @@
-"""Join helper for keys that may hold a large share of all rows on both sides."""
+"""Join helpers for keys that may hold a large share of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import settled
+
 BLOCK_ROWS = 1_000_000
+BROADCAST_BYTES = 16 << 20
+
+
+def _salted(many: DataFrame, few: DataFrame, key: str, spread_by: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a _salt; rows of ``few`` are repeated once per block of their key."""
+    counts = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    blocks = settled(counts)
+    left = many.join(blocks, key).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_blocks")).cast("int"))
+    right = few.join(blocks, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return left.drop("_blocks"), right.drop("_blocks")
 
 
 def salted_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Inner join in which a hot key of ``many`` is cut into blocks of ``block_rows``.
 
-    Rows of ``few`` are repeated once per block of their key, so an ordinary
-    key costs nothing extra and a hot one is worked on by many tasks.
+    An ordinary key costs nothing extra and a hot one is worked on by many tasks.
     """
-    blocks = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    left = many.join(blocks, key).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_blocks")).cast("int"))
-    right = few.join(blocks, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return left.drop("_blocks").join(right.drop("_blocks"), [key, "_salt"]).drop("_salt")
+    left, right = _salted(many, few, key, spread_by, block_rows)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def checked_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join that leaves the rows of ``many``, and their texts, where they are.
+
+    ``few`` has a row per key. Its size is measured: up to ``most_bytes`` it goes to
+    the tasks, beyond that the keys of ``many`` alone meet it, and what they find
+    comes back by ``spread_by``, a unique column, so that no key is one task.
+    """
+    few = settled(few)
+    size = few.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()["bytes"] or 0
+    if size <= most_bytes:
+        return many.join(F.broadcast(few), key, "left")
+    found = salted_join(many.select(spread_by, key).filter(F.col(key).isNotNull()), few, key, spread_by)
+    return many.join(found.drop(key), spread_by, "left")

@@ -10,6 +10,7 @@ from gleaner.functions.language import (
     NON_LATIN,
 )
 from gleaner.operators import gate
+from gleaner.operators.skew import checked_join
 from gleaner.plans import fixtures
 from gleaner.plans.registry import joined, query, rounded, stamp
 from gleaner.plans.views import NOW, WS, days_old, quoted, recency, shingles, stamp as sql_stamp, with_views, words
@@ -264,8 +265,8 @@ SCORED = {"context": CONTEXT, "scored": scored_view()}
 
 def _scored(fx):
     context = gate.source_context(fx.sources(), fx.source_topics(), fx.topic_aliases())
-    known = fx.candidates().join(context.select("source_id", "aliases", "trust"), "source_id")
-    return gate.score_terms(known, fixtures.now())
+    known = checked_join(fx.candidates(), context.select("source_id", "aliases", "trust"), "source_id", spread_by="id")
+    return gate.score_terms(known.filter(F.col("trust").isNotNull()), fixtures.now())
 
 
 @query("relevance", with_views("SELECT id, relevance FROM scored", *SCORE_VIEWS, extra=SCORED))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.language import Lexicon
 from gleaner.operators import dedupe, gate, quota, ranking, similarity, skew, state, topics
 from gleaner.operators.components import connected_components
+from gleaner.operators.skew import checked_join
 
 NOW = datetime(2024, 1, 31)
 
@@ -284,3 +285,26 @@ def test_signals_fold_in_two_stretches(spark):
     halves = state.merge_hit_summaries(state.hit_summaries(hits.filter(F.col("seen_at") <= middle)), state.hit_summaries(hits.filter(F.col("seen_at") > middle)))
     merged = {r["item_id"]: (r["engagement_count"], r["source_count"], r["platform"]) for r in state.signals_of(halves).collect()}
     assert merged == expected
+
+
+def test_texts_stay_where_they_are_scanned(spark):
+    """No exchange above a text column in the gate, even where Spark broadcasts nothing by itself."""
+    fields = [f.split()[0] for f in SCHEMA.split(", ")]
+    table = spark.createDataFrame([tuple(candidate()[f] for f in fields)] * 3, SCHEMA)
+    context = spark.createDataFrame([("s", ["widgets"], "official")], "source_id string, aliases array<string>, trust string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = gate.qualify(table, context, sql_now(), lexicon=Lexicon([]))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_checked_join_beyond_its_size(spark):
+    many = spark.range(500).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 > 0 THEN 'hot' ELSE 'k' || id % 7 END AS k", "'t' AS text")
+    few = spark.createDataFrame([("hot", 1), ("k1", 2), ("k9", 3)], "k string, v int")
+    expected = sorted((r["id"], r["k"], r["v"] or 0) for r in many.join(few, "k", "left").collect())
+    for most in (0, 1 << 20):
+        found = checked_join(many, few, "k", "id", most)
+        assert sorted((r["id"], r["k"], r["v"] or 0) for r in found.collect()) == expected
