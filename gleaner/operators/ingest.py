@@ -11,6 +11,7 @@ from gleaner.functions.language import Lexicon
 from gleaner.functions.links import url_hash
 from gleaner.functions.scoring import iff
 from gleaner.operators import gate, keys, topics
+from gleaner.operators.skew import checked_join
 from gleaner.session import settled
 
 
@@ -73,6 +74,8 @@ def ingest_batch(
     # A hard reject that comes before near_duplicate_title in the gate keeps its reason.
     outranked = F.col("reason").isin("duplicate_url_hash", "aggregator_domain", "spam_markers", "paywalled_without_summary")
     doubled = F.col("in_batch") & ~outranked
+    topic = context.select("source_id", F.get("topic_ids", F.lit(0)).alias("topic_id"))
+    walked = checked_join(walked, topic, "source_id", spread_by="id")
     verdicts = (
         walked.withColumn("reason", F.when(doubled, "near_duplicate_title").otherwise(F.col("reason")))
         .withColumn("score", F.when(doubled, 0.0).otherwise(F.col("score")))

@@ -19,16 +19,24 @@ EVENT_TYPES = ["impression", "open", "save", "unsave", "mark_read", "mark_unread
 MAX_DWELL_SECONDS = 86_400
 
 
+SIGNALS = "struct<relevance:double,trust:double,substance:double,engagement:double,freshness:double>"
+
+
 def verdict_rows(verdicts: DataFrame) -> DataFrame:
-    """Verdicts in the shape of the log."""
+    """Verdicts in the shape of the log; topic_id and breakdown are null where a verdict has none."""
+    for name, kind in (("topic_id", "bigint"), ("breakdown", SIGNALS)):
+        if name not in verdicts.columns:
+            verdicts = verdicts.withColumn(name, F.lit(None).cast(kind))
     return verdicts.select(
         "url_hash",
         "canonical_url",
         "title",
         "source_id",
+        "topic_id",
         F.round("score", 3).cast("decimal(4,3)").alias("score"),
         F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("decision"),
         "reason",
+        F.col("breakdown").cast(SIGNALS).alias("signals"),
         "created_at",
         F.to_date("created_at").alias("day"),
     )

@@ -377,8 +377,7 @@ def _finished(started):
 @query("verdict_log_stream", VERDICT_LOG_SQL)
 def verdict_log_stream(fx):
     folder = _run_folder(fx, "verdicts")
-    stream = jobs.verdict_log_stream(StreamFixtures(fx.spark, fx.folder).verdicts())
-    _finished(jobs.write_batches(stream, f"{folder}/rows", f"{folder}/checkpoint"))
+    _finished(jobs.verdict_log_stream(StreamFixtures(fx.spark, fx.folder).verdicts(), f"{folder}/rows", f"{folder}/checkpoint"))
     return _log_rows(fx.spark.read.parquet(f"{folder}/rows"))
 
 

@@ -15,10 +15,24 @@ from gleaner.operators.ingest import ingest_batch
 from gleaner.session import settled
 
 
-def verdict_log_stream(verdicts: DataFrame, late: str = "1 day") -> DataFrame:
-    """Append-only verdict log of a stream: first verdict per link and UTC day."""
-    rows = state.verdict_rows(verdicts).withWatermark("created_at", late)
-    return rows.dropDuplicatesWithinWatermark(["url_hash", "day"])
+def verdict_log_stream(verdicts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append-only verdict log of a stream: one verdict per link and UTC day.
+
+    Of the verdicts of one micro-batch the earliest counts, in whatever order files
+    and tasks bring them; a verdict of a later batch yields to a logged one. None is
+    dropped for being late. Rows are stored by batch and day, so a batch reads back
+    only the days it touches, and a retried batch replaces its folder.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        rows = settled(state.verdict_log(batch))
+        if batch_id:
+            log = batch.sparkSession.read.parquet(folder).filter(F.col("batch") < batch_id)
+            known = log.join(rows.select("day").distinct(), "day", "left_semi").select("url_hash", "day")
+            rows = rows.join(known, ["url_hash", "day"], "left_anti")
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/batch={batch_id}")
+
+    return verdicts.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def reader_state_changes(events: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleaner.functions.language import Lexicon
+from gleaner.operators import state
 from gleaner.operators.ingest import ingest_batch
 from gleaner.sources import feeds
 from gleaner.streaming import jobs
@@ -75,3 +76,38 @@ def test_ingest_stream(spark, tmp_path):
     job.awaitTermination(120)
     check_runs(spark.read.parquet(str(tmp_path / "out" / "runs")).collect())
     assert spark.read.parquet(str(tmp_path / "out" / "items")).count() == 1
+
+
+def test_verdict_stream_keeps_the_earliest_of_a_batch(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "sha2(CAST(id % 20 AS STRING), 256) AS url_hash", "'u' AS canonical_url", "CONCAT('t', id) AS title", "'s' AS source_id",
+        "id / 1000D AS score", "false AS accepted", "'stale' AS reason", "id % 3 AS topic_id",
+        "timestamp_seconds(1706000000 + (id * 7919 % 400) * 900) AS created_at",
+    )
+    rows.repartition(9).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    jobs.verdict_log_stream(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    columns = ["url_hash", "day", "title", "topic_id"]
+    logged = spark.read.parquet(str(tmp_path / "out")).select(*columns)
+    expected = state.verdict_log(rows).select(*columns)
+    assert sorted(map(str, logged.collect())) == sorted(map(str, expected.collect()))
+    # What comes later for a logged link and day changes nothing; a new day is logged.
+    later = rows.filter("id < 20").withColumn("title", F.lit("later"))
+    later.unionByName(later.withColumn("created_at", F.expr("created_at + INTERVAL 90 DAYS"))).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.verdict_log_stream(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).filter("title = 'later'").count() == 20
+
+
+def test_every_candidate_is_accounted_for_across_sources(spark):
+    known = tables(spark)
+    known["sources"] = spark.createDataFrame([("a", "official", None), ("b", "official", None)], "source_id string, trust_tier string, max_article_age_days int")
+    known["source_topics"] = spark.createDataFrame([("a", 1), ("b", 1)], "source_id string, topic_id bigint")
+    shared = "Widgets of two makers sing the very same song today"
+    own = [entry(f"Widgets part {n} {n * 7} {n * 11} {n * 13}", f"https://a.com/{n}") for n in range(30)]
+    raw_rows = [("p1", "a", payload(*own, entry(shared, "https://a.com/s"))), ("p2", "b", payload(entry(shared, "https://b.com/s")))]
+    raw_table = spark.createDataFrame(raw_rows, "payload_id string, source_id string, payload string")
+    result = ingest_batch(feeds.normalize_rss(raw_table), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now(), lexicon=Lexicon([]))
+    runs = {r["source_id"]: r for r in result.runs.collect()}
+    assert (runs["a"]["fetched"], runs["b"]["fetched"]) == (31, 1) and result.verdicts.count() == 32
+    assert [r["source_id"] for r in result.new_items.filter(F.col("title") == shared).collect()] == ["a"]
+    assert all(r["fetched"] == r["inserted"] + r["duplicates"] + r["rejected"] for r in runs.values())
