@@ -94,12 +94,16 @@ def saved_library(saved: DataFrame, submissions: DataFrame, tab: str) -> DataFra
 
 
 def feed_cards(items: DataFrame, sources: DataFrame, item_topics: DataFrame, signals: DataFrame) -> DataFrame:
-    """What a card shows, per item and independent of the reader; topics in topic order."""
+    """What a card shows, per item and independent of the reader; topics in topic order.
+
+    A stored word_count is used as it is, so that no body is read.
+    """
     linked = item_topics.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
     named = sources.select("source_id", F.col("name").alias("source_name"), "trust_tier")
     counted = signals.select(F.col("item_id").alias("id"), "engagement_count", "source_count")
     tier = F.when(F.col("trust_tier").isin(TIERS), F.col("trust_tier")).otherwise("official")
-    base = word_counts(items).select(
+    counted_items = items if "word_count" in items.columns else word_counts(items)
+    base = counted_items.select(
         "id", "source_id", "title", "summary", "canonical_url", "author", "published_at", "image_url", "word_count"
     )
     return (
