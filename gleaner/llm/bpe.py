@@ -58,8 +58,8 @@ KNOWN_RANGES = [
     (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
 ]
 
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 200_000
 
 
 def byte_letters() -> list[str]:
