@@ -188,5 +188,4 @@ def merge_submission(fx):
     ),
 )
 def language_purge_plan(fx):
-    saved = fx.saved().filter("user_id < 2")
-    return dedupe.language_purge_plan(fx.items(), saved, fx.submissions(), fixtures.now(), lexicon=fixtures.LEXICON)
+    return dedupe.language_purge_plan(fx.items(), fx.saved(), fx.submissions(), fixtures.now(), lexicon=fixtures.LEXICON)
