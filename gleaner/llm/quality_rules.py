@@ -2,12 +2,12 @@
 
 Lines are normalised (words joined by one space, A-Z lower-cased) and hashed; per host
 the distinct documents of each line are counted. A line in more than ``LINE_SHARE`` of
-its host's documents, and in ``LINE_DOCS`` at least, is boilerplate and is removed from
+its host's distinct documents, and in ``LINE_DOCS`` at least, is boilerplate and is removed from
 all but its first document, so no content vanishes altogether. A document is depleted,
 and rejected, when fewer than half of its words are left. The share is relative, so
 a verdict does not change when host and corpus grow alike.
 
-Documents with equal texts count as one document: a line that is frequent only
+Documents with equal texts count as one document, for a line and for its host: a line that is frequent only
 because its document was copied is the business of the dedup stages.
 
 Base rules need one document only: too few words, or too many repeated three-word
@@ -137,7 +137,8 @@ def verdicts(
     scanned = shelf.put("scanned", texts.mapInArrow(_scan, SCHEMA)).withColumn("host", F.coalesce("host", F.lit("")))
 
     lines = scanned.select("doc_id", "host", "text_key", F.explode("lines.line").alias("line"))
-    hosts = scanned.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    texts_of_host = scanned.select("host", "text_key").distinct()
+    hosts = texts_of_host.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     counted = (
         lines.groupBy("host", "line", "text_key")
         .agg(F.min("doc_id").alias("first"))
