@@ -108,6 +108,24 @@ def duplicate_pairs(items: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOL
     return _edition_links(nodes, similar_sets(title_sets(keyed), threshold))
 
 
+def _placed(keyed: DataFrame, editions: DataFrame, *carried: str) -> DataFrame:
+    """Items with the node of their edition and its carried columns."""
+    slots = editions.select("set_id", F.col("slot").alias("edition_slot"), "node", *carried)
+    same_slot = keyed["slot"].eqNullSafe(F.col("edition_slot"))
+    return keyed.join(slots, (keyed["set_id"] == slots["set_id"]) & same_slot).drop("set_id", "edition_slot")
+
+
+def edition_members(items: DataFrame) -> DataFrame:
+    """(node, id, items) for every item with a title: its edition, and how many items that has.
+
+    The membership beside ``duplicate_pairs``, whose src and dst are these nodes;
+    copies of one title are an edition of several items, one row for each.
+    """
+    keyed = settled(with_title_key(items.select("id", "title", "published_at", _slot().alias("slot"))).drop("title"))
+    editions = _editions(_slots(keyed)).withColumn("items", F.sum("items").over(Window.partitionBy("node")))
+    return _placed(keyed, settled(editions), "items").select("node", "id", "items")
+
+
 def duplicate_groups(items: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHOLD) -> DataFrame:
     """(id, group_id, keep_id) for every item that has a near-duplicate.
 
@@ -123,10 +141,7 @@ def duplicate_groups(items: DataFrame, threshold: float = NEAR_DUPLICATE_THRESHO
     links = _edition_links(_nodes(editions), similar_sets(title_sets(keyed), threshold))
     components = connected_components(links.select("src", "dst"))
     placed = (
-        keyed.join(
-            editions.select("set_id", F.col("slot").alias("edition_slot"), "node"),
-            (keyed["set_id"] == editions["set_id"]) & keyed["slot"].eqNullSafe(F.col("edition_slot")),
-        )
+        _placed(keyed, editions)
         .select("id", "richness", "published_at", "fetched_at", "node")
         .join(components, "node", "left")
         .withColumn("group_id", F.coalesce("component", "node"))

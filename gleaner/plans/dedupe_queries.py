@@ -39,6 +39,17 @@ def duplicate_pairs(fx):
     return dedupe.duplicate_pairs(fx.items()).select("src", "dst", rounded("similarity").alias("similarity"), "items_a", "items_b")
 
 
+@query(
+    "duplicate_members",
+    with_views(
+        "SELECT node, id, count(*) OVER (PARTITION BY node) AS items FROM editions",
+        "fx_items", extra={"cut": CUT["cut"], "editions": CUT["editions"]},
+    ),
+)
+def duplicate_members(fx):
+    return dedupe.edition_members(fx.items())
+
+
 RICHNESS = """CASE WHEN len(regexp_extract_all(coalesce(body_content, ''), '\\S+')) >= 150 THEN 4 WHEN len(regexp_extract_all(coalesce(body_content, ''), '\\S+')) > 0 THEN 2 ELSE 0 END
     + CASE WHEN coalesce(image_url, '') <> '' THEN 2 ELSE 0 END
     + CASE WHEN coalesce(trim(author), '') <> '' AND lower(trim(author)) NOT IN ('unknown author', 'unknown', 'n/a', 'na', 'anonymous', '—', '-', 'undefined', 'null') THEN 1 ELSE 0 END"""

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from compare import difference, oracle
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -33,3 +34,20 @@ def test_purge_plan_has_each_action(spark):
     assert {r.id: r.action for r in plan.collect()} == {
         "a": "remove", "b": "saved_by_reader", "c": "saved_by_reader", "d": "reader_submission",
     }
+
+
+def test_copies_of_one_title_are_members_of_an_edition(spark):
+    title = "one title that nothing else resembles"
+    rows = [(f"c{i}", title, datetime(2024, 1, 1 + i % 6)) for i in range(30)]
+    rows += [("late", title, datetime(2024, 3, 1)), ("alone", "quite another headline here", None), ("none", "", None)]
+    items = spark.createDataFrame(rows, "id string, title string, published_at timestamp")
+    members = dedupe.edition_members(items).collect()
+    assert sorted((r.id, r["items"]) for r in members) == sorted([(f"c{i}", 30) for i in range(30)] + [("late", 1), ("alone", 1)])
+    assert len({r.node for r in members}) == 3
+    assert dedupe.duplicate_pairs(items).count() == 0
+
+
+def test_members_match_their_sql(spark):
+    name = "duplicate_members"
+    problem, rows = difference(spark, oracle(FOLDER), FOLDER, contract.queries()[name], contract.oracle_sql()[name])
+    assert problem is None and rows > 0, problem
