@@ -120,12 +120,13 @@ def _sketches(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(block.row, block.rows),
+                        batch["text_key"].slice(block.row, block.rows),
                         pa.array(n.astype(np.int64)),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(sketch.reshape(-1).view(np.int64))),
                     ],
-                    names=["doc_id", "n", "f1", "f2", "sketch"],
+                    names=["doc_id", "text_key", "n", "f1", "f2", "sketch"],
                 )
 
     return scan
@@ -319,10 +320,16 @@ def classes(
     class_id: least doc_id of the class. n_links: other distinct shingle sets at the
     threshold or above; copies of one set count once.
     """
+    return _placed(docs, threshold, size, recall).drop("text_key")
+
+
+def _placed(docs: DataFrame, threshold: float, size: int, recall: float) -> DataFrame:
+    """``classes`` with the hash of each row's text."""
     shelf = Shelf(docs.sparkSession, "ngram-jaccard")
     runs, agreement = runs_for(recall, threshold), agreement_for(threshold)
-    texts = docs.select("doc_id", "text")
-    sketched = texts.mapInArrow(_sketches(size), "doc_id long, n long, f1 long, f2 long, sketch array<long>")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    schema = "doc_id long, text_key long, n long, f1 long, f2 long, sketch array<long>"
+    sketched = texts.mapInArrow(_sketches(size), schema)
     sketches = shelf.put("sketches", sketched)
 
     # One row for each distinct set; of its documents the least id stands for it.
@@ -358,7 +365,7 @@ def classes(
     )
     with_words = sketches.filter("n > 0").join(named, ["f1", "f2"], "left")
     alone = sketches.filter("n = 0").withColumns({"class": F.col("doc_id"), "links": F.lit(0)})
-    columns = ["doc_id", "n", "class", "links"]
+    columns = ["doc_id", "text_key", "n", "class", "links"]
     known_id = F.col("doc_id").isNotNull()
     return (
         with_words.select(*columns)
@@ -368,12 +375,19 @@ def classes(
             F.when(known_id, F.col("class")).alias("class_id"),
             F.when(known_id, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
             F.col("n").alias("n_shingles"),
+            "text_key",
         )
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """The documents of the least id of each class, once; rows with a null id stay."""
-    found = classes(docs, threshold, size).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents of the least id of each class, once; rows with a null id stay.
+
+    Of an id with several texts each one that stands for its class stays.
+    """
+    found = _placed(docs, threshold, size, RECALL).filter("doc_id = class_id")
+    found = found.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
+    own = F.xxhash64(docs["text"])
+    kept = docs.join(found, (docs["doc_id"] == found["_kept"]) & (own == found["_kept_text"]), "left_semi")
+    kept = kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -1,6 +1,6 @@
 """Places where a corpus operator once did less than the whole job, each on the least input that shows it."""
 
-from gleaner.llm import quality_rules
+from gleaner.llm import ngram_jaccard, quality_rules
 
 DOCS = "doc_id long, text string, source string"
 
@@ -17,3 +17,10 @@ def test_copies_do_not_raise_the_line_limit(spark):
         left.append({r.doc_id: (r.kept, r.n_words_left) for r in out.filter("doc_id < 600").collect()})
     assert left[0] == left[1]
     assert left[0][0] == (True, 110) and all(left[0][i] == (False, 50) for i in range(1, 12))
+
+
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(7, one, "h"), (7, two, "h"), (7, two, "h"), (9, two, "h"), (3, three, "h"), (8, three, "h"), (8, "alone", "h"), (None, one, "h")]
+    out = ngram_jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in out) == sorted([(0, one), (7, one), (7, two), (3, three), (8, "alone")])
