@@ -24,3 +24,8 @@ def test_each_text_of_a_repeated_id_is_judged(spark):
     rows = [(7, one, "h"), (7, two, "h"), (7, two, "h"), (9, two, "h"), (3, three, "h"), (8, three, "h"), (8, "alone", "h"), (None, one, "h")]
     out = ngram_jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(((r.doc_id or 0), r.text) for r in out) == sorted([(0, one), (7, one), (7, two), (3, three), (8, "alone")])
+
+
+def test_stated_loss_is_over_shared_positions():
+    runs = ngram_jaccard.runs_for(ngram_jaccard.RECALL, 0.8)
+    assert runs == 10 and 3.0e-5 < ngram_jaccard.loss(runs, 0.8) < 3.2e-5
