@@ -87,15 +87,16 @@ def agreement_for(similarity: float) -> int:
     return SKETCH
 
 
-def shingle_sets(block: words.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(block: words.Block, size: int, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows of a block, by row and value, and where each row begins."""
     counts = block.counts()
     starts = block.window_starts(size)
     short = np.flatnonzero((counts > 0) & (counts < size))
     rows = np.concatenate((block.row_of_words()[starts], short))
-    ends = np.concatenate((starts + size, block.first[short + 1]))
-    starts = np.concatenate((starts, block.first[short]))
-    hashes = words.run_hashes(block.word_hashes(), starts, ends)
+    own = block.word_hashes(folded=folded)
+    hashes = np.concatenate(
+        (words.window_hashes(own, starts, size), words.run_hashes(own, block.first[short], block.first[short + 1]))
+    )
     order = np.lexsort((hashes, rows))
     hashes, rows = hashes[order], rows[order]
     new = edges_of(rows, hashes)[:-1]

@@ -92,7 +92,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo, hi = np.searchsorted(block.starts, starts), np.searchsorted(block.starts, ends)
             worded = hi > lo
             starts, ends, rows, lo, hi = starts[worded], ends[worded], rows[worded], lo[worded], hi[worded]
-            raw = words.byte_hashes(block.data, starts, ends)
+            raw = words.span_hashes(block.data, starts, ends)
             order = np.lexsort((raw, rows))
             edges = edges_of(rows[order], raw[order])
             repeated = np.ones(len(order), dtype=bool)

@@ -1,8 +1,13 @@
 """Words, hashes and windows of whole Arrow batches of texts, a block of documents at a time.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; in UTF-8 these bytes
-never occur inside a character, so words can be cut on bytes. All arithmetic is
-modulo 2**64 on numpy arrays; there is no loop over words. Hashes only propose
+never occur inside a character, so words can be cut on bytes. There is no loop over
+words: all work is on numpy arrays of 64-bit values.
+
+A word's hash is a sum of its 8-byte pieces, each mixed with its place; a run's hash is
+a sum of its word hashes, each mixed with its place; a window's hash joins those of its
+halves. Every step mixes before it adds, so no algebraic pattern of letters or words
+(as of a polynomial modulo 2**64) makes different ones collide. Hashes only propose
 equality; operators that need certainty compare 128 bits or the words themselves.
 """
 
@@ -22,9 +27,12 @@ _DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LETTERS = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12)]
 
-_FOLDED = [letters.copy() for letters in _LETTERS]
-for _letters in _FOLDED:
-    _letters[ord("A") : ord("Z") + 1] = _letters[ord("a") : ord("z") + 1]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+
+# By kind: what a piece's place, a piece, a word's place in a run, and a half of a window are mixed with.
+_SALTS = np.random.default_rng(13).integers(1, 1 << 63, (2, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PIECE_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def powers(base: int, count: int) -> np.ndarray:
@@ -50,7 +58,6 @@ class _Powers:
 
 
 _POWERS = [_Powers(base) for base in _BASES]
-_RUNS = [_Powers(base ^ 0x5DEECE66D << 8) for base in _BASES]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -63,6 +70,34 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each member of consecutive groups of these lengths."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sum modulo 2**64 of each of consecutive groups of these lengths; 0 for an empty one."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Hash of the bytes data[start:end] of each range, from its 8-byte pieces."""
+    place_salt, piece_salt, _, _ = _SALTS[kind]
+    lengths = ends - starts
+    pieces = (lengths + 7) >> 3
+    place = _places(pieces)
+    at = np.repeat(starts, pieces) + (place << 3)
+    left = np.minimum(np.repeat(ends, pieces) - at, 8)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    value = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].view(np.uint64).reshape(-1) & _PIECE_MASKS[left]
+    value = mixed(mixed(value ^ piece_salt) ^ (place.astype(np.uint64) + np.uint64(1)) * place_salt)
+    return mixed(_sums(value, pieces) + lengths.astype(np.uint64) * piece_salt)
+
+
 def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: _Powers) -> np.ndarray:
     """Hash of values[start:end] for each range: a polynomial, from one running sum."""
     up, down = table.get(len(values) + 1)
@@ -94,8 +129,7 @@ class Block:
 
     def word_hashes(self, kind: int = 0, folded: bool = False) -> np.ndarray:
         """folded: A-Z count as a-z."""
-        letters = (_FOLDED if folded else _LETTERS)[kind]
-        return _range_hashes(letters[self.data], self.starts, self.ends, _POWERS[kind])
+        return span_hashes(_FOLD[self.data] if folded else self.data, self.starts, self.ends, kind)
 
     def window_starts(self, size: int) -> np.ndarray:
         """Index of the first word of every window of ``size`` words; windows stay within a row."""
@@ -108,18 +142,37 @@ class Block:
 
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
-    """Hash of the ``size`` word hashes that begin at each place in ``at``."""
-    return _range_hashes(hashes, at, at + size, _RUNS[kind])
+    """Hash of the ``size`` word hashes that begin at each place in ``at``.
+
+    Hashes of 1, 2, 4, ... words come from two of the half before; those that the
+    binary digits of ``size`` name are joined in order.
+    """
+    salt = _SALTS[kind, 3]
+    level, width, out, offset = hashes, 1, None, 0
+    while True:
+        if size & width:
+            part = level[at + offset]
+            out = mixed(part ^ salt) if out is None else mixed(out * salt + part)
+            offset += width
+        if offset == size:
+            return out
+        level = mixed(mixed(level[:-width] ^ salt) + level[width:]) if len(level) > width else level[:0]
+        width *= 2
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """Hash of data[start:end] for each range of bytes."""
+    """Hash of data[start:end] for each range of bytes, however they overlap; for windows of a fixed, small size."""
     return _range_hashes(_LETTERS[kind][data], starts, ends, _POWERS[kind])
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
-    """As ``window_hashes``, for runs of any length."""
-    return _range_hashes(hashes, starts, ends, _RUNS[kind])
+    """Hash of hashes[start:end] for runs of any length."""
+    salt = _SALTS[kind, 2]
+    lengths = ends - starts
+    place = _places(lengths)
+    value = hashes[np.repeat(starts, lengths) + place]
+    value = mixed(value ^ (place.astype(np.uint64) + np.uint64(1)) * salt)
+    return mixed(_sums(value, lengths) + lengths.astype(np.uint64) * salt)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
