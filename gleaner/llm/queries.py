@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import bpe, decontamination, html_text, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
+from gleaner.llm import bpe, decontamination, html_text, minhash_forest, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -82,3 +82,8 @@ def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_html_extraction")
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extracted(table(spark, folder, "pages"))
+
+
+@query("op11_minhash_near_dedup", minhash_forest.ORACLE)
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, folder, "documents"))
