@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import bpe, decontamination, html_text, minhash_forest, ngram_jaccard, quality_rules, sharding, suffix_dedup, url_filters, warc
+from gleaner.llm import (
+    bpe,
+    conversation_repair,
+    decontamination,
+    html_text,
+    minhash_forest,
+    ngram_jaccard,
+    quality_rules,
+    sharding,
+    suffix_dedup,
+    url_filters,
+    warc,
+)
 from gleaner.llm.storage import prepared
 from gleaner.llm.substring_dedup import digests as substring_digests
 
@@ -87,3 +99,9 @@ def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_minhash_near_dedup", minhash_forest.ORACLE)
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op12_conversation_structure_repair", conversation_repair.ORACLE)
+def conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return conversation_repair.judged(conversation_repair.damaged(conversations), conversations)
