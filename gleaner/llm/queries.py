@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from gleaner.llm import (
     bpe,
+    collocations,
     conversation_repair,
     decontamination,
     html_text,
@@ -105,3 +106,8 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     return conversation_repair.judged(conversation_repair.damaged(conversations), conversations)
+
+
+@query("op13_phrase_collocation_mining", collocations.ORACLE)
+def phrase_collocation_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
