@@ -164,3 +164,106 @@ def cut(text, gone):
     if not kept:
         return None
     return text if not any(gone) else b"\n".join(data[a:b] for a, b in kept).decode()
+
+
+def forest_components(docs, percent=85, size=5):
+    """For each row: (shingles, component or None, kept)."""
+    sets = [frozenset(tuple(x) for x in shingles((d.text or "").encode().translate(LOWER).decode(), size)) for d in docs]
+    owner = {}
+    for d, s in zip(docs, sets, strict=True):
+        if s and d.doc_id is not None:
+            owner[s] = min(owner.get(s, d.doc_id), d.doc_id)
+    root = {s: s for s in owner}
+
+    def find(x):
+        while root[x] is not x:
+            x = root[x]
+        return x
+
+    every = list(owner)
+    for k, a in enumerate(every):
+        for b in every[:k]:
+            shared = len(a & b)
+            if 100 * shared >= percent * (len(a) + len(b) - shared):
+                x, y = find(a), find(b)
+                if x is not y:
+                    if owner[x] < owner[y]:
+                        x, y = y, x
+                    root[x] = y
+    out = []
+    for d, s in zip(docs, sets, strict=True):
+        component = None if d.doc_id is None else owner[find(s)] if s else d.doc_id
+        out.append((len(s), component, d.doc_id == component))
+    return out
+
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def repair(rows):
+    """Figures of one conversation by trying every way of editing. rows: (turn, role, text)."""
+    rows = sorted(
+        ((turn, " " if role is None else role, " " if text is None else text) for turn, role, text in rows),
+        key=lambda row: (row[0] is not None, row[0] or 0, row[1], row[2]),
+    )
+    seen, faults = set(), []
+    for _, role, text in rows:
+        bare = text.rstrip(SPACES)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    ways = {(0, "", ())}
+
+    def inserted(ways):
+        out = set(ways)
+        for _ in range(2):
+            ways = {(c + 5, a + "I", (*t, (role, ""))) for c, a, t in ways for role in ("user", "assistant")}
+            out |= ways
+        return {way for way in out if re.fullmatch("(s?(ua)*u?)", "".join(role[:1] for role, _ in way[2]))}
+
+    ways = inserted(ways)
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        further = set()
+        for cost, audit, turns in ways:
+            further.add((cost + 2, audit + "D", turns))
+            if fault not in ("blank", "duplicate"):
+                extra = 5 if fault else 0
+                if role[:1] in "sua" and role:
+                    further.add((cost + extra, audit + "K", (*turns, (role, text))))
+                for new in ("user", "assistant"):
+                    further.add((cost + extra + 1, audit + "R", (*turns, (new, text))))
+        ways = inserted(further)
+    whole = [w for w in ways if re.fullmatch("(s?(ua)+)?", "".join(role[:1] for role, _ in w[2]))]
+    cost, audit, turns = min(whole, key=lambda w: w[:2])
+    numbers = {turn for turn, _, _ in rows if turn is not None}
+    gaps = max(numbers) - min(numbers) + 1 - len(numbers) if numbers else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    counts = [faults.count(kind) for kind in ("blank", "duplicate", "truncated")]
+    return (gaps, *counts, illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in turns)))
+
+
+def collocations(docs, least=10, most_words=3, top=2000):
+    """Rows (lang, rank, phrase, a, l, r, n, score). docs: rows with text and lang."""
+    counts = defaultdict(Counter)
+    for d in docs:
+        text = (d.text or "").encode().translate(LOWER).decode()
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for size in range(1, most_words + 1):
+                for i in range(len(w) - size + 1):
+                    counts["und" if d.lang is None else d.lang][tuple(w[i : i + size])] += 1
+    out = []
+    for lang, f in counts.items():
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        candidates = {g: a for g, a in f.items() if len(g) > 1 and a >= least}
+        rows = []
+        for g, a in candidates.items():
+            cuts = [(1000000 * a * a // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g))]
+            score, k = min(cuts)
+            inside = [
+                b for h, b in candidates.items() if len(h) > len(g) and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))
+            ]
+            if not any(100 * b >= 50 * a for b in inside):
+                rows.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return out
