@@ -7,11 +7,13 @@ any phrase is the total of the paths that have it as prefix.
 
 1. A task builds transducers from the sorted n-grams of its texts, block by block, and
    joins them until one holds ``SHARD_PATHS`` paths. Such a shard is a row of a table,
-   with a few paths evenly spread over it (*marks*).
+   with a few paths evenly spread over it (*marks*). Minimal states and a dictionary of
+   the shard's words make a path cost six bytes or so.
 2. Paths are divided into ranges of about ``RANGE_PATHS`` by boundaries that come from the
    marks. Boundaries only balance work and may fall inside a frequent word or pair.
 3. Each shard is cut at the boundaries. The parts of one range are united and their weights summed, so no
-   count depends on how rows were dealt. Phrases below ``least`` are left out; what begins
+   count depends on how rows were dealt. Many ranges are reached in steps of ``FAN``, with
+   shards joined anew between. Phrases below ``least`` are left out; what begins
    or ends a range may be incomplete, is kept, and is summed over ranges.
 4. The parts of candidates are composed with the transducers of the ranges they lie in.
 
@@ -43,9 +45,10 @@ MOST_WORDS = 3
 TOP = 2_000
 COVERED_PERCENT = 50
 
-BLOCK_BYTES = 1 << 21
-SHARD_PATHS = 1_000_000
-RANGE_PATHS = 1_000_000
+BLOCK_BYTES = 3 << 20
+SHARD_PATHS = 300_000
+RANGE_PATHS = 400_000
+FAN = 256
 MARKS_PER_SHARD = 64
 MARKS = 50_000
 HIGH = b"\xff"  # above every word in UTF-8
@@ -154,25 +157,36 @@ class Transducer:
         return (self.langs[labels[0]], *[self.words[label - 1].as_py() if label else b"" for label in labels[1:]])
 
     def to_bytes(self) -> bytes:
-        columns = [pa.array(self.langs, pa.binary()), self.words]
+        """Lengths of all arrays and the arrays, compressed; small parts cost few bytes besides."""
+        arrays = []
+        for column in (pa.array(self.langs, pa.binary()), self.words):
+            data, edges = words.text_buffer(column)
+            arrays += [(edges - edges[0]).astype(np.int32), data[edges[0] : edges[-1]]]
         for first, label, value in self.levels:
-            columns += [pa.array(np.diff(first).astype(np.int32)), pa.array(label.astype(np.int32)), pa.array(value.astype(np.int64))]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        batch = pa.RecordBatch.from_arrays(lists, names=[str(k) for k in range(len(lists))])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+            arrays += [np.diff(first).astype(np.int32), label.astype(np.int32), value.astype(np.int64)]
+        raw = np.array([len(arrays), *map(len, arrays)], dtype=np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
     @staticmethod
-    def from_bytes(data: bytes) -> Transducer:
-        batch = pa.ipc.open_stream(data).read_next_batch()
-        columns = [batch.column(k).flatten() for k in range(batch.num_columns)]
-        numbers = [c.to_numpy().astype(np.int64) for c in columns[2:]]
+    def from_bytes(data: pa.Buffer) -> Transducer:
+        size = int.from_bytes(data[:8], "little")
+        raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+        count = int(np.frombuffer(raw, np.int64, 1)[0])
+        lengths = np.frombuffer(raw, np.int64, count, 8).tolist()
+        kinds = [np.int32, np.uint8, np.int32, np.uint8, *[np.int32, np.int32, np.int64] * ((count - 4) // 3)]
+        arrays, at = [], 8 * (count + 1)
+        for length, kind in zip(lengths, kinds, strict=True):
+            arrays.append(np.frombuffer(raw, kind, length, at))
+            at += arrays[-1].nbytes
+        langs, dictionary = (
+            pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(spelled)])
+            for offsets, spelled in (arrays[:2], arrays[2:4])
+        )
         levels = [
-            (np.concatenate(([0], np.cumsum(numbers[k]))), numbers[k + 1], numbers[k + 2]) for k in range(0, len(numbers), 3)
+            (np.concatenate(([0], np.cumsum(arrays[k], dtype=np.int64))), arrays[k + 1], arrays[k + 2])
+            for k in range(4, count, 3)
         ]
-        return Transducer(columns[0].to_pylist(), columns[1], levels)
+        return Transducer(langs.to_pylist(), dictionary, levels)
 
 
 def _ranked(dictionary: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -181,7 +195,7 @@ def _ranked(dictionary: pa.Array) -> tuple[pa.Array, np.ndarray]:
     order = pc.sort_indices(encoded.dictionary).to_numpy()
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    return encoded.dictionary.take(pa.array(order)), rank[encoded.indices.to_numpy()]
+    return encoded.dictionary.take(pa.array(order)), rank[encoded.indices.to_numpy()].astype(np.int32)
 
 
 def united(parts: list[Transducer]) -> Transducer:
@@ -194,7 +208,8 @@ def united(parts: list[Transducer]) -> Transducer:
     for part in parts:
         own, weight = part.paths()
         of_lang = lang_rank[lang_at : lang_at + len(part.langs)]
-        of_word = np.concatenate(([0], rank[word_at : word_at + len(part.words)] + 1))
+        of_word = np.zeros(len(part.words) + 1, dtype=np.int32)
+        of_word[1:] = rank[word_at : word_at + len(part.words)] + 1
         columns.append([of_lang[own[0]], *[of_word[column] for column in own[1:]]])
         weights.append(weight)
         lang_at, word_at = lang_at + len(part.langs), word_at + len(part.words)
@@ -252,7 +267,7 @@ def block_transducer(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_
     names, lang = _ranked(langs)
     columns, word = [lang[row]], rank + 1
     for k in range(most_words):
-        own = np.zeros(len(word), dtype=np.int64)
+        own = np.zeros(len(word), dtype=np.int32)
         here = slice(0, max(0, len(word) - k))
         own[here] = np.where(piece[k:] == piece[here], word[k:], 0)
         columns.append(own)
@@ -298,8 +313,8 @@ def _shards(most_words: int, shard_paths: int):
                 part = block_transducer(data, edges, langs.slice(at, rows), most_words)
                 if len(part.words):
                     joined.add(part)
-                if joined.paths >= shard_paths and len(joined.held) == 1:
-                    yield row(joined.held[0])
+                if joined.paths >= shard_paths:
+                    yield row(joined.join())
                     joined = _Joined(shard_paths)
         if joined.held:
             yield row(joined.join())
@@ -414,6 +429,27 @@ def _counted(least: int):
     return scan
 
 
+def _rejoined(shard_paths: int):
+    """Parts of one range, joined to shards of that range."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(whole: Transducer) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([whole.to_bytes()], pa.binary())], names=["automaton"])
+
+        key, joined = None, _Joined(shard_paths)
+        for batch in batches:
+            for own, data in zip(batch["range"].to_pylist(), batch["automaton"], strict=True):
+                if joined.held and (own != key or joined.paths >= shard_paths):
+                    yield row(joined.join())
+                    joined = _Joined(shard_paths)
+                key = own
+                joined.add(Transducer.from_bytes(data.as_buffer()))
+        if joined.held:
+            yield row(joined.join())
+
+    return scan
+
+
 def _routed(boundaries: list[Path], most_words: int):
     """The ranges that hold paths with a phrase as prefix."""
 
@@ -468,6 +504,28 @@ def boundaries_of(shards: DataFrame, range_paths: int) -> list[Path]:
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)})
 
 
+def by_range(shards: DataFrame, boundaries: list[Path], shelf: Shelf, shard_paths: int) -> DataFrame:
+    """(range, automaton): the parts of all shards, sorted by range within partitions.
+
+    With more than ``FAN`` ranges, shards are first divided into coarse ranges and joined
+    anew there, so that no shard is ever cut into many small parts.
+    """
+
+    def dealt(shards: DataFrame, bounds: list[Path]) -> DataFrame:
+        parts = shards.select("automaton").mapInArrow(_cut(bounds), "range int, automaton binary")
+        return parts.repartition(len(bounds) + 1, "range").sortWithinPartitions("range")
+
+    steps, every = [], len(boundaries)
+    while every > FAN:
+        every = -(-every // FAN)
+        steps.append(every)
+    for k in reversed(steps):
+        coarse = sorted({boundaries[len(boundaries) * m // (k + 1)] for m in range(1, k + 1)})
+        joined = dealt(shards, coarse).mapInArrow(_rejoined(shard_paths), "automaton binary")
+        shards = shelf.put(f"coarse{k}", joined)
+    return dealt(shards, boundaries)
+
+
 def collocations(
     docs: DataFrame,
     least: int = LEAST,
@@ -483,9 +541,7 @@ def collocations(
     schema = "paths long, marks array<array<binary>>, automaton binary"
     shards = shelf.put("shards", texts.mapInArrow(_shards(most_words, shard_paths), schema))
     boundaries = boundaries_of(shards, range_paths)
-    cut = shards.select("automaton").mapInArrow(_cut(boundaries), "range int, automaton binary")
-    tasks = max(1, len(boundaries) + 1)
-    dealt = cut.repartition(tasks, "range").sortWithinPartitions("range")
+    dealt = by_range(shards, boundaries, shelf, shard_paths)
     found = shelf.put("found", dealt.mapInArrow(_counted(least), _FOUND))
     shelf.drop("shards")
 
@@ -507,7 +563,7 @@ def collocations(
     wanted = parts.mapInArrow(_routed(boundaries, most_words), "range int, lang string, part string")
     automata = found.filter("automaton IS NOT NULL").select("range", "automaton")
     both = automata.unionByName(wanted, allowMissingColumns=True)
-    both = both.repartition(tasks, "range").sortWithinPartitions("range", F.col("automaton").isNull())
+    both = both.repartition(len(boundaries) + 1, "range").sortWithinPartitions("range", F.col("automaton").isNull())
     counts = both.mapInArrow(_looked_up(most_words), "lang string, part string, f long").groupBy("lang", "part").agg(F.sum("f").alias("f"))
     counts = shelf.put("counts", counts)
 
