@@ -15,7 +15,9 @@ execution splits, so one passage in a third of all documents is spread over task
 
 Defined results: a null text has no words. A null id is in no order: its document is
 returned whole and removes nothing. Rows that repeat an id stay rows; an id is not
-smaller than itself. Extra columns are kept by ``cut_repeats`` whatever their names.
+smaller than itself. Extra columns are kept by ``cut_repeats`` whatever their names. An
+empty table gives an empty result. A text is worked on as a whole, in arrays of about
+ten bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -189,11 +191,15 @@ def removed_words(block: words.Block, lists: pa.Array, copies: pa.Array, window:
 
 
 def _with_repeats(docs: DataFrame, shelf: Shelf, window: int) -> DataFrame:
-    found = repeats(docs, shelf, window).select(
-        F.col("doc_id").alias("_of_doc"), F.col("repeats").alias("_repeats"), F.col("copy_keys").alias("_copy_keys")
+    """(row, repeats, is_copy): each row whole, as a struct, so that no name of its columns meets ours."""
+    found = repeats(docs, shelf, window).withColumnRenamed("doc_id", "of_doc")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("own_key"),
     )
-    is_copy = F.array_contains("_copy_keys", F.xxhash64(docs["text"]))
-    return docs.join(found, docs["doc_id"] == found["_of_doc"], "left").withColumn("_is_copy", is_copy)
+    is_copy = F.array_contains("copy_keys", F.col("own_key")).alias("is_copy")
+    return rows.join(found, rows["id"] == found["of_doc"], "left").select("row", "repeats", is_copy)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -204,7 +210,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for block in words.blocks(batch["text"]):
                 own = batch.slice(block.row, block.rows)
-                gone = removed_words(block, own["_repeats"], own["_is_copy"], window)
+                gone = removed_words(block, own["repeats"], own["is_copy"], window)
                 total = np.concatenate(([0], np.cumsum(gone)))[block.first]
                 shas = [
                     hashlib.sha256(words.kept_text(block, row, ~gone[block.first[row] : block.first[row + 1]])).hexdigest()
@@ -215,7 +221,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    joined = _with_repeats(docs.select("doc_id", "text"), shelf, window).select("doc_id", "text", "_repeats", "_is_copy")
+    joined = _with_repeats(docs.select("doc_id", "text"), shelf, window).select("row.*", "repeats", "is_copy")
     return joined.mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -247,5 +253,6 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     out.append(b"\n".join([block.data[a:b].tobytes() for a, b in runs]).decode())
         return pa.array(out, pa.string())
 
-    joined = _with_repeats(docs, shelf, window).withColumn("text", cut(docs["text"], F.col("_repeats"), F.col("_is_copy")))
-    return joined.filter(F.col("text").isNotNull()).select(*docs.columns)
+    joined = _with_repeats(docs, shelf, window)
+    whole = joined.select("row", cut(F.col("row.text"), F.col("repeats"), F.col("is_copy")).alias("kept"))
+    return whole.filter(F.col("kept").isNotNull()).select(F.col("row").withField("text", F.col("kept")).alias("row")).select("row.*")
