@@ -18,14 +18,16 @@ several buckets counts in the smallest one. Two tests come before the exact one:
 set sizes and the agreement of the sampled tokens. Only sets that still have a
 partner fetch their text again for the exact test.
 
-Documents with equal sets are one node, so copies cost nothing. Classes are the
-connected components.
+Documents with equal sets are one node, weighted by its distinct texts, so copies cost
+nothing. Classes are the connected components.
 
 Inside, a set goes by 64 bits of its fingerprint, and equal sets are told by 128.
 
 Defined results: a text of one to four words is one shingle of all its words; a text
 without words (or null) is alone in its class. A null id has a null class and no
-links. Rows that repeat an id are one document, so their classes are one.
+links. Rows that repeat an id are one document, so their classes are one. An empty table
+gives an empty result. A text is worked on as a whole, in arrays of about ten bytes for
+each of its own.
 """
 
 from __future__ import annotations
@@ -280,7 +282,7 @@ def _with_tokens(size: int):
 
 
 def _verified(threshold: float, agreement: int):
-    """For each set of a cell: its links there, and the least set that its links reach."""
+    """For each set of a cell: the texts it is linked with there, and the least set that its links reach."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches, TOKEN_ROWS):
@@ -288,6 +290,7 @@ def _verified(threshold: float, agreement: int):
             if len(once) < cell.num_rows:
                 cell = cell.take(pa.array(np.sort(once)))
             n, ids, keys = cell["n"].to_numpy(), cell["set_id"].to_numpy(), cell["f1"].to_numpy()
+            texts = cell["texts"].to_numpy()
             tokens = cell["tokens"].combine_chunks()
             lengths = tokens.value_lengths().to_numpy()
             first = np.concatenate(([0], np.cumsum(lengths)))
@@ -309,8 +312,8 @@ def _verified(threshold: float, agreement: int):
                 held[local[first[i] : first[i + 1]]] = False
                 j = j[shared + 1e-9 >= threshold * (n[i] + n[j] - shared)]
                 j = j[ids[j] != ids[i]]
-                links[i] += len(j)
-                links[j] += 1
+                links[i] += texts[j].sum()
+                links[j] += texts[i]
                 for k in j.tolist():
                     a, b = find(i), find(k)
                     if a != b:
@@ -331,8 +334,8 @@ def classes(
 ) -> DataFrame:
     """(doc_id, class_id, n_links, n_shingles) of every row of ``docs`` (doc_id, text).
 
-    class_id: least doc_id of the class. n_links: other distinct shingle sets at the
-    threshold or above; copies of one set count once.
+    class_id: least doc_id of the class. n_links: other distinct texts at the threshold or
+    above, those with the same shingles included; copies of one text count once.
     """
     return _placed(docs, threshold, size, recall).drop("text_key")
 
@@ -348,15 +351,15 @@ def _placed(docs: DataFrame, threshold: float, size: int, recall: float) -> Data
 
     # One row for each distinct set; of its documents the least id stands for it.
     known = sketches.filter("n > 0 AND doc_id IS NOT NULL")
-    grouped = known.groupBy("f1", "f2").agg(
-        F.min("doc_id").alias("set_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+    first = [F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")]
+    grouped = known.groupBy("f1", "f2", "text_key").agg(*first)
+    grouped = grouped.groupBy("f1", "f2").agg(*first, F.count(F.lit(1)).alias("texts")).withColumnRenamed("doc_id", "set_id")
     sets = shelf.put("sets", grouped)
 
     leaves = shelf.put("leaves", chosen_paths(sets, shelf, runs))
     paths = leaves.groupBy("f1").agg(F.array_sort(F.collect_set("bucket")).alias("leaves"))
     placed = in_cells(leaves).join(sets.join(paths, "f1"), "f1")
-    placed = placed.select(*_CELL, "f1", "set_id", "own", "n", "sketch", "leaves")
+    placed = placed.select(*_CELL, "f1", "set_id", "own", "n", "texts", "sketch", "leaves")
     dealt = placed.repartition(*_CELL).sortWithinPartitions(*_CELL)
     needed = shelf.put("needed", dealt.mapInArrow(_needed(threshold, agreement), dealt.schema))
 
@@ -375,7 +378,7 @@ def _placed(docs: DataFrame, threshold: float, size: int, recall: float) -> Data
     named = (
         sets.join(components.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
         .join(degree, "f1", "left")
-        .select("f1", "f2", F.coalesce("component", "set_id").alias("class"), "links")
+        .select("f1", "f2", F.coalesce("component", "set_id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("links"))
     )
     with_words = sketches.filter("n > 0").join(named, ["f1", "f2"], "left")
     alone = sketches.filter("n = 0").withColumns({"class": F.col("doc_id"), "links": F.lit(0)})
@@ -397,11 +400,16 @@ def _placed(docs: DataFrame, threshold: float, size: int, recall: float) -> Data
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, size: int = WORDS_PER_SHINGLE) -> DataFrame:
     """The documents of the least id of each class, once; rows with a null id stay.
 
-    Of an id with several texts each one that stands for its class stays.
+    Of an id with several texts each one that stands for its class stays. Other columns
+    are kept whatever their names.
     """
     found = _placed(docs, threshold, size, RECALL).filter("doc_id = class_id")
-    found = found.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
-    own = F.xxhash64(docs["text"])
-    kept = docs.join(found, (docs["doc_id"] == found["_kept"]) & (own == found["_kept_text"]), "left_semi")
-    kept = kept.withColumn("_text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    found = found.select(F.col("doc_id").alias("kept"), F.col("text_key").alias("kept_text")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("own"),
+    )
+    kept = rows.join(found, (rows["id"] == found["kept"]) & (rows["own"] == found["kept_text"]), "left_semi")
+    kept = kept.dropDuplicates(["id", "own"]).select("row.*")
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
