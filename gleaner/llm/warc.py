@@ -275,15 +275,19 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def normalised(archives: DataFrame, raw: str, folder: str) -> DataFrame:
-    """Normalise the archives (file) of ``raw`` into ``folder``; their index."""
-    return archives.repartition("file").mapInArrow(_normalise(raw, folder), INDEX)
+    """Normalise the archives (file) of ``raw`` into ``folder``; their index. Each archive is a task of its own."""
+    files = max(1, archives.count())
+    return archives.repartitionByRange(files, "file").mapInArrow(_normalise(raw, folder), INDEX)
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records of an index, each read by its offset; payloads are held against their digests."""
     block = F.concat_ws(":", "file", F.floor(F.col("offset") / READ_BLOCK).cast("string"))
     dealt = index.filter("record_type <> 'warcinfo'").select("file", "offset", "length", block.alias("block"))
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "offset")
+    # Index rows are small, what they stand for is not: as many tasks as there are blocks to read.
+    blocks = int(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]) // READ_BLOCK + 1
+    tasks = max(blocks, index.sparkSession.sparkContext.defaultParallelism)
+    dealt = dealt.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("block", "offset")
     return dealt.mapInArrow(_read(folder), RECORDS)
 
 
