@@ -66,11 +66,12 @@ def shingles(text, size=5):
 
 def jaccard_classes(docs, size=5):
     """For each row: (class, links, shingles)."""
-    owner = {}
+    owner, texts = {}, defaultdict(set)
     for d in docs:
         s = shingles(d.text, size)
         if s and d.doc_id is not None:
             owner[s] = min(owner.get(s, d.doc_id), d.doc_id)
+            texts[s].add(d.text)
     parent = {i: i for i in owner.values()}
 
     def find(x):
@@ -84,8 +85,8 @@ def jaccard_classes(docs, size=5):
         for b in sets[:k]:
             shared = len(a & b)
             if 5 * shared >= 4 * (len(a) + len(b) - shared) and owner[a] != owner[b]:
-                links[a] += 1
-                links[b] += 1
+                links[a] += len(texts[b])
+                links[b] += len(texts[a])
                 x, y = find(owner[a]), find(owner[b])
                 parent[max(x, y)] = min(x, y)
     out = []
@@ -94,13 +95,13 @@ def jaccard_classes(docs, size=5):
         if d.doc_id is None:
             out.append((None, 0, len(s)))
         else:
-            out.append((find(owner[s]) if s else d.doc_id, links[s] if s else 0, len(s)))
+            out.append((find(owner[s]) if s else d.doc_id, links[s] + len(texts[s]) - 1 if s else 0, len(s)))
     return out
 
 
 def quality(docs, share=0.01, least_docs=10):
     """For each row: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
-    hosts = Counter(d.source or "" for d in docs)
+    hosts = Counter(host for host, _ in {(d.source or "", d.text) for d in docs})
     found = defaultdict(dict)
     rows = []
     for d in docs:

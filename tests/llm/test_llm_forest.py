@@ -155,7 +155,8 @@ LANGS = "doc_id long, text string, lang string, range int, f long, phrase string
 
 
 @pytest.mark.parametrize("limits", [{}, {"shard_paths": 40, "range_paths": 25}, {"top": 3, "least": 2, "range_paths": 60}])
-def test_collocations(spark, limits):
+def test_collocations(spark, limits, monkeypatch):
+    monkeypatch.setattr(collocations, "FAN", 4)
     rows = spoken(4)
     df = spark.createDataFrame([(*row, 1, 2, "p") for row in rows], LANGS).repartition(4)
     options = {k: v for k, v in limits.items() if k in ("top", "least")}
@@ -189,7 +190,7 @@ def test_transducers_are_minimal_and_survive_their_bytes():
     text = pa.array([data.decode()])
     ((_, _, bytes_, edges),) = collocations._blocks(text)
     built = collocations.block_transducer(bytes_, edges, pa.array([b"en"]), 3)
-    back = collocations.Transducer.from_bytes(built.to_bytes())
+    back = collocations.Transducer.from_bytes(pa.py_buffer(built.to_bytes()))
     columns, weight = built.paths()
     assert [c.tolist() for c in back.paths()[0]] == [c.tolist() for c in columns] and back.paths()[1].tolist() == weight.tolist()
     # b x and c x continue alike; a x does not: two states of three.
@@ -198,3 +199,44 @@ def test_transducers_are_minimal_and_survive_their_bytes():
     parts = [["a", "x", "q"], ["x", "y", None], ["y", None, None]]
     assert built.composed(pa.array(["en"] * 3), parts).tolist() == [1, 3, 0]
     assert built.composed(pa.array(["fr"] * 3), parts).tolist() == [0, 0, 0]
+
+
+INNER = ["_repeats", "_of_doc", "_copy_keys", "_is_copy", "_text_key", "repeats", "is_copy", "of_doc", "row", "kept", "id", "own", "own_key"]
+INNER += ["kept_text", "_kept", "_kept_text", "_kept_id", "_bad", "text_key", "class_id", "part", "key"]
+
+
+@pytest.mark.parametrize(
+    "stage",
+    [substring_dedup.cut_repeats, ngram_jaccard.keep_one, quality_rules.keep_good],
+    ids=["cut_repeats", "keep_one", "keep_good"],
+)
+def test_columns_with_the_names_used_inside_are_kept(spark, stage):
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, long, "a"), (2, long + " and more", "a"), (3, " ".join(f"v{k}" for k in range(90)), "b")]
+    df = spark.createDataFrame([(*r, *[99] * len(INNER)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in INNER))
+    out = stage(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all(row[name] == 99 for row in got for name in INNER)
+
+
+def test_links_count_texts_not_sets(spark):
+    text = "a b c d e f g h"
+    rows = [(1, text, "x"), (2, text, "x"), (3, text.replace(" ", "  "), "x"), (4, text.replace(" ", "\n"), "x")]
+    got = {row["doc_id"]: row["n_links"] for row in ngram_jaccard.classes(table(spark, rows)).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 2}
+
+
+def test_archives_are_normalised_and_read_by_many_tasks(spark, tmp_path):
+    from gleaner.llm import warc
+    from gleaner.llm.storage import Shelf
+
+    pages = spark.range(700).selectExpr("id AS page_id", "CONCAT('http://x/', id) AS url", "REPEAT(CONCAT('<p>', id), 20) AS html").repartition(14)
+    shelf = Shelf(spark, "warc-tasks")
+    archives = shelf.put("archives", warc.write_monolithic(warc.with_revisits(pages).repartition(14), f"{shelf.folder}/raw"))
+    index = warc.normalised(archives, f"{shelf.folder}/raw", f"{shelf.folder}/warc")
+    by_task = index.selectExpr("spark_partition_id() AS task", "file").distinct().groupBy("task").count().collect()
+    assert len(by_task) >= 10 and max(row["count"] for row in by_task) <= 3
+    index = shelf.put("index", index)
+    read = warc.read_records(index, f"{shelf.folder}/warc")
+    assert read.selectExpr("spark_partition_id() AS task").distinct().count() > 2 and read.count() == 700
