@@ -45,10 +45,10 @@ MOST_WORDS = 3
 TOP = 2_000
 COVERED_PERCENT = 50
 
-BLOCK_BYTES = 3 << 20
-SHARD_PATHS = 300_000
-RANGE_PATHS = 400_000
-FAN = 256
+BLOCK_BYTES = 1 << 20
+SHARD_PATHS = 150_000
+RANGE_PATHS = 200_000
+FAN = 512
 MARKS_PER_SHARD = 64
 MARKS = 50_000
 HIGH = b"\xff"  # above every word in UTF-8
