@@ -91,19 +91,22 @@ CODE_PATTERN = (
 def fresh_candidates(
     candidates: DataFrame, sources: DataFrame, now: Column, per_source: int | None = None
 ) -> DataFrame:
-    """Dated inside the source's age limit, with their place in payload order.
+    """Dated inside the source's age limit; texts stay where they are.
 
-    ``per_source`` keeps the first ones of each source only; a request with a time
-    budget passes CANDIDATES_PER_SOURCE.
+    ``per_source`` keeps the first ones of each source only, in payload order; a request
+    with a time budget passes CANDIDATES_PER_SOURCE. Only (source, position, id) are
+    ranked for that, and each task passes on no more than a source may keep.
     """
     limits = sources.select(
         "source_id", F.coalesce("max_article_age_days", F.lit(DEFAULT_ARTICLE_AGE_DAYS)).alias("age_limit")
     )
-    place = F.row_number().over(Window.partitionBy("source_id").orderBy("position", "id"))
     dated = candidates.filter(F.col("published_at").isNotNull()).join(limits, "source_id")
     fresh = dated.filter(F.col("published_at") >= days_before(now, F.col("age_limit"))).drop("age_limit")
-    placed = fresh.withColumn("place", place)
-    return placed if per_source is None else placed.filter(F.col("place") <= per_source)
+    if per_source is None:
+        return fresh
+    order = Window.partitionBy("source_id").orderBy("position", "id")
+    first = fresh.select("source_id", "position", "id").withColumn("place", F.row_number().over(order))
+    return fresh.join(first.filter(F.col("place") <= per_source).select("id"), "id", "left_semi")
 
 
 def source_context(
@@ -170,6 +173,21 @@ def enrich_from_pages(
     return result.drop("wanted", "page_found", "page_author", "page_summary", "page_body_text", "page_image_url")
 
 
+def page_attempts(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, source_id, url, error_code) of every page that a candidate asked for; the code is null if it was read.
+
+    ``pages`` may have an error_code for pages that could not be read; a page that is
+    missing was never fetched.
+    """
+    code = F.col("error_code") if "error_code" in pages.columns else F.lit(None).cast("string")
+    known = pages.select("canonical_url", F.struct(code.alias("code")).alias("page"))
+    wanted = candidates.filter(needs_enrichment()).select("id", "source_id", "canonical_url")
+    missing = F.when(F.col("page").isNull(), "NOT_FETCHED").otherwise(F.col("page.code"))
+    return wanted.join(known, "canonical_url", "left").select(
+        "id", "source_id", F.col("canonical_url").alias("url"), missing.alias("error_code")
+    )
+
+
 def is_aggregator(url: Column, domains: Sequence[str] = tuple(AGGREGATOR_DOMAINS)) -> Column:
     listed = "|".join(domain.replace(".", "[.]") for domain in domains)
     return F.coalesce(site_of(url).rlike(rf"(^|[.])({listed})$"), F.lit(True))
@@ -210,7 +228,7 @@ def near_duplicate_in_batch(
     """Adds in_batch: near-duplicate of an earlier accepted candidate of the same run.
 
     A run is the candidates of one ``within`` value, or all of them for ``None``; its
-    order is (place, id), after ``within`` if the run spans all. Only an eligible
+    order is (position, id), after ``within`` if the run spans all. Only an eligible
     candidate that is no near-duplicate itself blocks others.
 
     Candidates of one run with equal titles collapse to the first eligible one, which
@@ -219,7 +237,7 @@ def near_duplicate_in_batch(
     no undecided similar predecessor is accepted and blocks its successors.
     """
     whole = F.lit("") if within is None else F.col(within)
-    order = F.struct(*([] if within else ["source_id"]), "place", "id")
+    order = F.struct(*([] if within else ["source_id"]), "position", "id")
     keyed = with_title_key(candidates.select("id", "title", "eligible", whole.alias("run"), order.alias("turn")))
     keyed = settled(keyed.filter(F.col("set_id").isNotNull()).select("id", "run", "turn", "eligible", "set_id", "shingles"))
     pairs = settled(similar_sets(title_sets(keyed), threshold).select("set_a", "set_b"))

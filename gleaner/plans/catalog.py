@@ -6,6 +6,7 @@ from gleaner.plans import (  # noqa: F401
     dedupe_queries,
     feed_queries,
     gate_queries,
+    ingest_queries,
     link_queries,
     report_queries,
     source_queries,

@@ -193,7 +193,7 @@ def merge_submission(fx):
     "language_purge_plan",
     with_views(
         f"""SELECT i.id, CASE WHEN i.id IN (SELECT item_id FROM fx_submissions) THEN 'reader_submission'
-            WHEN i.id IN (SELECT item_id FROM fx_saved WHERE user_id < 2) THEN 'saved_by_reader' ELSE 'remove' END AS action
+            WHEN i.id IN (SELECT item_id FROM fx_saved) THEN 'saved_by_reader' ELSE 'remove' END AS action
         FROM fx_items i JOIN language l USING (id) WHERE l.is_non_english AND i.fetched_at >= {NOW} - INTERVAL 90 DAY""",
         "fx_items", "fx_saved", "fx_submissions", extra={"language": language_view("fx_items", "body_content")},
     ),

@@ -8,14 +8,19 @@ from gleaner.plans.gate_queries import language_view
 from gleaner.plans.registry import joined, query, rounded, stamp, text
 from gleaner.plans.views import NOW, recency, stamp as sql_stamp, with_views
 
-MATCHES = """
+def matches_view(source: str) -> str:
+    """The three best topics of each row of a view."""
+    return f"""
     SELECT id, topic_id, hits, least(1e0, 0.55e0 + hits * 0.15e0) AS confidence FROM (
         SELECT i.id, CAST(a.topic_id AS BIGINT) AS topic_id, count(*) AS hits
-        FROM fx_items i JOIN fx_topic_aliases a ON contains(lower(i.title || ' ' || coalesce(i.summary, '') || ' ' || coalesce(i.body_content, '')), a.alias)
+        FROM {source} i JOIN fx_topic_aliases a ON contains(lower(i.title || ' ' || coalesce(i.summary, '') || ' ' || coalesce(i.body_content, '')), a.alias)
         GROUP BY 1, 2)
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, topic_id) <= 3"""
 
 
+MATCHES = matches_view("fx_items")
+
+
 @query("classify", with_views("SELECT id, topic_id, hits, round(confidence, 6) AS confidence FROM matches", "fx_items", "fx_topic_aliases", extra={"matches": MATCHES}))
 def classify(fx):
     found = topics.classify(fx.items(), fx.topic_aliases())

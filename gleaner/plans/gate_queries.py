@@ -10,6 +10,7 @@ from gleaner.functions.language import (
     NON_LATIN,
 )
 from gleaner.operators import gate
+from gleaner.operators.ranking import positions
 from gleaner.operators.skew import checked_join
 from gleaner.plans import fixtures
 from gleaner.plans.registry import joined, query, rounded, stamp
@@ -37,7 +38,17 @@ FRESH = f"""
 
 @query("fresh_candidates", with_views("SELECT id, source_id, place FROM fresh", "fx_candidates", "fx_sources", extra={"fresh": FRESH}))
 def fresh_candidates(fx):
-    return gate.fresh_candidates(fx.candidates(), fx.sources(), fixtures.now()).select("id", "source_id", "place")
+    fresh = gate.fresh_candidates(fx.candidates(), fx.sources(), fixtures.now()).select("id", "source_id", "position")
+    return positions(fresh, "source_id", [F.col("position").asc(), F.col("id").asc()], "place").select("id", "source_id", "place")
+
+
+@query(
+    "fresh_candidates_first",
+    with_views(f"SELECT id, source_id FROM fresh WHERE place <= {gate.CANDIDATES_PER_SOURCE}", "fx_candidates", "fx_sources", extra={"fresh": FRESH}),
+)
+def fresh_candidates_first(fx):
+    first = gate.fresh_candidates(fx.candidates(), fx.sources(), fixtures.now(), gate.CANDIDATES_PER_SOURCE)
+    return first.select("id", "source_id")
 
 
 CONTEXT = """

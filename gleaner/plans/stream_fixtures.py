@@ -10,13 +10,18 @@ from gleaner.plans.fixtures import Fixtures
 STREAMED = ["events", "lineitem"]
 
 
+def streamed_table(fx: Fixtures, name: str) -> DataFrame:
+    """One of the given tables as a file stream."""
+    schema = fx.spark.read.parquet(f"{fx.folder}/{name}.parquet").schema
+    stream = fx.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(fx.folder)
+    naive = [field.name for field in schema if isinstance(field.dataType, T.TimestampNTZType)]
+    return stream.withColumns({column: stream[column].cast("timestamp") for column in naive})
+
+
 class StreamFixtures(Fixtures):
     """Reads the event-like tables as file streams; small dictionaries stay static."""
 
     def table(self, name: str) -> DataFrame:
         if name not in STREAMED:
             return super().table(name)
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
-        naive = [field.name for field in schema if isinstance(field.dataType, T.TimestampNTZType)]
-        return stream.withColumns({column: stream[column].cast("timestamp") for column in naive})
+        return streamed_table(self, name)

@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.functions.language import Lexicon
 from gleaner.functions.scoring import iff
 from gleaner.operators import quota, state
-from gleaner.operators.ingest import ingest_batch
+from gleaner.operators.ingest import ingest_into
 from gleaner.session import settled
+from gleaner.sources.snapshots import Snapshots
 
 
 def verdict_log_stream(verdicts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -125,35 +126,28 @@ def event_window_stream(raw: DataFrame, width: str = "1 hour", late: str = "1 ho
 def ingest_stream(
     payloads: DataFrame,
     normalize: Callable[[DataFrame], DataFrame],
-    tables: Callable[[SparkSession], dict[str, DataFrame]],
-    folder: str,
+    tables: Snapshots,
+    dictionaries: Callable[[SparkSession], dict[str, DataFrame]],
     checkpoint: str,
     now: Column,
     discovery: bool = False,
     *,
     lexicon: Lexicon,
+    writer: str = "ingest",
 ) -> StreamingQuery:
     """Run the ingest pass on every micro-batch of raw payloads.
 
-    ``tables`` returns the stored corpus and dictionaries as of the batch's
-    start. Results land in one folder per table and batch, so a retried batch
-    replaces what it wrote.
+    ``tables`` holds corpus and sources; each batch reads them as the last one left them
+    and publishes all its changes at once, so a retried batch changes nothing.
+    ``dictionaries`` returns source_topics, topic_aliases and, if any, pages as of the
+    batch's start.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        known = tables(batch.sparkSession)
-        result = ingest_batch(
-            normalize(batch), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now,
+        known = dictionaries(batch.sparkSession)
+        ingest_into(
+            tables, writer, batch_id, normalize(batch), known["source_topics"], known["topic_aliases"], now,
             known.get("pages"), discovery, lexicon=lexicon,
-        )
-        outputs = {
-            "verdicts": state.verdict_rows(result.verdicts),
-            "items": result.new_items,
-            "topic_links": result.topic_links,
-            "hits": result.hits,
-            "runs": result.runs,
-        }
-        for name, rows in outputs.items():
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        )
 
     return payloads.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

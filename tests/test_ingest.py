@@ -1,11 +1,14 @@
 """The ingest pass on a few payloads, in batch and as a stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.language import Lexicon
-from gleaner.operators import state
-from gleaner.operators.ingest import ingest_batch
+from gleaner.operators import reports, state
+from gleaner.operators.ingest import ingest_batch, ingest_into
 from gleaner.sources import feeds
+from gleaner.sources.snapshots import Change, Conflict, Snapshots
+from gleaner.sources.tables import schema_of
 from gleaner.streaming import jobs
 
 BODY = "Widgets are small parts. " * 120
@@ -69,13 +72,113 @@ def test_ingest_batch(spark):
     assert {r["item_id"] for r in result.topic_links.collect()} == {result.new_items.first()["id"], "old"}
 
 
-def test_ingest_stream(spark, tmp_path):
+def seeded(spark, folder):
+    """Stored tables as of version 0."""
+    known, stored = tables(spark), Snapshots(spark, str(folder))
+    schema = schema_of("content_items")
+    items = known["items"]
+    items = items.select(*[F.col(f.name) if f.name in items.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    sources = known["sources"].selectExpr("*", "CAST(NULL AS TIMESTAMP) AS last_fetched_at", "CAST(NULL AS TIMESTAMP) AS last_success_at", "CAST(NULL AS STRING) AS last_error")
+    stored.commit("seed", 0, {"content_items": Change(items), "sources": Change(sources, ["source_id"])})
+    return stored
+
+
+def dictionaries(spark):
+    known = tables(spark)
+    return {name: known[name] for name in ("source_topics", "topic_aliases")}
+
+
+def contents(stored):
+    names = stored.manifest()["tables"]
+    return {name: sorted(map(str, stored.read(name).drop("part").collect())) for name in names}
+
+
+def test_ingest_stream_equals_the_batch_and_a_retry_changes_nothing(spark, tmp_path):
     raw(spark).write.parquet(str(tmp_path / "payloads"))
-    stream = spark.readStream.schema(raw(spark).schema).parquet(str(tmp_path / "payloads"))
-    job = jobs.ingest_stream(stream, feeds.normalize_rss, tables, str(tmp_path / "out"), str(tmp_path / "checkpoint"), now(), lexicon=Lexicon([]))
-    job.awaitTermination(120)
-    check_runs(spark.read.parquet(str(tmp_path / "out" / "runs")).collect())
-    assert spark.read.parquet(str(tmp_path / "out" / "items")).count() == 1
+    stored = seeded(spark, tmp_path / "stream")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(raw(spark).schema).parquet(str(tmp_path / "payloads"))
+        job = jobs.ingest_stream(stream, feeds.normalize_rss, stored, dictionaries, str(tmp_path / checkpoint), now(), lexicon=Lexicon([]))
+        job.awaitTermination(120)
+
+    run("checkpoint")
+    by_stream, version = contents(stored), stored.version()
+    runs = {r["source_id"]: r for r in stored.read("ingestion_runs").collect()}
+    good, lost = runs["good"], runs["lost"]
+    assert (good["items_seen"], good["items_inserted"], good["items_skipped"], good["status"], good["error_count"]) == (4, 1, 3, "succeeded", 0)
+    assert (lost["status"], lost["error_message"], lost["error_count"]) == ("failed", "SOURCE_TOPICS_MISSING", 1)
+    sources = {r["source_id"]: r for r in stored.read("sources").collect()}
+    assert sources["good"]["last_success_at"] is not None and sources["good"]["last_error"] is None
+    assert sources["lost"]["last_success_at"] is None and sources["lost"]["last_error"] == "SOURCE_TOPICS_MISSING"
+    assert sources["lost"]["last_fetched_at"] is not None
+
+    batch = seeded(spark, tmp_path / "batch")
+    known = dictionaries(spark)
+    assert ingest_into(batch, "ingest", 0, feeds.normalize_rss(raw(spark)), known["source_topics"], known["topic_aliases"], now(), lexicon=Lexicon([]))
+    assert contents(batch) == by_stream
+    # A stream that lost its checkpoint offers batch 0 again.
+    run("lost checkpoint")
+    assert stored.version() == version and contents(stored) == by_stream
+
+
+def test_a_second_pass_finds_what_the_first_stored_and_folds_signals(spark, tmp_path):
+    stored, known = seeded(spark, tmp_path / "tables"), dictionaries(spark)
+    hits = feeds.normalize_rss(raw(spark)).withColumn("platform", F.lit("github"))
+    for batch, count in enumerate((7, 3)):
+        offered = hits.withColumn("engagement_count", F.lit(count).cast("bigint"))
+        assert ingest_into(stored, "ingest", batch, offered, known["source_topics"], known["topic_aliases"], now(), lexicon=Lexicon([]))
+    assert stored.read("content_items").count() == 2
+    second = {(r["run_id"], r["items_inserted"]) for r in stored.read("ingestion_runs").filter("source_id = 'good'").collect()}
+    assert second == {("ingest:0:good", 1), ("ingest:1:good", 0)}
+    signals = state.signals_of(stored.read("signal_summaries")).collect()
+    assert [(r["engagement_count"], r["source_count"]) for r in signals] == [(7, 1), (7, 1)]
+    # Of one day and link the first verdict is kept.
+    assert stored.read("discovery_candidates").groupBy("url_hash", "day").count().filter("count > 1").isEmpty()
+
+
+def test_pages_that_failed_are_counted(spark):
+    known = tables(spark)
+    pages = spark.createDataFrame(
+        [("https://good.com/1", "HTTP_403"), ("https://good.com/3", None)], "canonical_url string, error_code string"
+    ).selectExpr("*", "'x' AS author", "'s' AS summary", "'b' AS body_text", "'i' AS image_url")
+    result = ingest_batch(
+        feeds.normalize_rss(raw(spark)), known["items"], known["sources"], known["source_topics"], known["topic_aliases"], now(), pages, lexicon=Lexicon([])
+    )
+    failures = {r["failure"]: r["failures"] for r in reports.fetch_failures(result.page_attempts).collect()}
+    assert failures == {"good.com:HTTP_403": 1, "good.com:NOT_FETCHED": 1}
+    (good,) = result.runs.filter("source_id = 'good'").collect()
+    assert (good["pages_asked"], good["pages_failed"], good["enriched"]) == (3, 2, 1)
+
+
+def test_snapshots_change_together(spark, tmp_path):
+    stored = Snapshots(spark, str(tmp_path), most_parts=2)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k int, v string")
+    assert stored.read("a") is None and stored.version() == -1
+    assert stored.commit("w", 0, {"a": Change(rows((1, "x"), (2, "y")), ["k"]), "log": Change(rows((1, "x")))})
+    assert not stored.commit("w", 0, {"a": Change(rows((9, "again")), ["k"])})
+    assert stored.commit("w", 1, {"a": Change(rows((2, "z"), (3, None)), ["k"]), "log": Change(rows((2, "y")))})
+    assert sorted(map(tuple, stored.read("a").collect())) == [(1, "x"), (2, "z"), (3, None)]
+    assert sorted(map(tuple, stored.read("a", 0).collect())) == [(1, "x"), (2, "y")]
+    with pytest.raises(Conflict):
+        stored.commit("other", 0, {"log": Change(rows((5, "v")))}, base=0)
+    # What fails between two tables is not seen in either.
+    broken = rows((7, "x")).withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        stored.commit("w", 2, {"log": Change(rows((6, "w"))), "a": Change(broken, ["k"])})
+    assert stored.version() == 1 and stored.read("log").count() == 2
+    assert stored.commit("w", 2, {"a": Change(rows((1, "n")), ["k"])})
+    assert len(stored.manifest()["tables"]["a"]["parts"]) == 1
+    assert sorted(map(tuple, stored.read("a").collect())) == [(1, "n"), (2, "z"), (3, None)]
+    stored.expire()
+    assert sorted(map(tuple, stored.read("a").collect())) == [(1, "n"), (2, "z"), (3, None)] and stored.read("log").count() == 2
+    assert len(list((tmp_path / "data" / "a").iterdir())) == 1 and len(list((tmp_path / "versions").glob("*.json"))) == 1
+    # Two writers that read one version: one publishes, the other is refused.
+    manifest = stored.manifest()
+    manifest["version"] += 1
+    stored._publish(dict(manifest))
+    with pytest.raises(Conflict):
+        stored._publish(dict(manifest))
 
 
 def test_verdict_stream_keeps_the_earliest_of_a_batch(spark, tmp_path):
