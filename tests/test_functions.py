@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import language, links, scoring, text
+from gleaner.functions.text import REQUEST_LIMITS
 from gleaner.operators import summary
 from gleaner.sources import feeds, pages
 
@@ -204,10 +205,12 @@ def test_feed_dialects_and_images(spark):
     assert rows["Entry"]["author"] == "Ann" and rows["Entry"]["body_text"] == "Whole text"
 
 
-def test_fifty_entries_per_payload(spark):
+def test_entries_per_payload(spark):
     items = "".join(f"<item><title>T{i}</title><link>https://e.com/{i}</link></item>" for i in range(60))
     raw = spark.createDataFrame([("p", "s", f"<rss><channel>{items}</channel></rss>")], "payload_id string, source_id string, payload string")
-    assert sorted(row["position"] for row in feeds.normalize_rss(raw).collect()) == list(range(50))
+    assert sorted(row["position"] for row in feeds.normalize_rss(raw).collect()) == list(range(60))
+    limited = feeds.normalize_rss(raw, limits=REQUEST_LIMITS).collect()
+    assert sorted(row["position"] for row in limited) == list(range(50))
 
 
 def test_page_metadata_sources(spark):
