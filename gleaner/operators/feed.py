@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.language import Lexicon, is_non_english
 from gleaner.functions.links import host_of
-from gleaner.functions.scoring import days_before, iff
 from gleaner.functions.text import is_real_author
 from gleaner.operators.keys import word_counts
-from gleaner.operators.ranking import feed_scores, item_terms, top_of_view, viewed
-from gleaner.operators.skew import salted_join
-from gleaner.operators.topics import covers, followed_first, leading_topics, subject
-from gleaner.session import settled
 
 # Days each view reaches back, page size, longest query.
 WINDOW_DAYS = {"for-you": 3, "trending": 365, "latest": 365}
@@ -32,79 +26,33 @@ def window_days(view: str, query: str = "") -> int:
     return max(WINDOW_DAYS[view], SEARCH_WINDOW_DAYS) if query.strip() else WINDOW_DAYS[view]
 
 
-def _completed(submissions: DataFrame) -> DataFrame:
+def completed(submissions: DataFrame) -> DataFrame:
     return submissions.filter((F.col("status") == "completed") & F.col("item_id").isNotNull())
 
 
-def _reader_flags(reached: DataFrame, saved: DataFrame, submissions: DataFrame) -> DataFrame:
-    """One row per (reader, item) with saved, read and submitted; one shuffle for all three."""
-    no, yes = F.lit(False), F.lit(True)
-    rows = (
-        reached.select("user_id", "item_id", yes.alias("reached"), no.alias("saved"), no.alias("read"), no.alias("submitted"))
-        .unionByName(saved.select("user_id", "item_id", yes.alias("reached"), yes.alias("saved"), F.coalesce("is_read", no).alias("read"), no.alias("submitted")))
-        .unionByName(_completed(submissions).select("user_id", "item_id", no.alias("reached"), no.alias("saved"), no.alias("read"), yes.alias("submitted")))
-    )
-    flags = rows.groupBy("user_id", "item_id").agg(*[F.bool_or(name).alias(name) for name in ("reached", "saved", "read", "submitted")])
-    return flags.filter("reached").drop("reached")
-
-
-def feed_eligible(
-    items: DataFrame,
-    item_topics: DataFrame,
-    user_topics: DataFrame,
-    saved: DataFrame,
-    submissions: DataFrame,
-    view: str,
-    now: Column,
-    query: str = "",
-    *,
-    lexicon: Lexicon,
-) -> DataFrame:
-    """(user_id, id, saved, read, submitted) a reader may see in a view.
-
-    Dates are cut before readers meet items; the language test runs once per
-    item, and topics with many items are joined in blocks.
-    """
-    cutoff = days_before(now, F.lit(window_days(view, query)))
-    recent = items.filter(F.col("published_at") >= cutoff).select(F.col("id").alias("item_id"))
-    recent_topics = item_topics.join(recent, "item_id", "left_semi")
-    reached = salted_join(recent_topics, user_topics, "topic_id", "item_id").select("user_id", "item_id")
-    flags = _reader_flags(reached, saved, submissions)
-    facts = items.select(
-        F.col("id").alias("item_id"),
-        "published_at",
-        iff(F.col("is_hidden")).alias("hidden"),
-        (~is_non_english(F.col("title"), F.col("summary"), F.lit(None).cast("string"), lexicon)).alias("readable"),
-    )
-    shown = F.col("saved") | (~F.col("hidden") & iff(F.col("published_at") >= cutoff))
-    kept = (
-        flags.filter(~F.col("submitted"))
-        .filter(F.lit(view != "for-you") | ~F.col("saved"))
-        .join(facts, "item_id")
-        .filter((F.col("readable") | F.col("saved")) & shown)
-    )
-    return kept.select("user_id", F.col("item_id").alias("id"), "saved", "read")
-
-
 def saved_library(saved: DataFrame, submissions: DataFrame, tab: str) -> DataFrame:
     """A reader's saves: ``links`` they submitted themselves, or ``posts`` they did not."""
-    own = _completed(submissions).select("user_id", "item_id").distinct()
+    own = completed(submissions).select("user_id", "item_id").distinct()
     how = "left_semi" if tab == "links" else "left_anti"
     return saved.join(own, ["user_id", "item_id"], how)
 
 
-def feed_cards(items: DataFrame, sources: DataFrame, item_topics: DataFrame, signals: DataFrame) -> DataFrame:
+def feed_cards(
+    items: DataFrame, sources: DataFrame, item_topics: DataFrame, signals: DataFrame, carry: list[str] | None = None
+) -> DataFrame:
     """What a card shows, per item and independent of the reader; topics in topic order.
 
-    A stored word_count is used as it is, so that no body is read.
+    A stored word_count is used as it is, so that no body is read. ``carry`` names further
+    columns of the items to keep.
     """
+    carry = carry or []
     linked = item_topics.groupBy(F.col("item_id").alias("id")).agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
     named = sources.select("source_id", F.col("name").alias("source_name"), "trust_tier")
     counted = signals.select(F.col("item_id").alias("id"), "engagement_count", "source_count")
     tier = F.when(F.col("trust_tier").isin(TIERS), F.col("trust_tier")).otherwise("official")
     counted_items = items if "word_count" in items.columns else word_counts(items)
     base = counted_items.select(
-        "id", "source_id", "title", "summary", "canonical_url", "author", "published_at", "image_url", "word_count"
+        "id", "source_id", "title", "summary", "canonical_url", "author", "published_at", "image_url", "word_count", *carry
     )
     return (
         base.join(named, "source_id", "left")
@@ -124,6 +72,7 @@ def feed_cards(items: DataFrame, sources: DataFrame, item_topics: DataFrame, sig
             F.coalesce("source_count", F.lit(1)).alias("source_count"),
             "word_count",
             F.coalesce("topics", F.array().cast("array<bigint>")).alias("topics"),
+            *carry,
         )
     )
 
@@ -160,34 +109,3 @@ def search_matches(query: str) -> Column:
 def search_feed(cards: DataFrame, query: str) -> DataFrame:
     """Cards whose visible text contains the query, ignoring case; an empty query keeps all."""
     return cards.filter(search_matches(query)) if query.strip() else cards
-
-
-def scored_feed(
-    eligible: DataFrame,
-    cards: DataFrame,
-    reader_table: DataFrame,
-    topic_aliases: DataFrame,
-    now: Column,
-    query: str = "",
-) -> DataFrame:
-    """Eligible rows with scores, after the topic-lead test and the search.
-
-    Only narrow columns travel: texts stay behind until a page is known.
-    """
-    led = leading_topics(item_terms(search_feed(cards, query), now), topic_aliases, summary_col="excerpt")
-    facts = led.select(
-        "id", "published_at", "topics", subject(F.col("leading_topics"), F.col("topics")).alias("subject"),
-        "recency", "engagement", "diversity", "exploration", "breadth", "trust_factor", "trending_score",
-    )
-    joined = eligible.join(facts, "id").join(reader_table, "user_id")
-    kept = joined.filter(F.col("saved") | covers(F.col("subject"), F.col("followed")))
-    return feed_scores(kept).withColumn("shown_topics", followed_first(F.col("topics"), F.col("followed")))
-
-
-def page_feed(scored: DataFrame, view: str, cursor: int = 0, size: int = PAGE_SIZE) -> DataFrame:
-    """Rows (cursor, cursor+size] of every reader's list with total and next_cursor."""
-    listed = settled(viewed(scored, view))
-    totals = listed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    page = top_of_view(listed, view, cursor + size).filter(F.col("position") > cursor)
-    end = cursor + size
-    return page.join(totals, "user_id").withColumn("next_cursor", F.when(F.col("total") > end, F.lit(end)))

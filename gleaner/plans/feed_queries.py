@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import feed, ranking, summary, topics
+from gleaner.operators import audience, feed, ranking, summary, topics
 from gleaner.plans import fixtures
 from gleaner.plans.gate_queries import language_view
 from gleaner.plans.registry import joined, query, rounded, stamp, text
@@ -141,8 +141,8 @@ def eligible_parts(view: str, days: int) -> dict[str, str]:
 
 
 def _eligible(fx, view, query_text=""):
-    return feed.feed_eligible(
-        fx.items(), fx.item_topics(), fx.user_topics(), fx.saved(), fx.submissions(), view, fixtures.now(), query_text, lexicon=fixtures.LEXICON
+    return audience.feed_eligible(
+        fx.listed_items(), fx.item_topics(), fx.user_topics(), fx.saved(), fx.submissions(), view, fixtures.now(), query_text, lexicon=fixtures.LEXICON
     )
 
 
@@ -183,9 +183,20 @@ def scored_parts(view: str, days: int, search: str = "") -> dict[str, str]:
     }
 
 
+def _facts(fx, search=""):
+    return audience.item_facts(
+        fx.listed_items(), fx.sources(), fx.item_topics(), fx.signals(), fx.topic_aliases(), fixtures.now(), search, lexicon=fixtures.LEXICON
+    )
+
+
 def _scored(fx, view, search=""):
     readers = feed.readers(fx.user_topics(), fx.affinity())
-    return feed.scored_feed(_eligible(fx, view, search), _cards(fx), readers, fx.topic_aliases(), fixtures.now(), search)
+    return audience.scored_lists(_facts(fx, search), readers, fx.saved(), fx.submissions(), view, fixtures.now(), search)
+
+
+def _page(fx, view, search="", cursor=0):
+    readers = feed.readers(fx.user_topics(), fx.affinity())
+    return audience.first_places(_facts(fx, search), readers, fx.saved(), fx.submissions(), view, fixtures.now(), cursor, query=search)
 
 
 @query(
@@ -247,16 +258,29 @@ for _name, _spec in RANKINGS.items():
     ),
 )
 def page_feed(fx):
-    page = feed.page_feed(_scored(fx, "trending"), "trending", cursor=50)
+    page = _page(fx, "trending", cursor=50)
     return page.select("user_id", "id", F.col("position").cast("bigint").alias("position"), "total", text("next_cursor").alias("next_cursor"))
 
 
+@query(
+    "page_latest",
+    with_views(
+        f"""SELECT user_id, id, position, total FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total FROM ({ranked_sql('published_at DESC NULLS LAST')}))
+        WHERE position <= 50""",
+        *FEED_VIEWS, extra=scored_parts("latest", 365),
+    ),
+)
+def page_latest(fx):
+    page = _page(fx, "latest")
+    return page.select("user_id", "id", F.col("position").cast("bigint").alias("position"), "total")
+
+
 @query(
     "feed_search_page",
     with_views(f"SELECT * FROM ({ranked_sql('for_you_score DESC')}) WHERE position <= 50", *FEED_VIEWS, extra=scored_parts("for-you", 365, "writer")),
 )
 def feed_search_page(fx):
-    page = feed.page_feed(_scored(fx, "for-you", "Writer"), "for-you")
+    page = _page(fx, "for-you", "Writer")
     return page.select("user_id", "id", F.col("position").cast("bigint").alias("position"))
 
 
@@ -318,6 +342,6 @@ def key_points(fx):
     ),
 )
 def card_key_points(fx):
-    page = feed.page_feed(_scored(fx, "for-you"), "for-you")
+    page = _page(fx, "for-you")
     names = fx.item_topics().join(fx.topics(), "topic_id").groupBy(F.col("item_id").alias("id")).agg(F.collect_list("name").alias("aliases"))
     return summary.card_key_points(page, fx.items(), names).select("id", F.array_join("points", "\n").alias("points"))
