@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions.text import SPACE, any_of, array_of_strings, find_all, trimmed
 
@@ -40,11 +43,14 @@ BOILERPLATE = [
 ]
 
 # Words that say nothing about a sentence's subject.
-STOPWORDS = (
-    "the and for that with this from you your are was were have has had not but can will how what "
-    "when which they their its it is of to in on at by we our as an be or if a i us so do does did "
-    "been more than then there these those also just about into over some any all"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "that", "with", "this", "from", "you", "your", "are", "was", "were",
+    "have", "has", "had", "not", "but", "can", "will", "how", "what", "when", "which", "they",
+    "their", "its", "it", "is", "of", "to", "in", "on", "at", "by", "we", "our",
+    "as", "an", "be", "or", "if", "a", "i", "us", "so", "do", "does", "did",
+    "been", "more", "than", "then", "there", "these", "those", "also", "just", "about", "into", "over",
+    "some", "any", "all",
+]
 
 # Sentence boundary, word, proper ending and glued page furniture.
 BOUNDARY = r"(?<=[.!?])(?:\s+|(?=[A-Z][a-z]))(?=[A-Z0-9\"'“])"
@@ -73,56 +79,73 @@ def _usable(sentence: Column) -> Column:
     )
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def informativeness(tokens: pa.Array) -> pa.Array:
+    """For each sentence of each text: the mean of its distinct words' frequencies, as shares of the text's highest.
+
+    tokens: per text an array of sentences, each an array of words. A sentence without words has 0.
+    """
+    texts = len(tokens)
+    sentences_of = np.diff(np.asarray(tokens.offsets))
+    sentence = tokens.flatten()
+    words_of = np.diff(np.asarray(sentence.offsets)) if len(sentence) else np.zeros(0, dtype=np.int32)
+    word = sentence.flatten().dictionary_encode()
+    codes, kinds = np.asarray(word.indices, dtype=np.int64), max(1, len(word.dictionary))
+    at = np.repeat(np.arange(len(words_of)), words_of)
+    text_of = np.repeat(np.arange(texts), sentences_of)
+    _, place, uses = np.unique(text_of[at] * kinds + codes, return_inverse=True, return_counts=True)
+    frequency = uses[place]
+    peak = np.ones(texts, dtype=np.int64)
+    np.maximum.at(peak, text_of[at], frequency)
+    _, once = np.unique(at * kinds + codes, return_index=True)
+    share = frequency[once] / peak[text_of[at[once]]]
+    total = np.bincount(at[once], weights=share, minlength=len(words_of))
+    count = np.bincount(at[once], minlength=len(words_of))
+    mean = np.divide(total, count, out=np.zeros(len(words_of)), where=count > 0)
+    offsets = np.concatenate(([0], np.cumsum(sentences_of))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(mean))
+
+
 def key_points(
     items: DataFrame, most: int = DEFAULT_POINTS, body_col: str = "body_content", aliases_col: str | None = None
 ) -> DataFrame:
     """(id, points): up to ``most`` verbatim sentences per item in text order.
 
-    Bodies are shuffled once by id. Sentence, word and document steps all stay
-    inside that partitioning, and texts are fetched again only for the chosen
-    sentences.
+    Everything happens in the row of the text, where it is scanned: nothing is shuffled.
+    Words are counted by text in Arrow batches, in time proportional to the text.
     """
     most = max(1, min(most, MOST_POINTS))
     aliases = F.transform(F.col(aliases_col), F.lower) if aliases_col else array_of_strings()
-    # A fixed count, since sentence work is too heavy per byte for partitions merged by size.
-    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    documents = items.select("id", F.col(body_col).alias("body"), aliases.alias("aliases")).repartition(spread, "id")
-    cut = documents.withColumn("sentences", sentences(F.col("body")))
-    lower = F.lower("sentence")
-    tokens = F.filter(
-        find_all(lower, WORD), lambda word: ~word.isin(STOPWORDS) & (F.length(word) >= MIN_WORD_CHARS)
-    )
-    usable = (
-        cut.select("id", "aliases", F.size("sentences").alias("total"), F.posexplode("sentences").alias("index", "sentence"))
-        .filter(_usable(F.col("sentence")))
-        .select(
-            "id",
-            "index",
-            "total",
+    cut = items.select("id", sentences(F.col(body_col)).alias("sentences"), aliases.alias("aliases"))
+
+    def judged(sentence: Column, index: Column) -> Column:
+        lower = F.lower(sentence)
+        tokens = F.filter(find_all(lower, WORD), lambda word: ~word.isin(STOPWORDS) & (F.length(word) >= MIN_WORD_CHARS))
+        return F.struct(
+            index.alias("index"),
             F.exists("aliases", lambda alias: F.contains(lower, alias)).cast("int").alias("subject"),
-            F.col("sentence").rlike("[0-9]").cast("int").alias("figure"),
-            F.explode_outer(tokens).alias("word"),
+            sentence.rlike("[0-9]").cast("int").alias("figure"),
+            tokens.alias("tokens"),
         )
-    )
-    counted = usable.groupBy("id", "index", "total", "subject", "figure", "word").agg(F.count(F.lit(1)).alias("uses"))
-    frequency = F.when(F.col("word").isNotNull(), F.sum("uses").over(Window.partitionBy("id", "word")))
-    weighed = counted.withColumn("frequency", frequency).withColumn(
-        "peak", F.greatest(F.lit(1), F.coalesce(F.max("frequency").over(Window.partitionBy("id")), F.lit(1)))
-    )
-    score = (
-        F.coalesce(F.avg(F.col("frequency") / F.col("peak")), F.lit(0.0)) * INFORMATIVE
-        + (F.lit(1.0) - F.col("index") / F.col("total")) * POSITION
-        + F.col("subject") * SUBJECT
-        + F.col("figure") * FIGURE
-    )
-    scored = weighed.groupBy("id", "index", "total", "subject", "figure").agg(F.round(score, SCORE_DECIMALS).alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "index"))), 1, most)
-    chosen = scored.groupBy("id").agg(best.alias("best")).select(
-        "id", F.array_sort(F.transform("best", lambda entry: entry["index"])).alias("chosen")
-    )
-    return cut.join(chosen, "id").select(
-        "id", F.transform("chosen", lambda index: F.get(F.col("sentences"), index)).alias("points")
-    )
+
+    tried = F.transform("sentences", lambda sentence, index: F.when(_usable(sentence), judged(sentence, index)))
+    usable = cut.withColumn("usable", F.filter(tried, lambda entry: entry.isNotNull())).filter(F.size("usable") > 0)
+    # Not deterministic for the optimizer, which else copies the call into filters and lambdas.
+    rated = usable.withColumn("info", informativeness.asNondeterministic()(F.transform("usable", lambda entry: entry["tokens"])))
+
+    def score(pair: Column) -> Column:
+        entry = pair["usable"]
+        total = (
+            pair["info"] * INFORMATIVE
+            + (F.lit(1.0) - entry["index"] / F.size("sentences")) * POSITION
+            + entry["subject"] * SUBJECT
+            + entry["figure"] * FIGURE
+        )
+        return F.struct((-F.round(total, SCORE_DECIMALS)).alias("order"), entry["index"].alias("index"))
+
+    best = F.slice(F.array_sort(F.transform(F.arrays_zip("usable", "info"), score)), 1, most)
+    chosen = F.array_sort(F.transform(best, lambda entry: entry["index"]))
+    return rated.select("id", F.transform(chosen, lambda index: F.get(F.col("sentences"), index)).alias("points"))
 
 
 def card_key_points(page: DataFrame, items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

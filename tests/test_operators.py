@@ -308,3 +308,15 @@ def test_checked_join_beyond_its_size(spark):
     for most in (0, 1 << 20):
         found = checked_join(many, few, "k", "id", most)
         assert sorted((r["id"], r["k"], r["v"] or 0) for r in found.collect()) == expected
+
+
+def test_key_points_stay_in_the_rows_of_their_texts(spark):
+    from gleaner.operators import summary
+
+    texts = [("a", None), ("b", ""), ("c", " ".join(f"The number {n} of widgets grew by {n % 7} parts in the plant of town {n % 3}." for n in range(3000)))]
+    rows = spark.createDataFrame(texts, "id string, body_content string")
+    points = summary.key_points(rows, 4)
+    assert "Exchange" not in points._jdf.queryExecution().executedPlan().toString()
+    (row,) = points.collect()
+    assert row["id"] == "c" and len(row["points"]) == 4
+    assert summary.key_points(rows.limit(0)).count() == 0
