@@ -46,8 +46,9 @@ TOP = 2_000
 COVERED_PERCENT = 50
 
 BLOCK_BYTES = 1 << 20
-SHARD_PATHS = 150_000
-RANGE_PATHS = 200_000
+SHARD_PATHS = 400_000
+RANGE_PATHS = 800_000
+HELD_PATHS = 300_000
 FAN = 512
 MARKS_PER_SHARD = 64
 MARKS = 50_000
@@ -103,8 +104,10 @@ class Transducer:
     one, and 0 for an end. Values are states of the next level, at the last one weights.
     """
 
-    def __init__(self, langs: list[bytes], dictionary: pa.Array, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.langs, self.words, self.levels = langs, dictionary, levels
+    def __init__(
+        self, langs: list[bytes], dictionary: pa.Array, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int
+    ):
+        self.langs, self.words, self.levels, self.size = langs, dictionary, levels, size
 
     @staticmethod
     def of_paths(langs: list[bytes], dictionary: pa.Array, columns: Sequence[np.ndarray], weight: np.ndarray) -> Transducer:
@@ -117,7 +120,7 @@ class Transducer:
             *level, state = _registered(edges, label, value)
             levels.append(tuple(level))
             value, rows = state, rows[edges[:-1]]
-        return Transducer(langs, dictionary, levels[::-1])
+        return Transducer(langs, dictionary, levels[::-1], len(weight))
 
     def paths(self) -> tuple[list[np.ndarray], np.ndarray]:
         """Labels of all paths in order, level by level, and their weights."""
@@ -164,17 +167,17 @@ class Transducer:
             arrays += [(edges - edges[0]).astype(np.int32), data[edges[0] : edges[-1]]]
         for first, label, value in self.levels:
             arrays += [np.diff(first).astype(np.int32), label.astype(np.int32), value.astype(np.int64)]
-        raw = np.array([len(arrays), *map(len, arrays)], dtype=np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+        raw = np.array([self.size, len(arrays), *map(len, arrays)], dtype=np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
         return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
     @staticmethod
     def from_bytes(data: pa.Buffer) -> Transducer:
         size = int.from_bytes(data[:8], "little")
         raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
-        count = int(np.frombuffer(raw, np.int64, 1)[0])
-        lengths = np.frombuffer(raw, np.int64, count, 8).tolist()
+        paths, count = np.frombuffer(raw, np.int64, 2).tolist()
+        lengths = np.frombuffer(raw, np.int64, count, 16).tolist()
         kinds = [np.int32, np.uint8, np.int32, np.uint8, *[np.int32, np.int32, np.int64] * ((count - 4) // 3)]
-        arrays, at = [], 8 * (count + 1)
+        arrays, at = [], 8 * (count + 2)
         for length, kind in zip(lengths, kinds, strict=True):
             arrays.append(np.frombuffer(raw, kind, length, at))
             at += arrays[-1].nbytes
@@ -186,7 +189,7 @@ class Transducer:
             (np.concatenate(([0], np.cumsum(arrays[k], dtype=np.int64))), arrays[k + 1], arrays[k + 2])
             for k in range(4, count, 3)
         ]
-        return Transducer(langs.to_pylist(), dictionary, levels)
+        return Transducer(langs.to_pylist(), dictionary, levels, paths)
 
 
 def _ranked(dictionary: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -275,20 +278,20 @@ def block_transducer(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_
 
 
 class _Joined:
-    """Transducers held until they have ``most`` paths, then joined."""
+    """Transducers held until they have twice ``most`` paths, then joined."""
 
     def __init__(self, most: int):
         self.most, self.held, self.paths = most, [], 0
 
     def add(self, part: Transducer) -> None:
         self.held.append(part)
-        self.paths += len(part.levels[-1][1])
+        self.paths += part.size
         if self.paths >= 2 * self.most:
             self.join()
 
     def join(self) -> Transducer:
         whole = united(self.held)
-        self.held, self.paths = [whole], len(whole.levels[-1][1])
+        self.held, self.paths = [whole], whole.size
         return whole
 
 
@@ -331,7 +334,7 @@ def _cut(boundaries: list[Path]):
             names = spelled if level else whole.langs
             label = bisect_left(names, name) + (level > 0) if name or not level else 0
             exact = label == 0 if level and not name else (label - (level > 0) < len(names) and names[label - (level > 0)] == name)
-            part = column[low:high]
+            part, label = column[low:high], column.dtype.type(label)
             start = low + int(np.searchsorted(part, label))
             if not exact:
                 return start
@@ -415,12 +418,12 @@ def _counted(least: int):
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, joined = None, _Joined(RANGE_PATHS)
+        key, joined = None, _Joined(HELD_PATHS)
         for batch in batches:
             for own, data in zip(batch["range"].to_pylist(), batch["automaton"], strict=True):
                 if own != key and joined.held:
                     yield from rows(key, joined.join())
-                    joined = _Joined(RANGE_PATHS)
+                    joined = _Joined(HELD_PATHS)
                 key = own
                 joined.add(Transducer.from_bytes(data.as_buffer()))
         if joined.held:
