@@ -1,21 +1,30 @@
 """Topic classification with a dictionary table of aliases.
 
-The dictionary is one array value (a scalar subquery over the alias table), so a
-row meets all aliases in place: no shuffle and no product of rows.
+Up to ``INLINE_BYTES`` of aliases the dictionary is one array value (a scalar subquery
+over the alias table), so a row meets all aliases in place: no shuffle and no product of
+rows. The size is measured. A larger dictionary is joined: each alias by its rarest run
+of three letters, and what has that run is tested for the alias itself, so work follows
+the texts and what they hold, not texts times aliases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.language import full_text
 from gleaner.functions.scoring import iff
 from gleaner.functions.text import let
+from gleaner.session import settled
 
 # Confidence of a match and how many topics an item keeps.
 BASE_CONFIDENCE, STEP_CONFIDENCE = 0.55, 0.15
 TOPICS_PER_ITEM = 3
+# Aliases up to this size are an array on each row; probes up to this size are broadcast.
+INLINE_BYTES = 64 << 10
+PROBE_BYTES = 64 << 20
+RUN = 3
+
 # A mention in the title is worth this many in the summary.
 TITLE_MENTION = 3
 
@@ -77,8 +86,80 @@ def classified(items: DataFrame, topic_aliases: DataFrame) -> DataFrame:
     return items.withColumn("dictionary", dictionary_value(topic_aliases)).withColumn("matches", matches).drop("dictionary")
 
 
-def classify(items: DataFrame, topic_aliases: DataFrame) -> DataFrame:
+def _bytes_of(rows: DataFrame, *columns: str) -> int:
+    total = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in columns), F.lit(0))
+    return rows.agg(F.sum(total).alias("bytes")).first()["bytes"] or 0
+
+
+def _runs(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` letters of a text."""
+
+    def joined(letters: Column) -> Column:
+        last = F.greatest(F.size(letters) - (size - 1), F.lit(0))
+        return F.transform(
+            F.slice(letters, F.lit(1), last), lambda _, at: F.concat(*[F.get(letters, at + k) for k in range(size)])
+        )
+
+    return F.array_distinct(let(F.split(text, ""), joined))
+
+
+def matched_aliases(texts: DataFrame, aliases: DataFrame, probe_bytes: int = PROBE_BYTES) -> DataFrame:
+    """(id, alias): every alias that a text contains. texts: (id, text); aliases: (alias).
+
+    Runs of the dictionary are counted in the texts, and the rarest run of each alias
+    probes them; candidates meet their text again and are tested with ``contains``. The
+    probes are broadcast if their measured size allows it and joined by run otherwise.
+    """
+    listed = aliases.select("alias").filter(F.col("alias") != "").distinct()
+    listed = settled(listed.withColumn("size", F.least(F.length("alias"), F.lit(RUN))))
+    sizes = sorted(row["size"] for row in listed.select("size").distinct().collect())  # 1 to RUN
+
+    def by_size(rows: DataFrame, text: str, *keep: str) -> DataFrame | None:
+        out = None
+        for size in sizes:
+            own = rows.filter(F.col("size") == size) if "size" in rows.columns else rows
+            part = own.select(*keep, F.explode(_runs(F.col(text), size)).alias("run"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def probed(rows: DataFrame, probes: DataFrame) -> DataFrame:
+        small = _bytes_of(probes, *[name for name in ("run", "alias") if name in probes.columns]) <= probe_bytes
+        return rows.join(F.broadcast(probes) if small else probes, "run")
+
+    if not sizes:
+        return texts.select("id", F.lit("").alias("alias")).filter("false")
+    own = settled(by_size(listed, "alias", "alias"))
+    in_texts = by_size(texts, "text", "id")
+    counts = probed(in_texts, settled(own.select("run").distinct())).groupBy("run").agg(F.count(F.lit(1)).alias("found"))
+    rarest = (
+        own.join(counts, "run", "left")
+        .groupBy("alias")
+        .agg(F.min(F.struct(F.coalesce("found", F.lit(0)).alias("found"), "run")).alias("rarest"))
+        .filter("rarest.found > 0")
+    )
+    probes = settled(rarest.select("alias", F.col("rarest.run").alias("run")))
+    candidates = probed(in_texts, probes).select("id", "alias").distinct()
+    return candidates.join(texts, "id").filter(F.contains("text", F.col("alias"))).select("id", "alias")
+
+
+def _lowered(topic_aliases: DataFrame) -> DataFrame:
+    return topic_aliases.select("topic_id", F.lower("alias").alias("alias")).distinct()
+
+
+def _classified_by_join(items: DataFrame, topic_aliases: DataFrame) -> DataFrame:
+    text = F.lower(full_text(F.col("title"), F.col("summary"), F.col("body_content")))
+    dictionary = _lowered(topic_aliases)
+    found = matched_aliases(items.select("id", text.alias("text")), dictionary)
+    hits = found.join(dictionary, "alias").groupBy("id", "topic_id").agg(F.count(F.lit(1)).cast("int").alias("hits"))
+    sure = hits.withColumn("confidence", F.least(F.lit(1.0), F.lit(BASE_CONFIDENCE) + F.col("hits") * F.lit(STEP_CONFIDENCE)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("confidence"), "topic_id"))
+    return sure.withColumn("place", place).filter(F.col("place") <= TOPICS_PER_ITEM).drop("place")
+
+
+def classify(items: DataFrame, topic_aliases: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
     """(id, topic_id, hits, confidence), at most three topics per item."""
+    if _bytes_of(topic_aliases, "alias") > inline_bytes:
+        return _classified_by_join(items, topic_aliases).select("id", "topic_id", "hits", "confidence")
     return classified(items, topic_aliases).select("id", F.inline("matches"))
 
 
@@ -98,8 +179,31 @@ def _occurrences(text: Column, needle: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")
 
 
-def leading_topics(items: DataFrame, topic_aliases: DataFrame, summary_col: str = "summary") -> DataFrame:
+def _leading_by_join(items: DataFrame, topic_aliases: DataFrame, summary_col: str) -> DataFrame:
+    title, summary = F.lower("title"), F.lower(F.coalesce(summary_col, F.lit("")))
+    # The line break keeps an alias from matching across the two.
+    texts = items.select("id", F.concat_ws("\n", title, summary).alias("text"))
+    dictionary = _lowered(topic_aliases)
+    found = matched_aliases(texts, dictionary).join(items.select("id", title.alias("title"), summary.alias("summary")), "id")
+    weight = F.coalesce(_occurrences(F.col("title"), F.col("alias")), F.lit(0)) * TITLE_MENTION + _occurrences(F.col("summary"), F.col("alias"))
+    weights = found.select("id", "alias", weight.alias("weight")).join(dictionary, "alias")
+    weights = weights.groupBy("id", "topic_id").agg(F.sum("weight").cast("int").alias("weight")).filter("weight > 0")
+    order = F.struct("weight", (-F.col("topic_id")).alias("order"))
+    best = weights.groupBy("id").agg(F.max("weight").alias("leading_weight"), F.array_sort(F.collect_list(order)).alias("all"))
+    lead = F.transform(F.filter("all", lambda entry: entry["weight"] == F.col("leading_weight")), lambda entry: -entry["order"])
+    led = best.select("id", F.array_sort(lead).alias("leading_topics"), "leading_weight")
+    none = F.array().cast(led.schema["leading_topics"].dataType)
+    return items.join(led, "id", "left").withColumns(
+        {"leading_topics": F.coalesce("leading_topics", none), "leading_weight": F.coalesce("leading_weight", F.lit(0))}
+    )
+
+
+def leading_topics(
+    items: DataFrame, topic_aliases: DataFrame, summary_col: str = "summary", inline_bytes: int = INLINE_BYTES
+) -> DataFrame:
     """Adds leading_topics: the topics mentioned most in title and summary, ties included."""
+    if _bytes_of(topic_aliases, "alias") > inline_bytes:
+        return _leading_by_join(items, topic_aliases, summary_col)
     texts = F.struct(F.lower("title").alias("title"), F.lower(F.coalesce(summary_col, F.lit(""))).alias("summary"))
 
     def weighed(entry: Column, text: Column) -> Column:

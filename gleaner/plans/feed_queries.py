@@ -27,6 +27,13 @@ def classify(fx):
     return found.select("id", "topic_id", F.col("hits").cast("bigint").alias("hits"), rounded("confidence").alias("confidence"))
 
 
+@query("classify_by_join", with_views("SELECT id, topic_id, hits, round(confidence, 6) AS confidence FROM matches", "fx_items", "fx_topic_aliases", extra={"matches": MATCHES}))
+def classify_by_join(fx):
+    """As for a dictionary too large for the rows."""
+    found = topics.classify(fx.items(), fx.topic_aliases(), inline_bytes=0)
+    return found.select("id", "topic_id", F.col("hits").cast("bigint").alias("hits"), rounded("confidence").alias("confidence"))
+
+
 @query(
     "link_topics",
     with_views(
@@ -72,6 +79,18 @@ def leading_topics(fx):
     return led.select("id", joined("leading_topics").alias("leading_topics"), F.col("leading_weight").cast("bigint").alias("leading_weight"))
 
 
+@query(
+    "leading_topics_by_join",
+    with_views(
+        "SELECT id, coalesce(array_to_string(led_by, '|'), '') AS leading_topics, CAST(weight AS BIGINT) AS leading_weight FROM lead",
+        "fx_items", "fx_topic_aliases", extra={"lead": leading_view("fx_items", "summary")},
+    ),
+)
+def leading_topics_by_join(fx):
+    led = topics.leading_topics(fx.items(), fx.topic_aliases(), inline_bytes=0)
+    return led.select("id", joined("leading_topics").alias("leading_topics"), F.col("leading_weight").cast("bigint").alias("leading_weight"))
+
+
 CARDS = f"""
     SELECT i.id, i.title, coalesce(i.summary, '{feed.DEFAULT_EXCERPT}') AS excerpt, i.canonical_url AS url,
         coalesce(s.name, lower(regexp_extract(i.canonical_url, '^[a-z]+://([^/?#]*)', 1))) AS source,

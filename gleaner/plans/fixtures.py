@@ -29,11 +29,33 @@ SOURCE_TYPES = [
 PLATFORMS = ["hacker_news", "reddit", "dev_to", "stack_exchange", "github", "youtube"]
 EVENT_PLATFORMS = {"click": "hacker_news", "view": "dev_to", "error": "reddit", "signup": "github", "purchase": "youtube"}
 EVENT_NAMES = {"click": "open", "view": "impression", "error": "crash", "signup": "complete", "purchase": "save"}
-# The commonest words of the French, German and Spanish documents that the English ones hardly have.
+# Function words of languages other than English, whatever the given tables hold.
 FOREIGN_WORDS = [
-    "au", "auf", "con", "das", "de", "del", "dem", "den", "der", "des", "die", "du", "ein", "el", "est", "et", "für", "im", "ist",
-    "la", "las", "le", "les", "los", "nicht", "par", "para", "por", "pour", "que", "qui", "se", "sich", "su", "sur", "un", "una",
-    "und", "une", "von", "y", "zu",
+    # German
+    "auf", "aus", "bei", "das", "dem", "den", "der", "des", "durch", "ein", "eine", "einem", "einen", "einer", "für", "im",
+    "ist", "nach", "nicht", "oder", "sich", "sind", "und", "vom", "von", "werden", "wird", "zu", "zum", "zur", "über",
+    # French
+    "au", "aux", "avec", "ce", "ces", "cette", "dans", "de", "depuis", "du", "elle", "est", "et", "il", "je", "la",
+    "le", "les", "leur", "même", "nous", "ou", "où", "par", "pas", "pour", "que", "qui", "ses", "sont", "sur", "très",
+    "un", "une", "vos",
+    # Spanish
+    "al", "como", "con", "cuando", "del", "desde", "el", "ella", "esta", "este", "hasta", "las", "los", "más", "muy", "nos",
+    "para", "pero", "por", "porque", "se", "ser", "sin", "sobre", "su", "sus", "también", "una", "y", "ya",
+    # Portuguese
+    "ao", "com", "da", "dos", "ele", "foi", "isso", "mas", "muito", "não", "pela", "pelo", "quando", "são", "sem", "seu",
+    "sua", "uma", "você",
+    # Italian
+    "che", "degli", "della", "delle", "di", "gli", "nel", "nella", "perché", "più", "questo", "sono", "tra",
+    # Dutch
+    "aan", "deze", "door", "een", "het", "maar", "naar", "niet", "ook", "te", "van", "voor", "wij", "worden", "zijn",
+    # Turkish
+    "bir", "bu", "çok", "daha", "değil", "gibi", "için", "ile", "ne", "ve",
+    # Indonesian
+    "adalah", "akan", "dari", "dengan", "ini", "itu", "juga", "pada", "tidak", "untuk", "yang",
+    # Czech
+    "ale", "ani", "jako", "jsou", "která", "který", "není", "od", "pro", "že",
+    # Hungarian
+    "az", "egy", "és", "hogy", "mint", "nem", "vagy",
 ]
 LEXICON = Lexicon(FOREIGN_WORDS)
 TIERS = ["official", "community", "probationary", "unknown"]

@@ -1,12 +1,15 @@
 """Queries of payload normalisers, markup, images and page metadata."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import links
 from gleaner.functions.text import NAMED_ENTITIES, strip_markup
 from gleaner.plans.registry import query, stamp
 from gleaner.plans.views import canonical, collapsed, stamp as sql_stamp, with_views
-from gleaner.sources import apis, feeds, pages
+from gleaner.session import shared_dir
+from gleaner.sources import apis, feeds, pages, tables
 
 
 def decoded(sql: str) -> str:
@@ -199,6 +202,71 @@ def extract_page_metadata(fx):
     return meta.select("page_id", "canonical_url", "title", "summary", F.length("body_text").cast("bigint").alias("body_chars"), F.sha2("body_text", 256).alias("body_hash"))
 
 
+# Pages whose head names title, author, dates and images in the ways that sites do, by page number.
+_TAGS = [
+    '<meta property="og:title" content="Shared &amp;amp; told {n}"><meta name="description" content="About {n}"><meta property="og:image" content="/pic/{n}.png">',
+    '<meta name="twitter:title" content="Bird {n}"><meta name="author" content="Ann {n}"><link rel="canonical" href="https://pages.example.com/story/{n}?utm_source=x"><meta name="date" content="2024-01-05T06:07:08Z">',
+    '<script type="application/ld+json">{{"@graph":[{{"@type":"WebSite"}},{{"@type":"NewsArticle","author":{{"name":"Bo {n}"}},"datePublished":"2024-01-02T03:04:05Z","image":{{"url":"https://img.example.com/{n}.png"}}}}]}}</script>',
+    '<script type="application/ld+json">{{not json {n}</script><meta property="article:published_time" content="2024-01-09T00:00:00Z"><link rel="image_src" href="https://img.example.com/src/{n}.png">',
+    '<script type="application/ld+json">[{{"@type":["BlogPosting"],"author":"Cy {n}","dateCreated":"2024-01-03T00:00:00Z","image":["https://img.example.com/list/{n}.png"]}}]</script>',
+    "",
+]
+
+
+def _by_tag(*values: str) -> str:
+    return "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {value}" for k, value in enumerate(values)) + " END"
+
+
+_PLAIN_TITLE = plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+_OWN_LINK = canonical("url")
+
+
+@query(
+    "extract_page_tags",
+    f"""SELECT page_id,
+        {_by_tag("'Shared & told ' || page_id", "'Bird ' || page_id", _PLAIN_TITLE, _PLAIN_TITLE, _PLAIN_TITLE, _PLAIN_TITLE)} AS title,
+        {_by_tag("NULL", "'Ann ' || page_id", "'Bo ' || page_id", "NULL", "'Cy ' || page_id", "NULL")} AS author,
+        {_by_tag("'About ' || page_id", "NULL", "NULL", "NULL", "NULL", "NULL")} AS stated_summary,
+        {_by_tag("nullif(regexp_extract(url, '^(https://[^/]+)', 1), '') || '/pic/' || page_id || '.png'", "NULL", "'https://img.example.com/' || page_id || '.png'", "'https://img.example.com/src/' || page_id || '.png'", "'https://img.example.com/list/' || page_id || '.png'", "NULL")} AS image_url,
+        {_by_tag("NULL", "'2024-01-05 06:07:08'", "'2024-01-02 03:04:05'", "'2024-01-09 00:00:00'", "'2024-01-03 00:00:00'", "NULL")} AS published_at,
+        {_by_tag(_OWN_LINK, "'https://pages.example.com/story/' || page_id", _OWN_LINK, _OWN_LINK, _OWN_LINK, _OWN_LINK)} AS canonical_url
+    FROM pages""",
+)
+def extract_page_tags(fx):
+    p = F.col("page_id")
+    number = p.cast("string")
+    head = F.lit("")
+    for k, tags in enumerate(_TAGS):
+        written = tags.replace("{{", "{").replace("}}", "}")
+        head = F.when(p % 6 == k, F.replace(F.lit(written), F.lit("{n}"), number)).otherwise(head)
+    tagged = fx.table("pages").withColumn("html", F.concat(head, "html"))
+    meta = pages.extract_page_metadata(tagged)
+    return meta.select(
+        "page_id", "title", "author", F.when(p % 6 == 0, F.col("summary")).alias("stated_summary"), "image_url",
+        stamp("published_at").alias("published_at"), "canonical_url",
+    )
+
+
+@query(
+    "tables_round_trip",
+    with_views(
+        f"""SELECT id, source_id, n % 3 = 0 AS is_hidden, {sql_stamp('published_at')} AS published_at, CAST(n % 900 AS INTEGER) AS word_count, length(title) AS title_chars
+        FROM fx_items WHERE n % 5 <> 0""",
+        "fx_items",
+    ),
+)
+def tables_round_trip(fx):
+    """Items written by source, read with their declared types, some sources only."""
+    folder = f"{shared_dir(fx.spark)}/tables-{uuid.uuid4().hex}"
+    schema = tables.schema_of("content_items")
+    items = fx.items().withColumns({"is_hidden": F.col("n") % 3 == 0, "word_count": (F.col("n") % 900).cast("int")})
+    have = [F.col(f.name).cast(f.dataType) if f.name in items.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    kept = items.filter("n % 5 <> 0").select(*[column.alias(field.name) for column, field in zip(have, schema, strict=True)])
+    tables.write_table(kept, f"{folder}/content_items", partition_by=["source_id"])
+    read = tables.read_tables(fx.spark, folder, ["content_items"])["content_items"]
+    return read.select("id", "source_id", "is_hidden", stamp("published_at").alias("published_at"), "word_count", F.length("title").cast("bigint").alias("title_chars"))
+
+
 @query(
     "page_engagement",
     """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN greatest(page_id * 7 % 300, page_id % 90) ELSE 0 END AS engagement_count,

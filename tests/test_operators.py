@@ -320,3 +320,29 @@ def test_key_points_stay_in_the_rows_of_their_texts(spark):
     (row,) = points.collect()
     assert row["id"] == "c" and len(row["points"]) == 4
     assert summary.key_points(rows.limit(0)).count() == 0
+
+
+def test_a_large_dictionary_is_joined(spark):
+    from gleaner.operators import topics
+
+    rows = [("a", "Widget999x and widget7x", None, "tail widget12345x"), ("b", None, "", None), ("c", "x", "über Größe", "nothing"), ("d", "ab", "c", "")]
+    items = spark.createDataFrame(rows, "id string, title string, summary string, body_content string")
+    named = spark.range(30_000).selectExpr("id % 97 AS topic_id", "concat('Widget', id, 'x') AS alias")
+    short = spark.createDataFrame([(500, "x"), (501, "GRÖSSE"), (501, "größe"), (502, "ab c"), (503, "")], "topic_id bigint, alias string")
+    large = named.unionByName(short).filter("alias <> ''")
+    joined = topics.classify(items, large)
+    assert "calar" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    inline = topics.classify(items, large, inline_bytes=1 << 30)
+    columns = ["id", "topic_id", "hits", "confidence"]
+    assert sorted(map(tuple, joined.select(*columns).collect())) == sorted(map(tuple, inline.select(*columns).collect()))
+    some = large.filter("topic_id > 90 OR alias LIKE '%999x'")
+    by_join = topics.leading_topics(items.filter("title IS NOT NULL"), some, inline_bytes=0)
+    in_place = topics.leading_topics(items.filter("title IS NOT NULL"), some, inline_bytes=1 << 30)
+    columns = ["id", "leading_topics", "leading_weight"]
+    assert sorted(map(str, by_join.select(*columns).collect())) == sorted(map(str, in_place.select(*columns).collect()))
+    assert topics.classify(items, large.limit(0), inline_bytes=-1).count() == 0
+    # Without room for a broadcast, probes are joined by run.
+    texts = items.selectExpr("id", "lower(concat_ws(' ', title, summary, body_content)) AS text")
+    lowered = large.selectExpr("lower(alias) AS alias")
+    wide, narrow = (sorted(map(tuple, topics.matched_aliases(texts, lowered, b).collect())) for b in (0, 1 << 26))
+    assert wide == narrow and ("a", "widget999x") in wide and ("d", "ab c") in wide
