@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import settled
@@ -42,3 +42,27 @@ def checked_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, most
         return many.join(F.broadcast(few), key, "left")
     found = salted_join(many.select(spread_by, key).filter(F.col(key).isNotNull()), few, key, spread_by)
     return many.join(found.drop(key), spread_by, "left")
+
+
+def with_last(rows: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the last non-null value of the rows before, within a group, without gathering a group in one task.
+
+    Rows are sorted in ranges of (group, order), so a hot group spans many tasks. Looking
+    back stays inside a range, and takes what the group's ranges before leave off with
+    where it finds nothing; of those there is one row a range. Pass narrow rows.
+    """
+    keys = [F.col(group).asc(), *order]
+    ranged = settled(
+        settled(rows)
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    known = F.when(F.col(value).isNotNull(), F.struct("_row", value))
+    edges = ranged.groupBy(group, "_part").agg(F.max(known).alias("_last"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(group, "_part", F.last("_last", ignorenulls=True).over(earlier)[value].alias("_before"))
+    before = Window.partitionBy(group, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    looked = ranged.withColumn("_inside", F.last(value, ignorenulls=True).over(before)).join(edges, [group, "_part"], "left")
+    return looked.withColumn(name, F.coalesce("_inside", "_before")).drop("_part", "_row", "_inside", "_before")

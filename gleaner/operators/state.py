@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.scoring import iff
+from gleaner.operators.skew import with_last
 
 # Source kinds, default fetch interval, age of a dead run.
 FEED_TYPES = ["rss", "atom", "medium_rss", "api", "web", "platform"]
@@ -54,35 +55,21 @@ def hit_summaries(hits: DataFrame) -> DataFrame:
     """One summary per item of hits (item_id, hit_id, seen_at, platform, reported, stored_source_id, source_id).
 
     A summary has the most engagement, the first and last hit, and whether a hit
-    came from another source right after another platform's. Looking back stays
-    inside hour slots and then goes across slots, so an item with very many hits
-    is worked on in parts.
+    came from another source right after another platform's. Looking back goes over
+    ranges of hits, so an item, or an hour of it, that has all hits is many tasks; the
+    rest are map-side combined aggregates.
     """
-    told = (
-        hits.filter(F.col("reported").isNotNull())
-        .withColumn("order", F.struct("seen_at", "hit_id"))
-        .withColumn("hour", F.date_trunc("hour", "seen_at"))
-        .withColumn("other", iff(F.col("stored_source_id") != F.col("source_id")))
+    told = hits.filter(F.col("reported").isNotNull()).select(
+        "item_id", "seen_at", "hit_id", "platform", "reported", iff(F.col("stored_source_id") != F.col("source_id")).alias("other")
     )
-    inside = Window.partitionBy("item_id", "hour").orderBy("order")
-    told = told.withColumn("previous", F.lag("platform").over(inside))
-    slots = told.groupBy("item_id", "hour").agg(
+    told = told.withColumn("place", F.struct("platform"))  # a hit without a platform is a hit all the same
+    told = with_last(told, "item_id", [F.col("seen_at").asc(), F.col("hit_id").asc()], "place", "before")
+    order = F.struct("seen_at", "hit_id")
+    return told.groupBy("item_id").agg(
         F.max(F.greatest(F.lit(0), F.floor("reported"))).alias("engagement_count"),
-        F.bool_or(F.col("other") & F.col("previous").isNotNull() & (F.col("previous") != F.col("platform"))).alias("independent"),
-        F.min_by(F.struct("platform", "other"), "order").alias("first"),
-        F.max_by(F.struct("platform", "seen_at"), "order").alias("last"),
-    )
-    across = Window.partitionBy("item_id").orderBy("hour")
-    at_edge = F.col("first.other") & F.col("before").isNotNull() & (F.col("before") != F.col("first.platform"))
-    return (
-        slots.withColumn("before", F.lag("last.platform").over(across))
-        .groupBy("item_id")
-        .agg(
-            F.max("engagement_count").alias("engagement_count"),
-            F.bool_or(F.col("independent") | at_edge).alias("independent"),
-            F.min_by("first", "hour").alias("first"),
-            F.max_by("last", "hour").alias("last"),
-        )
+        F.bool_or(iff(F.col("other") & (F.col("before.platform") != F.col("platform")))).alias("independent"),
+        F.min_by(F.struct("platform", "other"), order).alias("first"),
+        F.max_by(F.struct("platform", "seen_at"), order).alias("last"),
     )
 
 

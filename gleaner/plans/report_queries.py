@@ -363,6 +363,32 @@ def quota_ledger(fx):
     return decided.select("platform", "request_id", stamp("window_started_at").alias("window_started_at"), "granted")
 
 
+# Requests that cost one to five, under limits of a table: each window is walked request by request.
+COST_SQL = with_views(
+    f"""SELECT platform, request_id, {sql_stamp('start')} AS window_started_at, cost, granted FROM walk WHERE request_id IS NOT NULL""",
+    "fx_quota_requests",
+    recursive=True,
+    extra={
+        "asked": "SELECT *, 1 + request_id * 7 % 5 AS cost, CASE platform WHEN 'github' THEN 25 ELSE 60 END AS allowed, CASE platform WHEN 'github' THEN INTERVAL 90 MINUTE ELSE INTERVAL 600 MINUTE END AS span FROM fx_quota_requests WHERE request_id % 3 = 0",
+        "chain": """SELECT platform, min(asked_at) AS start, any_value(span) AS span FROM asked GROUP BY platform
+            UNION ALL SELECT c.platform, n.start, c.span FROM chain c, LATERAL (SELECT min(asked_at) AS start FROM asked r WHERE r.platform = c.platform AND r.asked_at > c.start + c.span) n WHERE n.start IS NOT NULL""",
+        "queue": """SELECT r.platform, c.start, request_id, cost, allowed, row_number() OVER (PARTITION BY r.platform, c.start ORDER BY asked_at, request_id) AS place
+            FROM asked r JOIN chain c ON c.platform = r.platform AND r.asked_at >= c.start AND r.asked_at <= c.start + c.span""",
+        "walk": """SELECT DISTINCT platform, start, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS request_id, CAST(0 AS BIGINT) AS cost, FALSE AS granted FROM queue
+            UNION ALL SELECT q.platform, q.start, q.place, CASE WHEN w.used + q.cost <= q.allowed THEN w.used + q.cost ELSE w.used END, q.request_id, q.cost, w.used + q.cost <= q.allowed
+            FROM walk w JOIN queue q ON q.platform = w.platform AND q.start = w.start AND q.place = w.place + 1""",
+    },
+)
+
+
+@query("quota_ledger_costs", COST_SQL)
+def quota_ledger_costs(fx):
+    asked = fx.quota_requests().filter("request_id % 3 = 0").withColumn("cost", 1 + F.col("request_id") * 7 % 5)
+    budgets = quota.budget_table(fx.spark, {"github": (25, 90), "stack_exchange": (60, 600)})
+    decided = quota.quota_ledger(asked, budgets=budgets)
+    return decided.select("platform", "request_id", stamp("window_started_at").alias("window_started_at"), "cost", "granted")
+
+
 # Streaming twins: the same rows through Structured Streaming with everything available now.
 
 
