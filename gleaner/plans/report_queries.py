@@ -13,6 +13,7 @@ from gleaner.plans.stream_fixtures import StreamFixtures
 from gleaner.plans.views import NOW, quoted, stamp as sql_stamp, with_views
 from gleaner.session import shared_dir
 from gleaner.sources import feeds
+from gleaner.sources.snapshots import Snapshots
 from gleaner.streaming import jobs
 
 
@@ -410,28 +411,28 @@ def verdict_log_stream(fx):
 @query("signals_stream", SIGNALS_SQL)
 def signals_stream(fx):
     folder = _run_folder(fx, "signals")
-    _finished(jobs.signals_stream(StreamFixtures(fx.spark, fx.folder).hits(), f"{folder}/rows", f"{folder}/checkpoint"))
-    summaries = fx.spark.read.parquet(f"{folder}/rows").withColumn("state", F.col("state").cast("bigint"))
-    newest = summaries.filter(F.col("state") == summaries.agg(F.max("state")).scalar())
-    return state.signals_of(newest).withColumn("collected_at", stamp("collected_at"))
+    tables = Snapshots(fx.spark, f"{folder}/tables")
+    _finished(jobs.signals_stream(StreamFixtures(fx.spark, fx.folder).hits(), tables, f"{folder}/checkpoint"))
+    return state.signals_of(tables.read("signal_summaries")).withColumn("collected_at", stamp("collected_at"))
 
 
 @query("reader_state_stream", READER_STATE_SQL)
 def reader_state_stream(fx):
     folder = _run_folder(fx, "reader-state")
+    tables = Snapshots(fx.spark, f"{folder}/tables")
     stream = jobs.reader_state_changes(StreamFixtures(fx.spark, fx.folder).state_events())
-    _finished(jobs.write_batches(stream, f"{folder}/rows", f"{folder}/checkpoint", "update"))
-    latest = jobs.latest_rows(fx.spark, f"{folder}/rows", ["user_id", "item_id"]).filter("is_saved")
+    _finished(jobs.write_changes(stream, tables, "saved_items", ["user_id", "item_id"], f"{folder}/checkpoint"))
+    latest = tables.read("saved_items").filter("is_saved")
     return latest.select("user_id", "item_id", "is_read", stamp("saved_at").alias("saved_at"))
 
 
 @query("event_windows_stream", WINDOWS_SQL)
 def event_windows_stream(fx):
     folder = _run_folder(fx, "event-windows")
+    tables = Snapshots(fx.spark, f"{folder}/tables")
     stream = jobs.event_window_stream(StreamFixtures(fx.spark, fx.folder).raw_events())
-    _finished(jobs.write_batches(stream, f"{folder}/rows", f"{folder}/checkpoint", "update"))
-    keys = ["window_start", "content_item_id", "type"]
-    return jobs.latest_rows(fx.spark, f"{folder}/rows", keys).withColumn("window_start", stamp("window_start"))
+    _finished(jobs.write_changes(stream, tables, "event_windows", ["window_start", "content_item_id", "type"], f"{folder}/checkpoint"))
+    return tables.read("event_windows").withColumn("window_start", stamp("window_start"))
 
 
 @query("quota_ledger_stream", QUOTA_SQL)

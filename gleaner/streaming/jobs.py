@@ -13,7 +13,7 @@ from gleaner.functions.scoring import iff
 from gleaner.operators import quota, state
 from gleaner.operators.ingest import ingest_into
 from gleaner.session import settled
-from gleaner.sources.snapshots import Snapshots
+from gleaner.sources.snapshots import Change, Snapshots
 
 
 def verdict_log_stream(verdicts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
@@ -62,11 +62,18 @@ def reader_state_changes(events: DataFrame) -> DataFrame:
     )
 
 
-def write_batches(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Write what is available as one folder per micro-batch; a retried batch replaces its folder."""
+def write_changes(
+    stream: DataFrame, tables: Snapshots, name: str, keys: list[str], checkpoint: str, mode: str = "update"
+) -> StreamingQuery:
+    """Keep a keyed table in step with an update-mode stream, as far as data is available.
+
+    A batch publishes the rows it changes, and a retried one nothing; the table is
+    written anew once in a while, so neither its readers nor its folder see all batches.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        tables.commit(name, batch_id, {name: Change(batch, keys)})
+        tables.expire(keep=2)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -77,35 +84,32 @@ def write_batches(stream: DataFrame, folder: str, checkpoint: str, mode: str = "
     )
 
 
-def latest_rows(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Current row per key of an update-mode stream written by :func:`write_batches`."""
-    rows = spark.read.parquet(folder)
-    rest = [name for name in rows.columns if name not in (*keys, "batch")]
-    latest = F.max_by(F.struct(*rest), F.col("batch").cast("bigint")).alias("latest")
-    return rows.groupBy(*keys).agg(latest).select(*keys, "latest.*")
-
-
-def _previous(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(f"{folder}/state={batch_id - 1}") if batch_id > 0 else None
+def signals_stream(hits: DataFrame, tables: Snapshots, checkpoint: str, name: str = "signal_summaries") -> StreamingQuery:
+    """Fold hits into running signals of a keyed table.
 
-
-def signals_stream(hits: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold hits into running signals, one state folder per micro-batch.
-
-    A micro-batch is summed up by item first (hour slots, map-side combining);
-    only summaries meet the stored state, so a hot item is no hot task. Batches
-    are taken in arrival order.
+    A micro-batch is summed up by item first; only the stored summaries of its items are
+    read and written, so the cost of a batch follows the batch. Batches are taken in
+    arrival order.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        summary = state.hit_summaries(batch)
-        earlier = _previous(batch.sparkSession, folder, batch_id)
-        merged = summary if earlier is None else state.merge_hit_summaries(earlier, summary)
-        merged.write.mode("overwrite").parquet(f"{folder}/state={batch_id}")
+        if tables.done(name, batch_id):
+            return
+        base = tables.version()
+        summaries, known = settled(state.hit_summaries(batch)), tables.read(name, base)
+        if known is not None:
+            touched = known.join(summaries.select("item_id"), "item_id", "left_semi")
+            summaries = state.merge_hit_summaries(touched, summaries)
+        tables.commit(name, batch_id, {name: Change(summaries, ["item_id"])}, base)
+        tables.expire(keep=2)
 
     return hits.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _previous(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    return spark.read.parquet(f"{folder}/state={batch_id - 1}") if batch_id > 0 else None
+
+
 def quota_stream(requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Decide requests as they arrive; the open window of each platform is carried between batches."""
 

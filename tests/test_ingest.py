@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.language import Lexicon
-from gleaner.operators import reports, state
+from gleaner.operators import quota, reports, skew, state
 from gleaner.operators.ingest import ingest_batch, ingest_into
 from gleaner.sources import feeds
 from gleaner.sources.snapshots import Change, Conflict, Snapshots
@@ -214,3 +214,62 @@ def test_every_candidate_is_accounted_for_across_sources(spark):
     assert (runs["a"]["fetched"], runs["b"]["fetched"]) == (31, 1) and result.verdicts.count() == 32
     assert [r["source_id"] for r in result.new_items.filter(F.col("title") == shared).collect()] == ["a"]
     assert all(r["fetched"] == r["inserted"] + r["duplicates"] + r["rejected"] for r in runs.values())
+
+
+def test_signals_of_many_batches_equal_one_fold_and_write_what_they_touch(spark, tmp_path):
+    hits = spark.range(600).selectExpr(
+        "CAST(id % 5 AS STRING) AS item_id", "id AS hit_id", "timestamp_seconds(1706000000 + id * 60) AS seen_at",
+        "element_at(array('github', 'reddit', 'dev_to'), CAST(id * id % 3 + 1 AS INT)) AS platform", "CAST(id % 50 AS DOUBLE) AS reported",
+        "'s1' AS source_id", "CASE WHEN id % 2 = 0 THEN 's2' END AS stored_source_id",
+    )
+    for n in range(6):
+        hits.filter(f"hit_id DIV 100 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    only = hits.filter("hit_id = 5").selectExpr("'lone' AS item_id", "hit_id + 1000 AS hit_id", "seen_at + INTERVAL 9 DAYS AS seen_at", "platform", "reported", "source_id", "stored_source_id")
+    stored = Snapshots(spark, str(tmp_path / "tables"), most_parts=3)
+
+    def run():
+        stream = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        jobs.signals_stream(stream, stored, str(tmp_path / "checkpoint")).awaitTermination(120)
+
+    run()
+    only.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    expected = state.signals_fold(hits.unionByName(only)).collect()
+    got = state.signals_of(stored.read("signal_summaries")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len(got) == 6
+    manifest = stored.manifest()
+    assert manifest["version"] >= 6 and len(manifest["tables"]["signal_summaries"]["parts"]) <= 3
+    last = manifest["tables"]["signal_summaries"]["parts"][-1]
+    assert spark.read.parquet(f"{tmp_path}/tables/{last}").count() in (1, 6)
+    assert len(list((tmp_path / "tables" / "data" / "signal_summaries").iterdir())) <= 5
+
+
+def test_one_item_with_all_hits_is_many_tasks(spark):
+    hits = spark.range(4000).selectExpr(
+        "'hot' AS item_id", "id AS hit_id", "timestamp_seconds(1706000000 + id % 3000) AS seen_at", "IF(id % 7 = 0, 'github', 'reddit') AS platform",
+        "1.0D AS reported", "'s1' AS source_id", "'s2' AS stored_source_id",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    try:
+        looked = skew.with_last(hits, "item_id", [F.col("seen_at").asc(), F.col("hit_id").asc()], "platform", "before")
+        rows = looked.collect()
+        ranges = hits.repartitionByRange("item_id", "seen_at", "hit_id").select(F.spark_partition_id()).distinct().count()
+        signals = state.signals_fold(hits).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges > 1
+    assert [(row["engagement_count"], row["source_count"]) for row in signals] == [(1, 2)]
+    ordered = sorted(rows, key=lambda row: (row["seen_at"], row["hit_id"]))
+    assert [row["before"] for row in ordered] == [None, *[row["platform"] for row in ordered[:-1]]]
+
+
+def test_quota_with_costs_is_first_fit(spark):
+    costs = [3, 5, 4, 1, 9, 2, 1, 0, 1]
+    rows = [("p", n, f"2024-01-01 00:00:{n:02d}", c) for n, c in enumerate(costs)] + [("other", 99, "2024-01-01 00:00:00", 1)]
+    asked = spark.createDataFrame(rows, "platform string, request_id long, at string, cost int").withColumn("asked_at", F.col("at").cast("timestamp"))
+    decided = quota.quota_ledger(asked, budgets=quota.budget_table(spark, {"p": (10, 60)})).collect()
+    assert {row["request_id"]: row["granted"] for row in decided} == {0: True, 1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
+    opened = quota.open_windows(quota.quota_ledger(asked.filter("request_id < 3"), budgets=quota.budget_table(spark, {"p": (10, 60)})))
+    assert [row["used"] for row in opened.collect()] == [8]
+    rest = quota.quota_ledger(asked.filter("request_id >= 3"), opened, quota.budget_table(spark, {"p": (10, 60)})).collect()
+    assert {row["request_id"] for row in rest if row["granted"]} == {3, 6}
