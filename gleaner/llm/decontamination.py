@@ -18,7 +18,8 @@ any, words or pairs are scanned the same way.
 
 Defined results: a null text has no words; an item without words has no window. Rows
 with a null doc_id are judged with the others of their text. Rows that repeat an id are
-judged each on its own text. Items that repeat an id count as one.
+judged each on its own text. Items that repeat an id count as one; items with a null id
+hit words, and are not among the items counted. Without documents or items nothing is hit.
 """
 
 from __future__ import annotations
@@ -171,3 +172,26 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     bad = judged.filter("n_hit > 0").select(F.col("key").alias("_bad"))
     own = F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key"))
     return docs.join(bad, own.eqNullSafe(bad["_bad"]), "left_anti")
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}') AS w FROM benchmark),
+wanted AS (
+    SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, md5(array_to_string(w[p:p + {WINDOW - 1}], ' ')) AS h
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+),
+places AS (
+    SELECT doc_id, n, p, md5(array_to_string(w[p:p + n - 1], ' ')) AS h
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM wanted) WHERE len(w) >= n)
+),
+found AS (SELECT doc_id, item_id, p, n FROM places JOIN wanted USING (n, h)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -184,3 +184,38 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     kept = verdicts(docs, host).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text"))
     same_text = F.xxhash64(docs["text"]) == kept["_kept_text"]
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & same_text, "left_semi")
+
+
+ORACLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS host, text, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS found
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM t WHERE len(w) >= {REPEAT_WINDOW})
+),
+repeats AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + {REPEAT_WINDOW})) AS q FROM windows WHERE found > 1) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+    FROM (SELECT doc_id, host, text, unnest(string_split(body, chr(10))) AS line FROM t)
+),
+worded AS (
+    SELECT doc_id, host, text, line, len(lw) AS n,
+        translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+    FROM lines WHERE len(lw) > 0
+),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id),
+hosts AS (SELECT host, count(*) AS docs FROM (SELECT DISTINCT host, text FROM t) GROUP BY host),
+frequent AS (
+    SELECT host, normal, first FROM (SELECT host, normal, count(DISTINCT text) AS found, min(doc_id) AS first FROM worded GROUP BY host, normal)
+    JOIN hosts USING (host) WHERE found >= {LINE_DOCS} AND found > {LINE_SHARE} * docs
+),
+lost AS (SELECT doc_id, sum(n) AS n FROM worded JOIN frequent USING (host, normal) WHERE doc_id > first GROUP BY doc_id),
+judged AS (
+    SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) - coalesce(l.n, 0)::BIGINT AS n_words_left
+    FROM t LEFT JOIN dups d USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id)
+)
+SELECT * EXCLUDE (failed), failed AS base_failed, NOT failed AND n_words_left >= {LEAST_KEPT} * n_words AS kept
+FROM (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * MOST_REPEATED)} * n_words AS failed FROM judged)
+"""

@@ -22,6 +22,7 @@ from gleaner.llm import (
     warc,
 )
 from gleaner.llm.storage import prepared
+from gleaner.llm.substring_dedup import ORACLE as substring_dedup_sql
 from gleaner.llm.substring_dedup import digests as substring_digests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +43,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_warc_normaliser")
+@query("op1_warc_normaliser", warc.ORACLE)
 def warc_normaliser(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
@@ -52,17 +53,17 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard.classes(table(spark, folder, "documents"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", substring_dedup_sql)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digests(table(spark, folder, "documents"))
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", quality_rules.ORACLE)
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, folder, "documents")).drop("text_key")
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", decontamination.ORACLE)
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 

@@ -256,3 +256,21 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = _with_repeats(docs, shelf, window)
     whole = joined.select("row", cut(F.col("row.text"), F.col("repeats"), F.col("is_copy")).alias("kept"))
     return whole.filter(F.col("kept").isNotNull()).select(F.col("row").withField("text", F.col("kept")).alias("row")).select("row.*")
+
+
+ORACLE = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, p, md5(array_to_string(w[p:p + {WINDOW - 1}], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM w WHERE len(w) >= {WINDOW})
+),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS p FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+spelled AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+    FROM spelled s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = s.doc_id AND g.p = s.p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""

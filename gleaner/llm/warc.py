@@ -299,3 +299,12 @@ def archived(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     index = shelf.put("index", normalised(archives, raw, whole))
     shelf.drop("raw")
     return read_records(index, whole)
+
+
+ORACLE = f"""
+SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN strlen(html) >= {REVISIT_BYTES} AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN strlen(html) >= {REVISIT_BYTES} AND page_id > first THEN first END AS refers_to, url
+FROM (SELECT *, sha256(html) AS digest, min(page_id) OVER (PARTITION BY html) AS first
+    FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages))
+"""
