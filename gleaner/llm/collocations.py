@@ -33,7 +33,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import words
@@ -46,9 +46,9 @@ TOP = 2_000
 COVERED_PERCENT = 50
 
 BLOCK_BYTES = 1 << 20
-SHARD_PATHS = 400_000
+SHARD_PATHS = 300_000
 RANGE_PATHS = 800_000
-HELD_PATHS = 300_000
+HELD_PATHS = 200_000
 FAN = 512
 MARKS_PER_SHARD = 64
 MARKS = 50_000
@@ -97,6 +97,27 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+class Paths:
+    """Sorted distinct paths as columns of labels, level by level, and their weights: what is joined and cut."""
+
+    def __init__(self, langs: list[bytes], dictionary: pa.Array, columns: Sequence[np.ndarray], weight: np.ndarray):
+        self.langs, self.words, self.columns, self.weight = langs, dictionary, columns, weight
+
+    def paths(self) -> tuple[Sequence[np.ndarray], np.ndarray]:
+        return self.columns, self.weight
+
+    @property
+    def size(self) -> int:
+        return len(self.weight)
+
+    def path(self, at: int) -> Path:
+        labels = [int(column[at]) for column in self.columns]
+        return (self.langs[labels[0]], *[self.words[label - 1].as_py() if label else b"" for label in labels[1:]])
+
+    def automaton(self) -> Transducer:
+        return Transducer.of_paths(self.langs, self.words, self.columns, self.weight)
+
+
 class Transducer:
     """A minimal weighted acyclic automaton. Level k: states with ``first``, and arcs with ``label`` and ``value``.
 
@@ -155,9 +176,9 @@ class Transducer:
             state = np.where(alive, value[arc], 0)
         return np.where(alive, state, 0)
 
-    def path(self, columns: Sequence[np.ndarray], at: int) -> Path:
-        labels = [int(column[at]) for column in columns]
-        return (self.langs[labels[0]], *[self.words[label - 1].as_py() if label else b"" for label in labels[1:]])
+    def flat(self) -> Paths:
+        columns, weight = self.paths()
+        return Paths(self.langs, self.words, columns, weight)
 
     def to_bytes(self) -> bytes:
         """Lengths of all arrays and the arrays, compressed; small parts cost few bytes besides."""
@@ -201,8 +222,8 @@ def _ranked(dictionary: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return encoded.dictionary.take(pa.array(order)), rank[encoded.indices.to_numpy()].astype(np.int32)
 
 
-def united(parts: list[Transducer]) -> Transducer:
-    """One transducer of all paths; weights of equal paths are summed."""
+def united(parts: list[Paths]) -> Paths:
+    """All paths as one; weights of equal paths are summed."""
     if len(parts) == 1:
         return parts[0]
     langs, lang_rank = _ranked(pa.array([lang for part in parts for lang in part.langs], pa.binary()))
@@ -219,12 +240,12 @@ def united(parts: list[Transducer]) -> Transducer:
     return _summed(langs.to_pylist(), dictionary, [np.concatenate(level) for level in zip(*columns, strict=True)], np.concatenate(weights))
 
 
-def _summed(langs: list[bytes], dictionary: pa.Array, columns: list[np.ndarray], weight: np.ndarray) -> Transducer:
+def _summed(langs: list[bytes], dictionary: pa.Array, columns: list[np.ndarray], weight: np.ndarray) -> Paths:
     order = _order(columns)
     columns, weight = [column[order] for column in columns], weight[order]
     edges = edges_of(*columns)
     totals = np.add.reduceat(weight, edges[:-1]) if len(weight) else weight
-    return Transducer.of_paths(langs, dictionary, [column[edges[:-1]] for column in columns], totals)
+    return Paths(langs, dictionary, [column[edges[:-1]] for column in columns], totals)
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -246,7 +267,7 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             begin = to
 
 
-def block_transducer(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_words: int) -> Transducer:
+def block_paths(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_words: int) -> Paths:
     """Paths of the words of some rows."""
     data = _FOLD[data]
     ends_piece = _END[data]
@@ -278,18 +299,18 @@ def block_transducer(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_
 
 
 class _Joined:
-    """Transducers held until they have twice ``most`` paths, then joined."""
+    """Paths held until there are twice ``most``, then joined."""
 
     def __init__(self, most: int):
         self.most, self.held, self.paths = most, [], 0
 
-    def add(self, part: Transducer) -> None:
+    def add(self, part: Paths) -> None:
         self.held.append(part)
         self.paths += part.size
         if self.paths >= 2 * self.most:
             self.join()
 
-    def join(self) -> Transducer:
+    def join(self) -> Paths:
         whole = united(self.held)
         self.held, self.paths = [whole], whole.size
         return whole
@@ -299,12 +320,12 @@ _PATH = pa.list_(pa.binary())
 
 
 def _shards(most_words: int, shard_paths: int):
-    def row(whole: Transducer) -> pa.RecordBatch:
-        columns, weight = whole.paths()
-        at = np.linspace(0, len(weight) - 1, min(MARKS_PER_SHARD, len(weight))).astype(np.int64)
-        marks = [list(whole.path(columns, int(k))) for k in at]
+    def row(whole: Paths) -> pa.RecordBatch:
+        at = np.linspace(0, whole.size - 1, min(MARKS_PER_SHARD, whole.size)).astype(np.int64)
+        marks = [list(whole.path(int(k))) for k in at]
+        automaton = whole.automaton().to_bytes()
         return pa.RecordBatch.from_arrays(
-            [pa.array([len(weight)]), pa.array([marks], pa.list_(_PATH)), pa.array([whole.to_bytes()], pa.binary())],
+            [pa.array([whole.size]), pa.array([marks], pa.list_(_PATH)), pa.array([automaton], pa.binary())],
             names=["paths", "marks", "automaton"],
         )
 
@@ -313,7 +334,7 @@ def _shards(most_words: int, shard_paths: int):
         for batch in batches:
             langs = batch["lang"].cast(pa.binary())
             for at, rows, data, edges in _blocks(batch["text"]):
-                part = block_transducer(data, edges, langs.slice(at, rows), most_words)
+                part = block_paths(data, edges, langs.slice(at, rows), most_words)
                 if len(part.words):
                     joined.add(part)
                 if joined.paths >= shard_paths:
@@ -325,10 +346,10 @@ def _shards(most_words: int, shard_paths: int):
     return scan
 
 
-def _cut(boundaries: list[Path]):
-    """Each shard's paths by range, as transducers of their own."""
+def _cut(boundaries: list[Path], tasks: list[int]):
+    """Each shard's paths by range, as transducers of their own. tasks: a key for each range."""
 
-    def below(whole: Transducer, columns: list[np.ndarray], spelled: list[bytes], bound: Path) -> int:
+    def below(whole: Paths, columns: list[np.ndarray], spelled: list[bytes], bound: Path) -> int:
         low, high = 0, len(columns[0])
         for level, (column, name) in enumerate(zip(columns, bound, strict=True)):
             names = spelled if level else whole.langs
@@ -344,7 +365,7 @@ def _cut(boundaries: list[Path]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["automaton"]:
-                whole = Transducer.from_bytes(data.as_buffer())
+                whole = Transducer.from_bytes(data.as_buffer()).flat()
                 columns, weight = whole.paths()
                 spelled = whole.words.to_pylist()
                 places = [0, *[below(whole, columns, spelled, bound) for bound in boundaries], len(weight)]
@@ -356,7 +377,8 @@ def _cut(boundaries: list[Path]):
                     own = [np.searchsorted(used, column[a:b]) + (column[a:b] > 0) for column in columns[1:]]
                     part = Transducer.of_paths(whole.langs, whole.words.take(pa.array(used - 1)), [columns[0][a:b], *own], weight[a:b])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([part.to_bytes()], pa.binary())], names=["range", "automaton"]
+                        [pa.array([k], pa.int32()), pa.array([tasks[k]]), pa.array([part.to_bytes()], pa.binary())],
+                        names=["range", "task", "automaton"],
                     )
 
     return scan
@@ -365,7 +387,7 @@ def _cut(boundaries: list[Path]):
 _FOUND = "range int, lang string, phrase string, words int, f long, automaton binary"
 
 
-def _phrases(whole: Transducer, columns: list[np.ndarray], at: np.ndarray, depth: int) -> pa.Array:
+def _phrases(whole: Paths, columns: list[np.ndarray], at: np.ndarray, depth: int) -> pa.Array:
     spelled = [whole.words.take(pa.array(column[at] - 1)).cast(pa.string()) for column in columns[1 : depth + 1]]
     return pc.binary_join_element_wise(*spelled, " ") if depth > 1 else spelled[0]
 
@@ -373,7 +395,7 @@ def _phrases(whole: Transducer, columns: list[np.ndarray], at: np.ndarray, depth
 def _counted(least: int):
     """Of each range: its phrases with their counts, and one transducer of these."""
 
-    def rows(key: int, whole: Transducer) -> Iterator[pa.RecordBatch]:
+    def rows(key: int, whole: Paths) -> Iterator[pa.RecordBatch]:
         columns, weight = whole.paths()
         names = pa.array(whole.langs, pa.binary()).cast(pa.string())
         lists: list[list[np.ndarray]] = []
@@ -412,7 +434,7 @@ def _counted(least: int):
                 pa.nulls(1, pa.string()),
                 pa.array([-1], pa.int32()),
                 pa.array([0], pa.int64()),
-                pa.array([pruned.to_bytes()], pa.binary()),
+                pa.array([pruned.automaton().to_bytes()], pa.binary()),
             ],
             names=["range", "lang", "phrase", "words", "f", "automaton"],
         )
@@ -425,7 +447,7 @@ def _counted(least: int):
                     yield from rows(key, joined.join())
                     joined = _Joined(HELD_PATHS)
                 key = own
-                joined.add(Transducer.from_bytes(data.as_buffer()))
+                joined.add(Transducer.from_bytes(data.as_buffer()).flat())
         if joined.held:
             yield from rows(key, joined.join())
 
@@ -436,8 +458,8 @@ def _rejoined(shard_paths: int):
     """Parts of one range, joined to shards of that range."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(whole: Transducer) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([whole.to_bytes()], pa.binary())], names=["automaton"])
+        def row(whole: Paths) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([whole.automaton().to_bytes()], pa.binary())], names=["automaton"])
 
         key, joined = None, _Joined(shard_paths)
         for batch in batches:
@@ -446,7 +468,7 @@ def _rejoined(shard_paths: int):
                     yield row(joined.join())
                     joined = _Joined(shard_paths)
                 key = own
-                joined.add(Transducer.from_bytes(data.as_buffer()))
+                joined.add(Transducer.from_bytes(data.as_buffer()).flat())
         if joined.held:
             yield row(joined.join())
 
@@ -507,6 +529,14 @@ def boundaries_of(shards: DataFrame, range_paths: int) -> list[Path]:
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)})
 
 
+def keys_of_tasks(spark: SparkSession, tasks: int) -> list[int]:
+    """A number for each of so many tasks that ``repartition`` deals to that task alone, so that none gets two ranges."""
+    task = F.pmod(F.hash("id"), F.lit(tasks)).alias("task")
+    drawn = spark.range(0, 24 * tasks + 1_000, numPartitions=1).groupBy(task).agg(F.min("id").alias("id"))
+    found = {row["task"]: row["id"] for row in drawn.collect()}
+    return [found.get(task, task) for task in range(tasks)]
+
+
 def by_range(shards: DataFrame, boundaries: list[Path], shelf: Shelf, shard_paths: int) -> DataFrame:
     """(range, automaton): the parts of all shards, sorted by range within partitions.
 
@@ -515,8 +545,10 @@ def by_range(shards: DataFrame, boundaries: list[Path], shelf: Shelf, shard_path
     """
 
     def dealt(shards: DataFrame, bounds: list[Path]) -> DataFrame:
-        parts = shards.select("automaton").mapInArrow(_cut(bounds), "range int, automaton binary")
-        return parts.repartition(len(bounds) + 1, "range").sortWithinPartitions("range")
+        ranges = len(bounds) + 1
+        cut = _cut(bounds, keys_of_tasks(shards.sparkSession, ranges))
+        parts = shards.select("automaton").mapInArrow(cut, "range int, task long, automaton binary")
+        return parts.repartition(ranges, "task").sortWithinPartitions("range").drop("task")
 
     steps, every = [], len(boundaries)
     while every > FAN:
