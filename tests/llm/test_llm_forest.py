@@ -172,7 +172,7 @@ def test_collocations_of_no_rows_and_long_texts(spark, monkeypatch):
     text = "a b c, d e! " * 50 + "no end " * 40
     column = pa.array([text, "x y", None])
     parts = [
-        collocations.block_transducer(data, edges, pa.array([b"en", b"en", b"de"]).slice(at, rows), 3)
+        collocations.block_paths(data, edges, pa.array([b"en", b"en", b"de"]).slice(at, rows), 3)
         for at, rows, data, edges in collocations._blocks(column)
     ]
     assert len(parts) > 3
@@ -180,7 +180,7 @@ def test_collocations_of_no_rows_and_long_texts(spark, monkeypatch):
     assert weight.sum() == len(text.split()) + 2
     monkeypatch.undo()
     (block,) = collocations._blocks(column)
-    whole = collocations.block_transducer(block[2], block[3], pa.array([b"en", b"en", b"de"]), 3)
+    whole = collocations.block_paths(block[2], block[3], pa.array([b"en", b"en", b"de"]), 3)
     other, counts = whole.paths()
     assert [x.tolist() for x in columns[1:]] == [x.tolist() for x in other[1:]] and weight.tolist() == counts.tolist()
 
@@ -189,7 +189,7 @@ def test_transducers_are_minimal_and_survive_their_bytes():
     data = b"a x y, b x y, c x y, a x z"
     text = pa.array([data.decode()])
     ((_, _, bytes_, edges),) = collocations._blocks(text)
-    built = collocations.block_transducer(bytes_, edges, pa.array([b"en"]), 3)
+    built = collocations.block_paths(bytes_, edges, pa.array([b"en"]), 3).automaton()
     back = collocations.Transducer.from_bytes(pa.py_buffer(built.to_bytes()))
     columns, weight = built.paths()
     assert [c.tolist() for c in back.paths()[0]] == [c.tolist() for c in columns] and back.paths()[1].tolist() == weight.tolist()
