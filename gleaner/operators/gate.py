@@ -228,7 +228,8 @@ def near_duplicate_in_batch(
     """Adds in_batch: near-duplicate of an earlier accepted candidate of the same run.
 
     A run is the candidates of one ``within`` value, or all of them for ``None``; its
-    order is (position, id), after ``within`` if the run spans all. Only an eligible
+    order is (position, id), or (place, id) where candidates have a place, after
+    ``within`` if the run spans all. Only an eligible
     candidate that is no near-duplicate itself blocks others.
 
     Candidates of one run with equal titles collapse to the first eligible one, which
@@ -237,7 +238,8 @@ def near_duplicate_in_batch(
     no undecided similar predecessor is accepted and blocks its successors.
     """
     whole = F.lit("") if within is None else F.col(within)
-    order = F.struct(*([] if within else ["source_id"]), "position", "id")
+    turn = "place" if "place" in candidates.columns else "position"
+    order = F.struct(*([] if within else ["source_id"]), turn, "id")
     keyed = with_title_key(candidates.select("id", "title", "eligible", whole.alias("run"), order.alias("turn")))
     keyed = settled(keyed.filter(F.col("set_id").isNotNull()).select("id", "run", "turn", "eligible", "set_id", "shingles"))
     pairs = settled(similar_sets(title_sets(keyed), threshold).select("set_a", "set_b"))
