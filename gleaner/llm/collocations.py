@@ -299,20 +299,21 @@ def block_paths(data: np.ndarray, edges: np.ndarray, langs: pa.Array, most_words
 
 
 class _Joined:
-    """Paths held until there are twice ``most``, then joined."""
+    """Paths held until there are twice ``most``, or twice what the last join left, then joined."""
 
     def __init__(self, most: int):
-        self.most, self.held, self.paths = most, [], 0
+        self.limit, self.held, self.paths = 2 * most, [], 0
 
     def add(self, part: Paths) -> None:
         self.held.append(part)
         self.paths += part.size
-        if self.paths >= 2 * self.most:
+        if self.paths >= self.limit:
             self.join()
 
     def join(self) -> Paths:
         whole = united(self.held)
         self.held, self.paths = [whole], whole.size
+        self.limit = max(self.limit, 2 * whole.size)
         return whole
 
 
