@@ -12,20 +12,28 @@ in ``pre`` and ``textarea``. Blocks stand on lines of their own, paragraphs and
 headings apart by an empty line; list items have a marker and hang under it;
 quotations a ``>``. The cells of a table are laid out in columns of equal width
 (a column wider than ``WIDEST`` characters does not pad the others; spanning cells
-take the columns they span). Text that stands in a table but in no cell comes
-before it, as browsers move it there.
-
-Both passes use explicit stacks, so depth is bounded by memory only.
-
-Defined results: a null or empty page has an empty text. Rows that repeat an id are
-rendered each.
+take the columns they span, up to the limits of HTML), and keep their empty lines.
+Text that stands in a table but in no cell comes before it, as browsers move it there.
+
+Time and output are linear in the page however it nests: both passes use explicit
+stacks, the nearest open element of a kind is known without a search, and layout ends
+where no reader would follow it. Lists and quotations hang no further than ``DEEPEST``
+levels, columns that would begin beyond ``FARTHEST`` characters are not aligned, and
+tables inside more than ``TABLES`` others are written cell after cell. No word is lost.
+
+Defined results: a null or empty page has an empty text, an empty table no rows. Rows
+that repeat an id are rendered each; other columns, whatever their names, are not read.
+A page is rendered whole in memory (about 20 times its size at worst).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +41,13 @@ from pyspark.sql import DataFrame
 from gleaner.llm.storage import prepared
 
 WIDEST = 60
-MOST_SPAN = 100
+DEEPEST = 64
+FARTHEST = 2000
+TABLES = 16
 
 # Fixed values of the HTML language.
+MOST_COLUMNS = 1000
+MOST_ROWS = 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 HEAD_ONLY = frozenset("title meta link style script base noscript template".split())
@@ -59,6 +71,15 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(\w+)")
+_COUNT = re.compile(r"[ \t\n\r\f]*\+?0*([0-9]+)")
+_LONG_REFERENCE = re.compile(r"&#(?=[0-9]{4000})0*([0-9]{0,8})[0-9]*")
+
+
+def unescape(data: str) -> str:
+    """Character references resolved; a number of thousands of digits is one outside Unicode like any other."""
+    if len(data) > 4000 and "&#" in data:
+        data = _LONG_REFERENCE.sub(lambda m: "&#" + (m[1] or "0"), data)
+    return html.unescape(data)
 
 
 class Node:
@@ -73,7 +94,7 @@ def attributes(source: str) -> dict[str, str]:
     """Attributes by lower-case name; of repeated ones the first."""
     out: dict[str, str] = {}
     for name, double, single, bare in _ATTRIBUTE.findall(source):
-        out.setdefault(name.lower(), html.unescape(double or single or bare))
+        out.setdefault(name.lower(), unescape(double or single or bare))
     return out
 
 
@@ -88,6 +109,7 @@ _IMPLIED = (
     | dict.fromkeys(SECTIONS | {"caption", "colgroup"}, (SECTIONS | {"caption", "colgroup"}, frozenset({"table"})))
 )
 _SCOPE = frozenset("td th caption table html".split())
+_TABLE, _ROW = frozenset({"table"}), frozenset({"tr"})
 
 
 class Builder:
@@ -96,37 +118,36 @@ class Builder:
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
-        self.counts: dict[str, int] = {}
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
 
     def push(self, node: Node) -> None:
         self.open[-1].children.append(node)
+        self.depths[node.tag].append(len(self.open))
         self.open.append(node)
-        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
 
     def pop(self) -> None:
-        self.counts[self.open.pop().tag] -= 1
+        self.depths[self.open.pop().tag].pop()
+
+    def nearest(self, tags: frozenset[str]) -> int:
+        """Depth of the innermost open element of these tags; 0 if there is none."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=0)
 
     def close(self, tags: frozenset[str], barrier: frozenset[str]) -> bool:
         """Close the nearest open element of these tags; not past a barrier."""
-        if not any(self.counts.get(tag) for tag in tags):
+        depth = self.nearest(tags)
+        if not depth or depth < self.nearest(barrier):
             return False
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.open[depth].tag
-            if tag in tags:
-                while len(self.open) > depth:
-                    self.pop()
-                return True
-            if tag in barrier:
-                return False
-        return False
+        while len(self.open) > depth:
+            self.pop()
+        return True
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> None:
         if tag in ("html", "body"):
             self.close(frozenset({"head"}), _SCOPE)
-            if tag == "body" and not self.counts.get("body"):
+            if tag == "body" and not self.depths.get("body"):
                 self.push(Node("body", attrs))
             return
-        if self.counts.get("head") and tag not in HEAD_ONLY and self.open[-1].tag == "head":
+        if self.depths.get("head") and tag not in HEAD_ONLY and self.open[-1].tag == "head":
             self.pop()
         if tag in CLOSES_P:
             self.close(frozenset({"p"}), _SCOPE | {"button"})
@@ -134,7 +155,7 @@ class Builder:
             self.pop()
         if tag in _IMPLIED:
             self.close(*_IMPLIED[tag])
-        if tag in CELLS and self.counts.get("table") and not self._inside("tr", "table"):
+        if tag in CELLS and self.nearest(_TABLE) and self.nearest(_ROW) < self.nearest(_TABLE):
             self.push(Node("tr"))
         node = Node(tag, attrs)
         if tag in VOID or (empty and tag in ("svg", "path")):
@@ -142,14 +163,6 @@ class Builder:
         else:
             self.push(node)
 
-    def _inside(self, tag: str, barrier: str) -> bool:
-        for node in reversed(self.open):
-            if node.tag == tag:
-                return True
-            if node.tag == barrier:
-                return False
-        return False
-
     def end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br"))
@@ -179,7 +192,7 @@ def parse(source: str) -> Node:
             continue
         text = source[begin : less if less >= 0 else len(source)]
         if text:
-            builder.text(html.unescape(text))
+            builder.text(unescape(text))
         if less < 0:
             return builder.root
         if source.startswith("<!--", less):
@@ -199,7 +212,7 @@ def parse(source: str) -> Node:
                     end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(source, stop)
                     raw = source[stop : end.start() if end else len(source)]
                     if raw:
-                        builder.open[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                        builder.open[-1].children.append(unescape(raw) if tag in ("textarea", "title") else raw)
                     stop = end.start() if end else -1
         if stop < 0:
             return builder.root
@@ -214,7 +227,18 @@ class Sink:
         self.parts: list[str] = []
         self.space = False
         self.gap = 0
-        self.prefixes: list[list] = []  # what leads the first line, the others, and whether the first was written
+        self.markers: list[str] = []  # what leads the first line of each open item or quotation
+        self.leads = [""]  # what leads the further lines of the first 0, 1, 2, ... of them
+        self.used = 0  # how many have their first line
+
+    def hang(self, marker: str, rest: str) -> None:
+        self.leads.append(self.leads[-1] + rest if len(self.markers) < DEEPEST else self.leads[-1])
+        self.markers.append(marker)
+
+    def unhang(self) -> None:
+        self.markers.pop()
+        self.leads.pop()
+        self.used = min(self.used, len(self.markers))
 
     def words(self, data: str) -> None:
         if not data:
@@ -246,13 +270,10 @@ class Sink:
         if not text and not forced:
             return
         if self.lines and self.gap:
-            quote = "".join(rest for _, rest, used in self.prefixes if used).rstrip()
-            self.lines += [quote] * self.gap
+            self.lines += [self.leads[self.used].rstrip()] * self.gap
         self.gap = 0
-        lead = ""
-        for prefix in self.prefixes:
-            lead += prefix[0]
-            prefix[0], prefix[2] = prefix[1], True
+        lead = self.leads[self.used] + "".join(self.markers[self.used :])
+        self.used = len(self.markers)
         self.lines.append((lead + text).rstrip())
 
     def block(self, gap: int = 0) -> None:
@@ -264,64 +285,100 @@ class Sink:
         lines = self.lines
         while lines and not lines[-1].strip():
             lines.pop()
-        while lines and not lines[0].strip():
-            lines.pop(0)
-        return lines
+        blank = 0
+        while blank < len(lines) and not lines[blank].strip():
+            blank += 1
+        return lines[blank:]
 
 
 class Table:
-    """Cells by row and column; a cell keeps the columns and rows that it spans."""
+    """Cells by row and column; a cell keeps the columns and rows that it spans, to the end of its row group."""
 
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []
-        self.taken: dict[int, int] = {}
+        self.section()
+
+    def section(self) -> None:
+        """A row group begins or ends: no cell spans beyond it."""
+        self.begins: list[float] = [0]  # the free columns, as ranges; the last one has no end
+        self.ends = [float("inf")]
+        self.freed: dict[int, list[tuple[int, float]]] = {}  # ranges by the row that has them again
+        self.at = 0
 
     def row(self) -> None:
         self.rows.append([])
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
+        self.at = 0
+        for begin, end in self.freed.pop(len(self.rows) - 1, ()):
+            k = bisect_left(self.begins, begin)
+            if self.begins[k] == end:
+                self.begins[k] = begin
+            else:
+                self.begins.insert(k, begin)
+                self.ends.insert(k, end)
+            if k and self.ends[k - 1] == begin:
+                self.ends[k - 1] = self.ends[k]
+                del self.begins[k], self.ends[k]
 
     def cell(self, lines: list[str], span: int, rows: int) -> None:
         if not self.rows:
             self.row()
-        row = self.rows[-1]
-        column = row[-1][0] + row[-1][1] if row else 0
-        while self.taken.get(column):
-            column += 1
-        row.append((column, span, lines))
-        if rows > 1:
-            self.taken |= dict.fromkeys(range(column, column + span), rows)
+        k = bisect_right(self.ends, self.at)
+        column = max(self.at, self.begins[k])
+        self.at = column + span
+        self.rows[-1].append((column, span, lines))
+        if rows != 1:
+            self._take(k, column, column + span, len(self.rows) - 1 + rows if rows else None)
+
+    def _take(self, k: int, begin: int, end: int, until: int | None) -> None:
+        """Columns that are not free before this row; None: before the group ends."""
+        stop = bisect_left(self.begins, end)
+        ranges = list(zip(self.begins[k:stop], self.ends[k:stop], strict=True))
+        left = [(b, e) for lo, hi in ranges for b, e in ((lo, min(hi, begin)), (max(lo, end), hi)) if b < e]
+        self.begins[k:stop], self.ends[k:stop] = [b for b, _ in left], [e for _, e in left]
+        if until is not None:
+            taken = [(max(lo, begin), min(hi, end)) for lo, hi in ranges]
+            self.freed.setdefault(until, []).extend(taken)
 
     def layout(self) -> list[str]:
-        widths: dict[int, int] = {}
+        """Lines of the table. Columns in which no cell begins have no width."""
+        columns = sorted({column for row in self.rows for column, _, _ in row})
+        place = {column: k for k, column in enumerate(columns)}
+        widths = [0] * len(columns)
         for row in self.rows:
             for column, span, lines in row:
-                if span == 1:
+                k = place[column]
+                if k + 1 == len(columns) or columns[k + 1] >= column + span:
                     longest = max(map(len, lines), default=0)
-                    widths[column] = max(widths.get(column, 0), longest if longest <= WIDEST else 0)
+                    widths[k] = max(widths[k], longest if longest <= WIDEST else 0)
+        begins = list(accumulate((width + 2 for width in widths), initial=0))
         out: list[str] = []
         for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                text, at = "", 0
-                for column, _, lines in row:
-                    begin = sum(widths.get(c, 0) + 2 for c in range(column))
-                    part = lines[k] if k < len(lines) else ""
-                    if part:
-                        pad = max(begin - len(text), 2 if at else 0)
-                        text += " " * pad + part
-                    at += 1
-                out.append(text.rstrip())
-        return [line for line in out if line]
-
-
-def _number(value: str | None, default: int = 1) -> int:
-    value = (value or "").strip()
-    return min(MOST_SPAN, max(1, int(value))) if value.isdecimal() and len(value) < 9 else default
+            live = [(at, min(begins[place[column]], FARTHEST), lines) for at, (column, _, lines) in enumerate(row) if lines]
+            k = 0
+            while live:
+                parts, length = [], 0
+                for at, begin, lines in live:
+                    if lines[k]:
+                        pad = max(begin - length, 2 if at else 0)
+                        parts += [" " * pad, lines[k]]
+                        length += pad + len(lines[k])
+                out.append("".join(parts).rstrip())
+                k += 1
+                live = [cell for cell in live if len(cell[2]) > k]
+        return out
+
+
+def _span(value: str | None, least: int, most: int) -> int:
+    """A number of columns or rows as HTML reads it; 1 if there is none."""
+    found = _COUNT.match(value or "")
+    number = (int(found[1]) if len(found[1]) < 7 else most) if found else 1
+    return min(number, most) if number >= least else 1
 
 
 class Renderer:
     def __init__(self):
         self.sinks = [Sink()]
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []  # None: too deep for columns
         self.lists: list[list] = []
         self.verbatim = 0
 
@@ -338,11 +395,16 @@ class Renderer:
                 sink.words(f" {node.attrs.get('value', '')} ")
         elif tag == "table":
             sink.block(1)
-            self.tables.append(Table())
-        elif tag == "tr" and self.tables:
-            self.tables[-1].row()
+            self.tables.append(Table() if len(self.tables) < TABLES else None)
         elif tag in CELLS and self.tables:
-            self.sinks.append(Sink())
+            if self.tables[-1]:
+                self.sinks.append(Sink())
+            else:
+                sink.block()
+        elif tag == "tr" and self.tables and self.tables[-1]:
+            self.tables[-1].row()
+        elif tag in SECTIONS and self.tables and self.tables[-1]:
+            self.tables[-1].section()
         elif tag in BLOCKS:
             sink.block(1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and self.lists) else 0)
             if tag in ("ul", "ol", "menu"):
@@ -352,11 +414,11 @@ class Renderer:
                 own = self.lists[-1] if self.lists else [None]
                 marker = "- " if own[0] is None else f"{own[0]}. "
                 own[0] = None if own[0] is None else own[0] + 1
-                sink.prefixes.append([marker, " " * len(marker), False])
+                sink.hang(marker, " " * len(marker))
             elif tag == "dd":
-                sink.prefixes.append(["  ", "  ", False])
+                sink.hang("  ", "  ")
             elif tag == "blockquote":
-                sink.prefixes.append(["> ", "> ", False])
+                sink.hang("> ", "> ")
         if tag in ("pre", "textarea", "xmp"):
             self.verbatim += 1
 
@@ -365,21 +427,27 @@ class Renderer:
         if tag in ("pre", "textarea", "xmp"):
             self.verbatim -= 1
         if tag == "table":
-            laid = self.tables.pop().layout()
+            table = self.tables.pop()
             sink.line()
-            for line in laid:
+            for line in table.layout() if table else ():
                 sink.parts.append(line)
-                sink.line()
+                sink.line(forced=True)
             sink.block(1)
         elif tag in CELLS and self.tables:
-            lines = self.sinks.pop().result()
-            self.tables[-1].cell(lines, _number(node.attrs.get("colspan")), _number(node.attrs.get("rowspan")))
+            if self.tables[-1]:
+                lines = self.sinks.pop().result()
+                spans = _span(node.attrs.get("colspan"), 1, MOST_COLUMNS), _span(node.attrs.get("rowspan"), 0, MOST_ROWS)
+                self.tables[-1].cell(lines, *spans)
+            else:
+                sink.block()
+        elif tag in SECTIONS and self.tables and self.tables[-1]:
+            self.tables[-1].section()
         elif tag in BLOCKS and tag != "hr":
             sink.block(1 if tag in SPACED and not (tag in ("ul", "ol", "menu") and len(self.lists) > 1) else 0)
             if tag in ("ul", "ol", "menu"):
                 self.lists.pop()
             elif tag in ("li", "dd", "blockquote"):
-                sink.prefixes.pop()
+                sink.unhang()
 
     def text(self, data: str) -> None:
         if self.verbatim:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BENCH_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -268,3 +269,41 @@ def collocations(docs, least=10, most_words=3, top=2000):
         for rank, (score, a, phrase, left, right) in enumerate(sorted(rows)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
     return out
+
+
+class _Reader(HTMLParser):
+    """Words of a page in order, with nothing but a stack of open tags."""
+
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+    unseen = set("head title script style template noscript iframe noembed noframes object audio video canvas datalist area param rp".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        style = (attrs.get("style") or "").lower().replace(" ", "")
+        hidden = tag in self.unseen or "hidden" in attrs or "display:none" in style or "visibility:hidden" in style
+        if tag not in ("b", "i", "a", "em", "strong", "span", "code"):
+            self.out.append(" ")
+        if tag not in self.void:
+            self.stack.append((tag, hidden))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span", "code"):
+            self.out.append(" ")
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.stack):
+            self.out.append(data)
+
+
+def visible_words(source):
+    reader = _Reader()
+    reader.feed(source or "")
+    reader.close()
+    return "".join(reader.out).split()

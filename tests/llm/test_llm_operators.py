@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from compare import difference, oracle
 from pyspark.sql import Row
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gleaner.llm import (
@@ -230,8 +231,6 @@ def tokenizer():
 
 
 def test_encoding_is_that_of_the_library(spark, tokenizer):
-    from tokenizers import Tokenizer
-
     library = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
     rng = random.Random(4)
     vocabulary = list(tokenizer.vocab)
@@ -305,6 +304,36 @@ def test_odd_pages(source, text):
     assert html_text.render(source).split() == text.split()
 
 
+def test_cells_keep_their_lines_and_spans():
+    page = """<table><tr><td><p>a<p>b<td><pre>x\n\n\ny</pre><tr><td rowspan=3>k<td>1<tr><td>2<tr><td>3<td>4<tr><td>5<td>6
+<tbody><tr><td rowspan=0>z<td>7<tr><td>8<tbody><tr><td colspan=" +2px">wide one<td>9<tr><td colspan=5000>all<td>10<tr><td colspan=0>c<td>11</table>"""
+    assert html_text.render(page).split("\n") == [
+        "a  x", "", "b", "   y", "k  1", "   2", "   3   4", "5  6", "z  7", "   8", "wide one  9", "all       10", "c  11",
+    ]
+
+
+@pytest.mark.parametrize("start, item", [
+    ("<p><button>", "<div>w "), ("", "<ul><li>w"), ("", "<blockquote>w"), ("", "<table><tr><td>w"), ("", "<br>w<!-- -->"), ("<table>", "<td>w<tr>"),
+    ("<table><tr>", "<td colspan=1000 rowspan=65534>w"), ("<table><tr>", "<td>w<br>"), ("<table>", "<tr><td colspan=1000>w<td rowspan=9>w"),
+])
+def test_no_word_of_hostile_pages_is_lost(start, item):
+    out = html_text.render(start + item * 30_000)  # minutes, were it quadratic
+    assert out.count("w") == 30_000 * item.count("w") and len(out) < 8_000_000
+
+
+def test_references_to_absurd_numbers():
+    assert html_text.render("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;&#" + "0" * 5000 + ";") == "\ufffdA\ufffd"
+
+
+def test_visible_words_are_those_of_a_plain_reader(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html")
+    expected = {page_id: brute.visible_words(source) for page_id, source in pages.collect()}
+    out = QUERIES["op8_html_extraction"](spark, SMALL).collect()
+    markers = {"-", ">", "---"}
+    plain = lambda found: [w for w in found if w not in markers and not (w[:-1].isdecimal() and w[-1] == ".")]
+    assert {r.page_id: plain(r.text.split()) for r in out} == {k: plain(v) for k, v in expected.items()}
+
+
 def test_page_table(spark):
     pages = spark.createDataFrame([(1, "<p>x", "t"), (1, "<p>x", "t"), (None, None, "t")], "page_id long, html string, text string")
     same(html_text.extracted(pages), [(1, "x"), (1, "x"), (None, "")])
@@ -413,8 +442,8 @@ def test_pipeline_is_its_stages(spark):
     texts = [brute.cut(d.text, gone) for d, gone in zip(docs, brute.repeated_words(docs, 50), strict=True)]
     docs = [Row(doc_id=d.doc_id, text=t, source=d.source) for d, t in zip(docs, texts, strict=True) if t is not None]
     docs = [d for d, f in zip(docs, brute.contamination(docs, items), strict=True) if not f[4]]
-    tokenizer = bpe.loaded(corpus_pipeline.tokenizer_path())
-    expected = [(d.doc_id, tuple(tokenizer.encode(d.text))) for d in docs]
+    library = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    expected = [(d.doc_id, tuple(library.encode(d.text, add_special_tokens=False).ids)) for d in docs]
     out = QUERIES["pipeline"](spark, SMALL)
     assert sorted((r.doc_id, tuple(r.ids)) for r in out.select("doc_id", "ids").collect()) == sorted(expected)
 
