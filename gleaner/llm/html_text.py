@@ -106,9 +106,9 @@ _IMPLIED = (
     | dict.fromkeys(("rt", "rp"), (frozenset("rt rp".split()), frozenset({"ruby"})))
     | dict.fromkeys(CELLS, (CELLS, frozenset("tr table".split())))
     | {"tr": (frozenset({"tr"}), frozenset({"table"}))}
-    | dict.fromkeys(SECTIONS | {"caption", "colgroup"}, (SECTIONS | {"caption", "colgroup"}, frozenset({"table"})))
 )
 _SCOPE = frozenset("td th caption table html".split())
+_OF_TABLE = SECTIONS | {"caption", "colgroup"}
 _TABLE, _ROW = frozenset({"table"}), frozenset({"tr"})
 
 
@@ -155,6 +155,9 @@ class Builder:
             self.pop()
         if tag in _IMPLIED:
             self.close(*_IMPLIED[tag])
+        if tag in _OF_TABLE and self.nearest(_TABLE):
+            while self.open[-1].tag != "table":
+                self.pop()
         if tag in CELLS and self.nearest(_TABLE) and self.nearest(_ROW) < self.nearest(_TABLE):
             self.push(Node("tr"))
         node = Node(tag, attrs)

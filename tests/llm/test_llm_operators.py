@@ -313,12 +313,12 @@ def test_cells_keep_their_lines_and_spans():
 
 
 @pytest.mark.parametrize("start, item", [
-    ("<p><button>", "<div>w "), ("", "<ul><li>w"), ("", "<blockquote>w"), ("", "<table><tr><td>w"), ("", "<br>w<!-- -->"), ("<table>", "<td>w<tr>"),
-    ("<table><tr>", "<td colspan=1000 rowspan=65534>w"), ("<table><tr>", "<td>w<br>"), ("<table>", "<tr><td colspan=1000>w<td rowspan=9>w"),
+    ("<p><button>", "<div>@ "), ("", "<ul><li>@"), ("", "<blockquote>@"), ("", "<table><tr><td>@"), ("", "<br>@<!-- -->"), ("<table>", "<td>@<tr>"),
+    ("<table><tr>", "<td colspan=1000 rowspan=65534>@"), ("<table><tr>", "<td>@<br>"), ("<table>", "<tr><td colspan=1000>@<td rowspan=9>@"),
 ])
 def test_no_word_of_hostile_pages_is_lost(start, item):
     out = html_text.render(start + item * 30_000)  # minutes, were it quadratic
-    assert out.count("w") == 30_000 * item.count("w") and len(out) < 8_000_000
+    assert out.count("@") == 30_000 * item.count("@") and len(out) < 9_000_000
 
 
 def test_references_to_absurd_numbers():
