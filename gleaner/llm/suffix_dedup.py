@@ -9,19 +9,25 @@ bytes alone, so equal windows have equal anchors at equal offsets; and neighbour
 windows mostly share one, so this pass costs one row for about 30 suffixes. Suffixes
 whose anchor occurs once are finished.
 
-The others are grouped by anchor, and the passes go on inside each group over the digits
-of their windows, four of 25 bytes; after each pass single suffixes leave. What is left
-equal is repeated: its first member, by (doc_id, start), stays and the others go.
-
-An anchor found in more than ``GROUP_ROWS`` places may be a passage of a third of all
-documents. Its windows are not gathered: each is a row keyed by 128 bits of its bytes,
-whose first place is a map-side combined minimum, joined back as plain rows.
+The others are grouped by anchor and offset, and sorted inside each group by the bytes
+of their windows, most significant digit first, a digit being eight bytes. A pass orders
+the suffixes of every bucket by their digit, counts the new buckets, and lets those go
+that are alone in theirs. The runs left equal after the last pass are the repeated
+windows: the first of each, by (doc_id, start), stays and the others go.
+
+An anchor may be part of a passage of a third of all documents. Its places are dealt by
+salt into blocks of about ``block_rows``, each sorted as any other group; then the
+blocks are merged: of every window the first place of each block, a row, meets those
+of the other blocks under 128 bits of its bytes, and map-side combined minimums keep
+the first of all. An anchor with fewer places is one block and has nothing to merge.
 
 Documents that are copies as a whole are settled before by their hash.
 
 Defined results: a null text is empty. A null id is in no order: its document is
 returned whole and removes nothing. Rows that repeat an id are one document with
-several texts; equal places of them are one place.
+several texts; equal places of them are one place. An empty table gives no rows. Other
+columns, whatever their names, are not read. A text is a unit of memory: a task needs
+about a hundred times the size of its longest one.
 """
 
 from __future__ import annotations
@@ -41,12 +47,15 @@ from gleaner.llm.substring_dedup import copies_of_texts
 
 WINDOW = 100
 ANCHOR = 32
-DIGIT = 25
-GROUP_ROWS = 20_000  # of about 150 bytes: what one task holds at once
+DIGIT = 8
+CHECKED = 25  # bytes by which a place is known again
+BLOCK_ROWS = 20_000  # of about 150 bytes: what one task holds at once
 TABLE_ROWS = 6_000
+FIRST_ROWS = 1 << 16
 
-CONTEXTS = "anchor long, doc_id long, at int, low int, context binary, hot boolean"
-SPANS = "doc_id long, packed long, length int"
+CONTEXTS = "anchor long, doc_id long, at int, low int, context binary, blocks int"
+SORTED = "doc_id long, packed long, length int, k1 long, k2 long"
+BLOCK_BITS = 24
 
 
 def _anchors(data: np.ndarray, edges: np.ndarray, window: int, size: int) -> tuple[np.ndarray, ...]:
@@ -108,9 +117,12 @@ def _context_rows(window: int, size: int):
                 listed = lists.flatten().to_numpy(zero_copy_only=False)
                 of_row = np.repeat(np.arange(own.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 key = (row << 32) + at - edges[row]
-                shared = np.isin(key, (of_row << 32) + (listed >> 1))
-                hot = np.isin(key, ((of_row << 32) + (listed >> 1))[listed & 1 == 1])
-                row, at, low, high, hashes, hot = (x[shared] for x in (row, at, low, high, hashes, hot))
+                known = (of_row << 32) + (listed >> BLOCK_BITS)
+                order = np.argsort(known)
+                known, blocks = known[order], (listed & (1 << BLOCK_BITS) - 1)[order]
+                found = np.searchsorted(known, key)
+                shared = np.append(known, -1)[found] == key
+                row, at, low, high, hashes, found = (x[shared] for x in (row, at, low, high, hashes, found))
                 lengths = high - low + window
                 ends = np.cumsum(lengths)
                 take = np.repeat(low - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
@@ -125,18 +137,21 @@ def _context_rows(window: int, size: int):
                         pa.array((at - edges[row]).astype(np.int32)),
                         pa.array((low - edges[row]).astype(np.int32)),
                         context,
-                        pa.array(hot),
+                        pa.array(blocks[found].astype(np.int32)),
                     ],
-                    names=["anchor", "doc_id", "at", "low", "context", "hot"],
+                    names=["anchor", "doc_id", "at", "low", "context", "blocks"],
                 )
 
     return scan
 
 
+_COLUMNS = ["doc_id", "packed", "length", "k1", "k2"]
+
+
 class _Suffixes:
     """The windows of a table of contexts: row, place in the bytes, and start in the document."""
 
-    def __init__(self, table: pa.Table, window: int, digit: int):
+    def __init__(self, table: pa.Table, window: int):
         column = pa.concat_arrays(table["context"].chunks)
         data, edges = words.text_buffer(column)
         self.data, edges = data[edges[0] : edges[-1]], edges - edges[0]
@@ -145,17 +160,45 @@ class _Suffixes:
         self.place = np.arange(len(self.row)) + np.repeat(edges[:-1] - (np.cumsum(counts) - counts), counts)
         self.doc, self.at, low = numbers(table, "doc_id", "at", "low")
         self.start = low[self.row] + self.place - edges[self.row]
-        self.window, self.digit = window, digit
-
-    def hashes(self, which: np.ndarray, skip: int, size: int, kind: int = 0) -> np.ndarray:
-        at = self.place[which] + skip
-        return words.byte_hashes(self.data, at, at + size, kind)
+        self.window, self.checked = window, min(CHECKED, window)
 
     def checks(self, which: np.ndarray) -> np.ndarray:
-        """Start and 32 bits of the first digit: enough to know the place again in the right text."""
-        low = self.hashes(which, 0, self.digit).view(np.int64) & 0xFFFFFFFF
+        """Start and 32 bits of the first bytes: enough to know the place again in the right text."""
+        at = self.place[which]
+        low = words.byte_hashes(self.data, at, at + self.checked).view(np.int64) & 0xFFFFFFFF
         return (self.start[which].astype(np.int64) << 32) | low
 
+    def ordered(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes whose window another one of their block has, in the order of block, offset and bytes, and
+        where each run of equal windows begins. block: of each row, ascending. Equal windows keep the order of rows.
+        """
+        size = min(DIGIT, self.window)
+        padded = np.concatenate((self.data, np.zeros(DIGIT, dtype=np.uint8)))
+        digits = np.lib.stride_tricks.sliding_window_view(padded, DIGIT)[: len(self.data)]
+        digits = np.ascontiguousarray(digits).view(">u8").reshape(-1).astype(np.uint64) >> np.uint64(8 * (DIGIT - size))
+        offset = self.at[self.row] - self.start
+        live = np.lexsort((offset, block[self.row]))
+        live, begins = _together(live, edges_of(block[self.row[live]], offset[live]))
+        for skip in [*range(0, self.window - size, size), self.window - size]:
+            sizes = np.diff(begins)
+            digit = digits[self.place[live] + skip]
+            bucket = np.repeat(np.arange(len(sizes)), sizes)
+            differs = np.append(False, (digit[1:] != digit[:-1]) & (bucket[1:] == bucket[:-1]))
+            if not differs.any():
+                continue
+            apart = np.flatnonzero(np.repeat(np.add.reduceat(differs, begins[:-1], dtype=np.int64) > 0, sizes))
+            inside = apart[np.lexsort((digit[apart], bucket[apart]))]
+            live[apart], digit[apart] = live[inside], digit[inside]
+            live, begins = _together(live, edges_of(bucket, digit))
+        return live, begins
+
+    def firsts(self, which: np.ndarray) -> pa.RecordBatch:
+        """The first places of windows in a block, for the merge."""
+        at = self.place[which]
+        keys = [words.span_hashes(self.data, at, at + self.window, kind).view(np.int64) for kind in (0, 1)]
+        doc, length = pa.array(self.doc[self.row[which]]), pa.array(np.full(len(which), self.window, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([doc, pa.array(self.checks(which)), length, *map(pa.array, keys)], names=_COLUMNS)
+
     def spans(self, which: np.ndarray) -> pa.RecordBatch:
         """Runs of consecutive windows of a row, as (doc_id, packed, length). which: ascending."""
         row, place = self.row[which], self.place[which]
@@ -166,72 +209,47 @@ class _Suffixes:
                 pa.array(self.doc[row[first]]),
                 pa.array(self.checks(which[first])),
                 pa.array((place[last] - place[first] + self.window).astype(np.int32)),
+                *[pa.nulls(len(first), pa.int64())] * 2,
             ],
-            names=["doc_id", "packed", "length"],
+            names=_COLUMNS,
         )
 
 
-def _several(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order of the members of groups of two or more, and where each of these groups begins."""
-    order = np.argsort(groups, kind="stable")
-    sizes = np.diff(edges_of(groups[order])) if len(order) else np.zeros(0, dtype=np.int64)
-    several = np.repeat(sizes > 1, sizes)
-    kept = sizes[sizes > 1]
-    return order[several], np.concatenate(([0], np.cumsum(kept)))
-
+def _together(order: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of buckets of two or more, and where each of these buckets begins, and the end."""
+    sizes = np.diff(begins)
+    several = sizes > 1
+    return order[np.repeat(several, sizes)], np.concatenate(([0], np.cumsum(sizes[several])))
 
-def _radix(window: int, digit: int):
-    """Passes over the digits of all windows, group by group; the rows come by (anchor, doc_id, at)."""
-    skips = [*range(0, window - digit + 1, digit)]
-    skips += [window - digit] if skips[-1] + digit < window else []
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["anchor"], TABLE_ROWS):
-            suffixes = _Suffixes(table, window, digit)
-            (anchor,) = numbers(table, "anchor")
-            offset = (suffixes.at[suffixes.row] - suffixes.start).astype(np.uint64)
-            groups = words.mixed(anchor.view(np.uint64)[suffixes.row] ^ words.mixed(offset))
-            live = np.arange(len(groups))
-            for skip in skips:
-                order, _ = _several(groups)
-                live, groups = live[order], groups[order]
-                groups = words.mixed(groups ^ suffixes.hashes(live, skip, digit) * np.uint64(0xA0761D6478BD642F))
-            order, begins = _several(groups)
-            live = live[order]
-            first = np.repeat(live[begins[:-1]], np.diff(begins))
-            doc = suffixes.doc[suffixes.row]
-            later = (doc[live] != doc[first]) | (suffixes.start[live] != suffixes.start[first])
-            gone = np.sort(live[later])
-            if len(gone):
-                yield suffixes.spans(gone)
-
-    return scan
+def _radix(window: int):
+    """Later places of every window of a block, and the first places in blocks that others share an anchor with.
 
+    The rows come by (anchor, salt, doc_id, at).
+    """
 
-def _hot_windows(window: int, digit: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            suffixes = _Suffixes(pa.Table.from_batches([batch]), window, digit)
-            every = np.arange(len(suffixes.row))
-            keys = [suffixes.hashes(every, 0, window, kind).view(np.int64) for kind in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[0]),
-                    pa.array(keys[1]),
-                    pa.array(suffixes.doc[suffixes.row]),
-                    pa.array(suffixes.checks(every)),
-                ],
-                names=["k1", "k2", "doc_id", "packed"],
-            )
+        for table in whole_groups(batches, ["anchor", "salt"], TABLE_ROWS):
+            suffixes = _Suffixes(table, window)
+            anchor, salt, blocks = numbers(table, "anchor", "salt", "blocks")
+            edges = edges_of(anchor, salt)
+            live, begins = suffixes.ordered(np.repeat(np.arange(len(edges) - 1), np.diff(edges)))
+            first = np.repeat(live[begins[:-1]], np.diff(begins))
+            doc, start = suffixes.doc[suffixes.row], suffixes.start
+            later = live[(doc[live] != doc[first]) | (start[live] != start[first])]
+            if len(later):
+                yield suffixes.spans(np.sort(later))
+            ahead = blocks[suffixes.row] > 1
+            ahead[later] = False
+            ahead = np.flatnonzero(ahead)
+            for begin in range(0, len(ahead), FIRST_ROWS):
+                yield suffixes.firsts(ahead[begin : begin + FIRST_ROWS])
 
     return scan
 
 
-def repeated_spans(docs: DataFrame, shelf: Shelf, window: int, anchor: int, group_rows: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, shelf: Shelf, window: int, anchor: int, block_rows: int) -> DataFrame:
     """(doc_id, spans, copy_keys): what to remove of each document."""
-    digit = min(DIGIT, -(-window // 4))
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     copies = shelf.put("copies", copies_of_texts(texts))
     own_key = F.xxhash64("text").alias("text_key")
@@ -242,9 +260,9 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, window: int, anchor: int, grou
         anchors.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("found"))
         .filter("found > 1")
-        .select("anchor", (F.col("found") > group_rows).cast("int").alias("hot")),
+        .select("anchor", F.ceil(F.col("found") / block_rows).alias("blocks")),
     )
-    marked = (F.shiftleft(F.col("at").cast("long"), 1) + F.col("hot")).alias("place")
+    marked = (F.shiftleft(F.col("at").cast("long"), BLOCK_BITS) + F.col("blocks")).alias("place")
     places = shelf.put("places", anchors.join(shared, "anchor").select("doc_id", marked))
     shelf.drop("anchors", "shared")
 
@@ -253,15 +271,15 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, window: int, anchor: int, grou
     contexts = shelf.put("contexts", found.mapInArrow(_context_rows(window, anchor), CONTEXTS))
     shelf.drop("places")
 
-    dealt = contexts.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    spans = shelf.put("spans", dealt.mapInArrow(_radix(window, digit), SPANS))
-    hot = contexts.filter("hot").mapInArrow(_hot_windows(window, digit), "k1 long, k2 long, doc_id long, packed long")
-    hot = shelf.put("hot", hot)
+    dealt = contexts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), "blocks").cast("int"))
+    dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id", "at")
+    ordered = shelf.put("sorted", dealt.mapInArrow(_radix(window), SORTED))
     shelf.drop("contexts")
+    ahead = ordered.filter("k1 IS NOT NULL")
     place = F.struct("doc_id", F.shiftright("packed", 32).alias("start"))
-    firsts = shelf.put("firsts", hot.groupBy("k1", "k2").agg(F.min(place).alias("first")))
-    later = hot.join(firsts, ["k1", "k2"]).filter(place != F.col("first"))
-    every = spans.unionByName(later.select("doc_id", "packed", F.lit(window).alias("length")))
+    firsts = shelf.put("firsts", ahead.groupBy("k1", "k2").agg(F.min(place).alias("first")))
+    later = ahead.join(firsts, ["k1", "k2"]).filter(place != F.col("first"))
+    every = ordered.filter("k1 IS NULL").select("doc_id", "packed", "length").unionByName(later.select("doc_id", "packed", "length"))
 
     both = every.select("doc_id", F.struct("packed", "length").alias("span"), F.lit(None).cast("long").alias("text_key"))
     copied = copies.select("doc_id", F.lit(None).cast("struct<packed:bigint,length:int>").alias("span"), "text_key")
@@ -269,11 +287,11 @@ def repeated_spans(docs: DataFrame, shelf: Shelf, window: int, anchor: int, grou
     out = shelf.put(
         "removed", grouped.agg(F.collect_list("span").alias("spans"), F.collect_set("text_key").alias("copy_keys"))
     )
-    shelf.drop("spans", "hot", "firsts")
+    shelf.drop("sorted", "firsts")
     return out
 
 
-def removed_bytes(own: pa.RecordBatch, data: np.ndarray, edges: np.ndarray, window: int, digit: int) -> np.ndarray:
+def removed_bytes(own: pa.RecordBatch, data: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
     """A flag for each byte of a block of texts."""
     marks = np.zeros(len(data) + 1, dtype=np.int64)
     spans = own["_spans"]
@@ -285,18 +303,17 @@ def removed_bytes(own: pa.RecordBatch, data: np.ndarray, edges: np.ndarray, wind
         start = packed >> 32
         fits = start + length <= lengths[row]
         row, start, length, packed = row[fits], start[fits] + edges[row[fits]], length[fits], packed[fits]
-        same = words.byte_hashes(data, start, start + digit).view(np.int64) & 0xFFFFFFFF == packed & 0xFFFFFFFF
+        same = words.byte_hashes(data, start, start + min(CHECKED, window)).view(np.int64) & 0xFFFFFFFF == packed & 0xFFFFFFFF
         np.add.at(marks, start[same], 1)
         np.add.at(marks, start[same] + length[same], -1)
     whole = own["_is_copy"].fill_null(False).to_numpy(zero_copy_only=False) & (lengths >= window)
     return (np.cumsum(marks)[:-1] > 0) | np.repeat(whole, lengths)
 
 
-def digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_rows: int = GROUP_ROWS) -> DataFrame:
+def digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     shelf = Shelf(docs.sparkSession, "suffix-dedup")
-    digit = min(DIGIT, -(-window // 4))
-    found = repeated_spans(docs, shelf, window, min(anchor, window), group_rows).select(
+    found = repeated_spans(docs, shelf, window, min(anchor, window), block_rows).select(
         F.col("doc_id").alias("_of_doc"), F.col("spans").alias("_spans"), F.col("copy_keys").alias("_copy_keys")
     )
     texts = docs.select("doc_id", "text")
@@ -306,7 +323,7 @@ def digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_r
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, data, edges in _blocks(batch):
-                gone = removed_bytes(own, data, edges, window, digit)
+                gone = removed_bytes(own, data, edges, window)
                 total = np.concatenate(([0], np.cumsum(gone)))
                 before = np.concatenate(([False], gone[:-1]))
                 before[edges[:-1][edges[:-1] < len(gone)]] = False

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import llm_brute as brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import difference, oracle
@@ -119,8 +120,8 @@ def test_cut_texts_keep_all_columns(docs):
     same(out.select("doc_id", "text", "source"), expected)
 
 
-@pytest.mark.parametrize("group_rows", [2, 4000])
-def test_suffix_dedup(docs, group_rows):
+@pytest.mark.parametrize("block_rows", [2, 4000])
+def test_suffix_dedup(docs, block_rows):
     df, rows = docs
     expected = []
     for d, gone in zip(rows, brute.repeated_bytes(rows, 20), strict=True):
@@ -128,7 +129,24 @@ def test_suffix_dedup(docs, group_rows):
         spans = sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
         expected.append((d.doc_id, len(data), sum(gone), spans, brute.sha(kept)))
-    same(suffix_dedup.digests(df, 20, 8, group_rows), expected)
+    same(suffix_dedup.digests(df, 20, 8, block_rows), expected)
+
+
+def test_suffixes_are_ordered_to_the_depth_of_a_window():
+    rng = random.Random(12)
+    for window in (1, 5, 8, 13, 100):
+        texts = [bytes(rng.choice(b"ab\xff") for _ in range(rng.randint(window, window + 60))) for _ in range(40)]
+        texts += [texts[0], texts[3][:window], b"a" * (window + 9), b"a" * (window + 4)]
+        blocks = sorted(rng.randint(0, 2) for _ in texts)
+        context = pa.table({"context": pa.array(texts, pa.binary()), "doc_id": range(len(texts)), "at": [30] * len(texts), "low": [0] * len(texts)})
+        suffixes = suffix_dedup._Suffixes(context, window)
+        live, begins = suffixes.ordered(np.array(blocks))
+        every = {}
+        for r, (block, text) in enumerate(zip(blocks, texts, strict=True)):
+            for k in range(len(text) - window + 1):
+                every.setdefault((block, 30 - k, text[k : k + window]), []).append((r, k))
+        got = [[(suffixes.row[x], suffixes.start[x]) for x in live[a:b]] for a, b in zip(begins[:-1], begins[1:], strict=True)]
+        assert got == [every[key] for key in sorted(every) if len(every[key]) > 1]
 
 
 def near_copies(seed, families=8, members=12):
