@@ -11,6 +11,7 @@ from gleaner.functions.language import Lexicon, is_non_english, language_measure
 from gleaner.functions.links import site_of
 from gleaner.functions.scoring import age_days, clamp01, days_before, iff, recency
 from gleaner.functions.text import SPACE, any_of, array_of_strings, let, trimmed, word_total
+from gleaner.operators.precedence import blocked_nodes
 from gleaner.operators.similarity import (
     NEAR_DUPLICATE_THRESHOLD,
     near_duplicate_titles,
@@ -234,8 +235,8 @@ def near_duplicate_in_batch(
 
     Candidates of one run with equal titles collapse to the first eligible one, which
     blocks the later ones whatever becomes of it: what blocks it blocks them too. The
-    others meet through the similarity join, and are decided in rounds: whoever has
-    no undecided similar predecessor is accepted and blocks its successors.
+    others meet through the similarity join and are decided first come, first served
+    (``precedence.blocked_nodes``).
     """
     whole = F.lit("") if within is None else F.col(within)
     turn = "place" if "place" in candidates.columns else "position"
@@ -250,22 +251,11 @@ def near_duplicate_in_batch(
     earlier = firsts.select("run", F.col("set_id").alias("other"), F.col("first").alias("other_first"))
     # later set <- earlier set, of one run
     edges = firsts.join(both, "set_id").join(earlier, ["run", "other"]).filter("other_first < first")
-    edges = settled(edges.select("run", F.col("set_id").alias("later"), F.col("other").alias("earlier")))
-    node = firsts.select("run", "set_id")
-    waiting = edges.select("run", F.col("later").alias("set_id")).distinct()
-    accepted = settled(node.join(waiting, ["run", "set_id"], "left_anti"))
-    fresh = accepted
-    while not edges.isEmpty():
-        blocked = settled(
-            edges.join(fresh.withColumnRenamed("set_id", "earlier"), ["run", "earlier"], "left_semi").select("run", "later").distinct()
-        )
-        gone = blocked.withColumnRenamed("later", "earlier")
-        left = settled(edges.join(blocked, ["run", "later"], "left_anti").join(gone, ["run", "earlier"], "left_anti"))
-        freed = edges.select("run", "later").distinct().join(blocked, ["run", "later"], "left_anti")
-        freed = freed.join(left.select("run", "later").distinct(), ["run", "later"], "left_anti")
-        fresh = settled(freed.withColumnRenamed("later", "set_id"))
-        accepted = accepted.unionByName(fresh)
-        edges = left
+    edges = settled(
+        edges.select("run", F.col("set_id").alias("later"), F.col("other").alias("earlier"), F.col("first").alias("turn"))
+    )
+    blocked = blocked_nodes(edges).withColumnRenamed("node", "set_id")
+    accepted = firsts.select("run", "set_id").join(blocked, ["run", "set_id"], "left_anti")
     blockers = firsts.join(settled(accepted), ["run", "set_id"]).withColumnRenamed("set_id", "other")
     similar = blockers.join(both, "other").groupBy("run", "set_id").agg(F.min("first").alias("similar_first"))
     judged = (

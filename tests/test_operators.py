@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.language import Lexicon
-from gleaner.operators import dedupe, gate, quota, ranking, similarity, skew, state, topics
+from gleaner.operators import dedupe, gate, precedence, quota, ranking, similarity, skew, state, topics
 from gleaner.operators.components import connected_components
 from gleaner.operators.skew import checked_join
 
@@ -133,8 +133,9 @@ def in_batch(rows, across):
     return out
 
 
-@pytest.mark.parametrize("across", [False, True])
-def test_in_batch_decides_as_a_walk_does(spark, across):
+@pytest.mark.parametrize("across, fold_edges", [(False, 200_000), (True, 200_000), (False, 4), (True, 4), (True, 0)])
+def test_in_batch_decides_as_a_walk_does(spark, monkeypatch, across, fold_edges):
+    monkeypatch.setattr(precedence, "FOLD_EDGES", fold_edges)
     titles = titles_of(11, 60) + titles_of(11, 20) + ["", "word"]
     rows = [(f"s{n * 7 % 4}", n * 13 % 83, str(n), t, n % 5 > 0) for n, t in enumerate(titles)]
     table = spark.createDataFrame(rows, "source_id string, place int, id string, title string, eligible boolean")
@@ -142,6 +143,33 @@ def test_in_batch_decides_as_a_walk_does(spark, across):
     assert {r["id"] for r in found} == in_batch(rows, across)
 
 
+def test_a_long_chain_takes_few_jobs(spark):
+    edges = spark.range(1, 5001).selectExpr("'r' AS run", "id AS later", "id - 1 AS earlier", "id AS turn")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        blocked = {r["node"] for r in precedence.blocked_nodes(edges).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert blocked == set(range(1, 5001, 2)) and jobs < 20
+
+
+def test_components_decide_for_themselves(spark, monkeypatch):
+    monkeypatch.setattr(precedence, "FOLD_EDGES", 60)
+    rng = random.Random(3)
+    edges = {(k % 40 * 100 + a, k % 40 * 100 + b) for k in range(900) for b, a in [sorted(rng.sample(range(12 + k % 40), 2))]}
+    edges |= {(9000 + k, 9000 + k - d) for k in range(3, 40) for d in (1, 3)}  # a component above the limit
+    accepted_by = {}
+    for later, earlier in edges:
+        accepted_by.setdefault(later, []).append(earlier)
+    blocked = set()
+    for later in sorted(accepted_by):
+        if any(e not in blocked for e in accepted_by[later]):
+            blocked.add(later)
+    df = spark.createDataFrame([("r", a, b, a) for a, b in sorted(edges)], "run string, later long, earlier long, turn long")
+    assert sorted(r["node"] for r in precedence.blocked_nodes(df).collect()) == sorted(blocked)
+
+
 def test_one_source_may_offer_many(spark):
     table = spark.range(100_000).selectExpr(
         "'s' AS source_id", "CAST(id AS INT) AS place", "CAST(id AS STRING) AS id", "true AS eligible",
