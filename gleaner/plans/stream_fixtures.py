@@ -11,9 +11,12 @@ STREAMED = ["events", "lineitem"]
 
 
 def streamed_table(fx: Fixtures, name: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables, a file or a folder of parts, as a file stream.
+
+    The pattern names just this table; a stream takes files by a pattern only.
+    """
     schema = fx.spark.read.parquet(f"{fx.folder}/{name}.parquet").schema
-    stream = fx.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(fx.folder)
+    stream = fx.spark.readStream.schema(schema).parquet(f"{fx.folder}/{name}.parque[t]")
     naive = [field.name for field in schema if isinstance(field.dataType, T.TimestampNTZType)]
     return stream.withColumns({column: stream[column].cast("timestamp") for column in naive})
 

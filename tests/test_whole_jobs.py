@@ -1,6 +1,7 @@
 """Places where a query once did less than the whole job, each on the least input that shows it."""
 
 from datetime import datetime
+from pathlib import Path
 
 from compare import difference, oracle
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ import __spark_entry__ as contract
 from gleaner.functions.language import Lexicon
 from gleaner.operators import dedupe
 from gleaner.plans.fixtures import Fixtures
+from gleaner.plans.stream_fixtures import streamed_table
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,3 +53,14 @@ def test_members_match_their_sql(spark):
     name = "duplicate_members"
     problem, rows = difference(spark, oracle(FOLDER), FOLDER, contract.queries()[name], contract.oracle_sql()[name])
     assert problem is None and rows > 0, problem
+
+
+def test_streams_read_tables_that_are_folders_of_parts(spark, tmp_path):
+    whole = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (FOLDER, tmp_path):
+        taken = []
+        stream = streamed_table(Fixtures(spark, str(folder)), "documents")
+        job = stream.writeStream.foreachBatch(lambda batch, _: taken.append(batch.count()))
+        job.option("checkpointLocation", f"{tmp_path}/{len(str(folder))}").trigger(availableNow=True).start().awaitTermination()
+        assert sum(taken) == whole.count()
