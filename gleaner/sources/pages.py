@@ -17,6 +17,7 @@ from gleaner.functions.text import (
     clean_text,
     decode_entities,
     find_all,
+    let,
     plain_text,
 )
 
@@ -58,7 +59,7 @@ def _meta(*keys: str) -> Column:
 
 def _link(html: Column, relation: str) -> Column:
     tags = F.filter(find_all(html, r"(?i)(<link\b[^>]*>)"), lambda tag: F.lower(attribute(tag, "rel")) == relation)
-    return attribute(F.get(tags, F.lit(0)), "href")
+    return let(F.get(tags, F.lit(0)), lambda tag: attribute(tag, "href"))
 
 
 def _ld_article(html: Column) -> Column:
@@ -155,5 +156,5 @@ def page_engagement(pages: DataFrame) -> DataFrame:
     return pages.select(
         "page_id",
         F.coalesce(F.array_max(counts), F.lit(0)).alias("engagement_count"),
-        F.coalesce(F.get(trusted, F.lit(0)), trusted_image_url(_link(html, "image_src"))).alias("image_url"),
+        F.coalesce(F.get(trusted, F.lit(0)), let(_link(html, "image_src"), trusted_image_url)).alias("image_url"),
     )

@@ -11,6 +11,7 @@ from gleaner.functions.language import Lexicon
 from gleaner.operators import dedupe
 from gleaner.plans.fixtures import Fixtures
 from gleaner.plans.stream_fixtures import streamed_table
+from gleaner.sources import pages
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,3 +65,10 @@ def test_streams_read_tables_that_are_folders_of_parts(spark, tmp_path):
         job = stream.writeStream.foreachBatch(lambda batch, _: taken.append(batch.count()))
         job.option("checkpointLocation", f"{tmp_path}/{len(str(folder))}").trigger(availableNow=True).start().awaitTermination()
         assert sum(taken) == whole.count()
+
+
+def test_page_engagement_searches_a_page_for_links_once(spark):
+    html = '<link rel="image_src" href="https://miro.medium.com/a.png"><i>"clapCount":7</i>'
+    found = pages.page_engagement(spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string"))
+    assert {tuple(row) for row in found.collect()} == {(1, 7, "https://miro.medium.com/a.png"), (2, 0, None), (3, 0, None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("<link") == 1
