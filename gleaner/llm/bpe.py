@@ -9,7 +9,8 @@ is left. A place once found impossible is not tried again, so the time is linear
 
 The pair test undoes merges from both tokens, latest first, and looks whether the
 parts that then meet form a token of earlier rank. Its answers are kept in a table
-of bounded size, as are the encodings of words.
+of bounded size, as are the encodings of words: one string of ids for each word, and
+none for a word that is long, so that what a worker keeps is bounded in bytes too.
 
 Text is prepared as the tokenizer's file says: NFC, lower case by character; words are
 letters, single numbers, or other signs (white space only separates them, so its runs
@@ -28,7 +29,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -60,6 +60,7 @@ KNOWN_RANGES = [
 
 CACHED_WORDS = 300_000
 CACHED_PAIRS = 200_000
+CACHED_LETTERS = 40
 
 
 def byte_letters() -> list[str]:
@@ -72,6 +73,11 @@ def byte_letters() -> list[str]:
     return out
 
 
+def read_ids(written: str) -> np.ndarray:
+    """The numbers of a string that has a space between them."""
+    return np.fromstring(written, dtype=np.int32, sep=" ") if written else np.zeros(0, dtype=np.int32)
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file."""
 
@@ -96,8 +102,8 @@ class Bpe:
         self._special = regex.compile(f"({parts})") if parts else None
         self._load(model["merges"])
         self._offsets()
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._pairs: dict[int, bool] = {}
+        self._words: dict[str, str] = {}
         self._restrict()
 
     @staticmethod
@@ -185,7 +191,7 @@ class Bpe:
 
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        pair = left << 32 | right
         known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) >= CACHED_PAIRS:
@@ -193,6 +199,11 @@ class Bpe:
             known = self._pairs[pair] = self._compatible(left, right)
         return known
 
+    def forget(self) -> None:
+        """Give the memory of both tables back; a worker's next task may be another operator's."""
+        self._words.clear()
+        self._pairs.clear()
+
     def encode_symbols(self, symbols: str) -> list[int]:
         """Ids of one word, given as a string of symbols."""
         whole = self.by_string.get(symbols)
@@ -226,15 +237,16 @@ class Bpe:
                 token = shorter.get(last)
         return out
 
-    def encode_word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and the same as text."""
+    def encode_word(self, word: str) -> str:
+        """Ids of a word, written with a space between."""
         found = self._words.get(word)
         if found is None:
             letters = word.encode().decode("latin-1").translate(self._letters)
-            ids = self.encode_symbols(letters[:-1] + chr(ord(letters[-1]) + 0x10000))
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            found = self._words[word] = tuple(ids), " ".join(map(str, ids))
+            found = " ".join(map(str, self.encode_symbols(letters[:-1] + chr(ord(letters[-1]) + 0x10000))))
+            if len(word) <= CACHED_LETTERS:
+                if len(self._words) >= CACHED_WORDS:
+                    self._words.clear()
+                self._words[word] = found
         return found
 
     def words(self, text: str) -> list[str]:
@@ -246,22 +258,22 @@ class Bpe:
         # By character: a sigma at a word's end is lowered like any other.
         return self._word.findall(text.replace("Σ", "σ").lower())
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """(ids, the same as text) of every word and special token."""
+    def written(self, text: str) -> str:
+        """Ids of a text, written with a space between."""
         parts = self._special.split(text) if self._special and "<|" in text else [text]
         out = []
         known = self._words
         for part in parts:
             if part in self.special:
-                out.append(((self.special[part],), str(self.special[part])))
+                out.append(str(self.special[part]))
             elif part:
                 out += [known.get(word) or self.encode_word(word) for word in self.words(part)]
-        return out
+        return " ".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
+        return read_ids(self.written(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         if not len(ids):
             return ""
         ids = np.asarray(ids)
@@ -282,18 +294,16 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row of ``docs`` (doc_id, text)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+def encoded_batches(batches: Iterator[pa.RecordBatch], bpe: Bpe, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """What :func:`encoded` returns, of batches of (doc_id, text)."""
+    try:
         for batch in batches:
             counts, digests, decoded, lists = [], [], [], []
             for text in batch["text"]:
-                pieces = bpe.pieces(text.as_py() or "")
-                ids = list(chain.from_iterable([own for own, _ in pieces]))
+                written = bpe.written(text.as_py() or "")
+                ids = read_ids(written)
                 counts.append(len(ids))
-                digests.append(hashlib.sha256(" ".join([written for _, written in pieces]).encode()).hexdigest())
+                digests.append(hashlib.sha256(written.encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 if with_ids:
                     lists.append(ids)
@@ -302,6 +312,15 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             if with_ids:
                 columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+    finally:
+        bpe.forget()
+
+
+def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row of ``docs`` (doc_id, text)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded_batches(batches, loaded(path), with_ids)
 
     prepared(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
