@@ -4,7 +4,7 @@ A suffix array over all texts, sorted to depth ``window`` alone, has the equal g
 that sort as exactly the repeated windows. Sorting most significant digit first lets a
 suffix leave as soon as no other one agrees with it, and nearly all leave at once.
 Here the first digit of a window is its *anchor*: of the 32-byte runs inside the window
-the one with the least hash (the leftmost of equals). It depends on the window's
+the one with the least 32 bits of hash (the leftmost of equals). It depends on the window's
 bytes alone, so equal windows have equal anchors at equal offsets; and neighbouring
 windows mostly share one, so this pass costs one row for about 30 suffixes. Suffixes
 whose anchor occurs once are finished.
@@ -52,6 +52,7 @@ CHECKED = 25  # bytes by which a place is known again
 BLOCK_ROWS = 20_000  # of about 150 bytes: what one task holds at once
 TABLE_ROWS = 6_000
 FIRST_ROWS = 1 << 16
+HIGH_HALF = np.uint64(0xFFFFFFFF00000000)
 
 CONTEXTS = "anchor long, doc_id long, at int, low int, context binary, blocks int"
 SORTED = "doc_id long, packed long, length int, k1 long, k2 long"
@@ -63,24 +64,26 @@ def _anchors(data: np.ndarray, edges: np.ndarray, window: int, size: int) -> tup
     none = np.zeros(0, dtype=np.int64)
     if len(data) < window:
         return none, none, none, none, none.astype(np.uint64)
-    starts = np.arange(len(data) - size + 1)
-    value = words.byte_hashes(data, starts, starts + size)
-    hashes, place = value.copy(), starts.astype(np.int32)
+    hashes = words.every_byte_hash(data, size)
+    # High half of the hash, then the place: the least one is the leftmost of the least hashes.
+    least = (hashes & HIGH_HALF) | np.arange(len(hashes), dtype=np.uint64)
     wanted, span = window - size + 1, 1
     while span < wanted:
         step = min(span, wanted - span)
-        later = value[step:] < value[: len(value) - step]
-        place = np.where(later, place[step:], place[: len(place) - step])
-        value = np.where(later, value[step:], value[: len(value) - step])
+        least = np.minimum(least[step:], least[:-step])
         span += step
-    lengths = np.diff(edges)
-    fits = np.repeat(edges[1:] - window, lengths)[: len(place)] >= np.arange(len(place))
-    low = np.flatnonzero(fits)
-    row = np.repeat(np.arange(len(lengths)), lengths)[low]
-    place = place[low].astype(np.int64)
-    runs = edges_of(row, place)
-    first, last = low[runs[:-1]], low[runs[1:] - 1]
-    return row[runs[:-1]], place[runs[:-1]], first, last, hashes[place[runs[:-1]]]
+    changes = np.ones(len(least) + 1, dtype=bool)
+    np.not_equal(least[1:], least[:-1], out=changes[1:-1])
+    stops = edges[1:][np.diff(edges) >= window] - window + 1  # the first window that leaves its row
+    for cuts in (edges, stops):
+        changes[cuts[cuts < len(changes)]] = True
+    runs = np.flatnonzero(changes)
+    first, last = runs[:-1], runs[1:] - 1
+    row = np.searchsorted(edges, first, side="right") - 1
+    fits = first + window <= edges[row + 1]
+    row, first, last = row[fits], first[fits], last[fits]
+    place = (least[first] & ~HIGH_HALF).astype(np.int64)
+    return row, place, first, last, hashes[place]
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

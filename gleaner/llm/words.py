@@ -165,6 +165,17 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: in
     return _range_hashes(_LETTERS[kind][data], starts, ends, _POWERS[kind])
 
 
+def every_byte_hash(data: np.ndarray, size: int, kind: int = 0) -> np.ndarray:
+    """``byte_hashes`` of all ranges of ``size`` bytes, one from each byte on; without an index for each."""
+    up, down = _POWERS[kind].get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.multiply(_LETTERS[kind][data], up[: len(data)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    value = sums[size:] - sums[: len(sums) - size]
+    value *= down[: len(value)]
+    return mixed(value)
+
+
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
     """Hash of hashes[start:end] for runs of any length."""
     salt = _SALTS[kind, 2]
