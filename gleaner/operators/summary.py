@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.text import SPACE, any_of, array_of_strings, find_all, trimmed
+from gleaner.functions.text import SPACE, any_of, array_of_strings, find_all, let, trimmed
 
 # Weights of a sentence's score and the sizes a sentence may have.
 INFORMATIVE, POSITION, SUBJECT, FIGURE = 0.4, 0.3, 0.2, 0.1
@@ -68,15 +68,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(pieces, trimmed), lambda piece: piece != "")
 
 
-def _usable(sentence: Column) -> Column:
-    lower = F.lower(sentence)
-    furniture = any_of(lower, BOILERPLATE)
-    return (
-        F.size(find_all(lower, WORD)).between(MIN_SENTENCE_WORDS, MAX_SENTENCE_WORDS)
-        & ~furniture
-        & sentence.rlike(ENDING)
-        & ~F.regexp_replace(sentence, ORDINAL, "").rlike(GLUED)
-    )
+def _judged(sentence: Column, index: Column) -> Column:
+    """What a usable sentence is scored by; null for another one. Cheap tests come first, each text is lowered once."""
+    figure = sentence.rlike("[0-9]")
+    glued = figure & F.regexp_replace(sentence, ORDINAL, "").rlike(GLUED)  # both glued forms hold a digit
+
+    def by_words(lower: Column, found: Column) -> Column:
+        usable = F.size(found).between(MIN_SENTENCE_WORDS, MAX_SENTENCE_WORDS) & ~any_of(lower, BOILERPLATE) & ~glued
+        judged = F.struct(
+            index.alias("index"),
+            F.exists("aliases", lambda alias: F.contains(lower, alias)).cast("int").alias("subject"),
+            figure.cast("int").alias("figure"),
+            F.filter(found, lambda word: ~word.isin(STOPWORDS) & (F.length(word) >= MIN_WORD_CHARS)).alias("tokens"),
+        )
+        return F.when(usable, judged)
+
+    def by_letters(lower: Column) -> Column:
+        return let(find_all(lower, WORD), lambda found: by_words(lower, found))
+
+    return F.when(sentence.rlike(ENDING), let(F.lower(sentence), by_letters))
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
@@ -116,22 +126,13 @@ def key_points(
     """
     most = max(1, min(most, MOST_POINTS))
     aliases = F.transform(F.col(aliases_col), F.lower) if aliases_col else array_of_strings()
-    cut = items.select("id", sentences(F.col(body_col)).alias("sentences"), aliases.alias("aliases"))
-
-    def judged(sentence: Column, index: Column) -> Column:
-        lower = F.lower(sentence)
-        tokens = F.filter(find_all(lower, WORD), lambda word: ~word.isin(STOPWORDS) & (F.length(word) >= MIN_WORD_CHARS))
-        return F.struct(
-            index.alias("index"),
-            F.exists("aliases", lambda alias: F.contains(lower, alias)).cast("int").alias("subject"),
-            sentence.rlike("[0-9]").cast("int").alias("figure"),
-            tokens.alias("tokens"),
-        )
-
-    tried = F.transform("sentences", lambda sentence, index: F.when(_usable(sentence), judged(sentence, index)))
-    usable = cut.withColumn("usable", F.filter(tried, lambda entry: entry.isNotNull())).filter(F.size("usable") > 0)
-    # Not deterministic for the optimizer, which else copies the call into filters and lambdas.
+    read = items.filter(F.col(body_col).isNotNull())
+    cut = read.select("id", sentences(F.col(body_col)).alias("sentences"), aliases.alias("aliases"))
+    usable = cut.withColumn("usable", F.filter(F.transform("sentences", _judged), lambda entry: entry.isNotNull()))
+    # Not deterministic for the optimizer, which else copies the call into filters and lambdas. Texts without a usable
+    # sentence go after it: a filter before it would be moved to the scan and judge every sentence twice.
     rated = usable.withColumn("info", informativeness.asNondeterministic()(F.transform("usable", lambda entry: entry["tokens"])))
+    rated = rated.filter(F.size("usable") > 0)
 
     def score(pair: Column) -> Column:
         entry = pair["usable"]
