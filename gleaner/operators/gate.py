@@ -301,7 +301,9 @@ def relevance(title: Column, summary: Column, body: Column, aliases: Column) ->
         return F.array_join(F.slice(F.split(text, f"{SPACE}+", LEAD_WORDS + 1), 1, LEAD_WORDS), " ")
 
     def in_text(text: Column) -> Column:
-        return F.when(~names(text) & ~names(lead(text)), 0.0).when(names(lead(text)), 0.7).otherwise(0.3)
+        return let(
+            names(lead(text)), lambda ahead: F.when(ahead, 0.7).when(~names(text) & ~ahead, 0.0).otherwise(0.3)
+        )
 
     return F.when(names(F.lower(title)), 1.0).otherwise(let(trimmed(F.lower(both)), in_text))
 
@@ -392,7 +394,8 @@ def qualify(
     judged = score_terms(known.withColumn("hard", hard).withColumn("foreign", foreign), now).drop(*JUDGED_TEXTS)
     near = F.lit(False)
     if titles is not None:
-        doubles = near_duplicate_titles(candidates.select("id", "title"), titles.select("title"))
+        # Titles are read once from where the texts are, and are narrow from then on.
+        doubles = near_duplicate_titles(settled(candidates.select("id", "title")), titles.select("title"))
         judged = judged.join(doubles.select("id", F.lit(True).alias("near_stored")), "id", "left")
         near = iff(F.col("near_stored"))
     rejection = F.coalesce(

@@ -1,6 +1,10 @@
 """What is costly in the row of a text is evaluated once."""
 
-from gleaner.operators import summary
+from pyspark.sql import functions as F
+
+from gleaner.functions import language, text
+from gleaner.operators import similarity, summary
+from gleaner.plans.fixtures import LEXICON
 
 
 def plan_of(frame):
@@ -26,3 +30,38 @@ def test_key_points_know_glued_text_endings_and_missing_texts(spark):
         "a": [good.format("2nd place"), good.format("40gb"), good.format("Ö")],
         "e": [good.format("it")[:-1] + "?”"],
     }
+
+
+def test_titles_are_keyed_once(spark):
+    titles = spark.createDataFrame([("a b c d e",), ("x y z",)], "title string").select(F.upper("title").alias("title"))
+    candidates = spark.createDataFrame([(1, "A b c d e"), (2, "X Y"), (3, "x Y z"), (4, None)], "id long, title string")
+    doubles = similarity.near_duplicate_titles(candidates, titles)
+    assert "upper(" not in plan_of(doubles)
+    assert sorted(row["id"] for row in doubles.collect()) == [1, 3]
+
+
+def test_word_totals_are_those_of_lowered_texts(spark):
+    texts = ["", "Ab C.d É f", "\u0130stanbul x", "3\u212am \u212a", "\u212b A", None, "\u1e9eA ÀB\u0130"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    lowered = F.coalesce(F.size(text.words(F.col("t"))), F.lit(0))
+    assert [tuple(r) for r in rows.select(text.word_total(F.col("t")), lowered).collect()] == [
+        (n, n) for n in (0, 3, 3, 2, 1, 0, 2)
+    ]
+    plan = plan_of(rows.select(text.word_total(F.col("t"))))
+    assert "[A-Za-z0-9.+#/-]+" in plan  # counted without lowering
+
+
+def test_the_language_test_is_that_of_its_measures(spark):
+    base = ["the cat and dog sat on a mat by our house"] * 5, ["qua zor lim pek"] * 12, [f"q{chr(97 + n % 26)}{chr(97 + n // 26)} zor" for n in range(45)], ["und der die das une the"] * 3
+    rows = spark.createDataFrame([(" ".join(b) + end,) for b in base for end in ("", " é", " ééééé", " жжжж")], "t string")
+    t = F.col("t")
+    tokens = language.letter_words(t)
+    ratio = F.coalesce(language.stopword_ratio(t, tokens, LEXICON) < language.MIN_STOPWORD_RATIO, F.lit(False))
+    balance = language.word_balance(tokens, LEXICON)
+    dominate = (balance["foreign_distinct"] >= 3) & (balance["foreign"] > balance["english"])
+    found = rows.select(
+        language.lacks_stopwords(t, tokens, LEXICON).alias("a"), ratio.alias("b"),
+        language.foreign_words_dominate(tokens, 3, LEXICON).alias("c"), dominate.alias("d"),
+    ).collect()
+    assert all(r["a"] == r["b"] and r["c"] == r["d"] for r in found)
+    assert {r["a"] for r in found} == {True, False} and {r["c"] for r in found} == {True, False}
