@@ -12,8 +12,8 @@ any phrase is the total of the paths that have it as prefix.
 2. Paths are divided into ranges of about ``RANGE_PATHS`` by boundaries that come from the
    marks. Boundaries only balance work and may fall inside a frequent word or pair.
 3. Each shard is cut at the boundaries. The parts of one range are united and their weights summed, so no
-   count depends on how rows were dealt. Many ranges are reached in steps of ``FAN``, with
-   shards joined anew between. Phrases below ``least`` are left out; what begins
+   count depends on how rows were dealt. Many ranges are reached in steps of ``FAN`` at most, about
+   equally wide, with shards joined anew between. Phrases below ``least`` are left out; what begins
    or ends a range may be incomplete, is kept, and is summed over ranges.
 4. The parts of candidates are composed with the transducers of the ranges they lie in.
 
@@ -542,7 +542,8 @@ def by_range(shards: DataFrame, boundaries: list[Path], shelf: Shelf, shard_path
     """(range, automaton): the parts of all shards, sorted by range within partitions.
 
     With more than ``FAN`` ranges, shards are first divided into coarse ranges and joined
-    anew there, so that no shard is ever cut into many small parts.
+    anew there, so that no shard is ever cut into many small parts. Steps are about equally
+    wide, so that no task gets a large part of all shards.
     """
 
     def dealt(shards: DataFrame, bounds: list[Path]) -> DataFrame:
@@ -551,14 +552,17 @@ def by_range(shards: DataFrame, boundaries: list[Path], shelf: Shelf, shard_path
         parts = shards.select("automaton").mapInArrow(cut, "range int, task long, automaton binary")
         return parts.repartition(ranges, "task").sortWithinPartitions("range").drop("task")
 
-    steps, every = [], len(boundaries)
-    while every > FAN:
-        every = -(-every // FAN)
+    steps, every, count = [], len(boundaries), 1
+    while FAN**count < every:
+        count += 1
+    fan = next(k for k in range(1, FAN + 1) if k**count >= every)
+    while every > fan:
+        every = -(-every // fan)
         steps.append(every)
     for k in reversed(steps):
         coarse = sorted({boundaries[len(boundaries) * m // (k + 1)] for m in range(1, k + 1)})
         joined = dealt(shards, coarse).mapInArrow(_rejoined(shard_paths), "automaton binary")
-        shards = shelf.put(f"coarse{k}", joined)
+        shards = shelf.put(f"coarse{k}", joined, wide=True)
     return dealt(shards, boundaries)
 
 
@@ -575,7 +579,7 @@ def collocations(
     shelf = Shelf(docs.sparkSession, "collocations")
     texts = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
     schema = "paths long, marks array<array<binary>>, automaton binary"
-    shards = shelf.put("shards", texts.mapInArrow(_shards(most_words, shard_paths), schema))
+    shards = shelf.put("shards", texts.mapInArrow(_shards(most_words, shard_paths), schema), wide=True)
     boundaries = boundaries_of(shards, range_paths)
     dealt = by_range(shards, boundaries, shelf, shard_paths)
     found = shelf.put("found", dealt.mapInArrow(_counted(least), _FOUND))
